@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import ngram_join, toxicity
+from siltstone.llm import bpe, mixing, ngram_join, secret_scan, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,28 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return ngram_join.keep_representatives(docs, n=5, percent=80)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies)]
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets that the forest confirms are replaced in the texts; all documents stay."""
+    return secret_scan.redact(docs)
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that sources, languages and topics get their target shares of tokens."""
+    return mixing.sample(docs, keep=0.8)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and decoded texts."""
+    return bpe.encode(docs, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("secrets", hide_secrets),
+    ("mixing", to_target_weights),
+    ("tokens", to_tokens),
+]
 
 #: A trained classifier decides in the first stage, which SQL can't express.
 ORACLE_SQL = None
