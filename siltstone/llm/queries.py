@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, fingerprint, mixing, ngram_join, secret_scan, toxicity, url_filter, warc
+from . import bpe, embed_dedup, fingerprint, mixing, ngram_join, pii, secret_scan, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_e8_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_codec, op3_url_filter, op4_secret_scan, op5_warc, op6_mixture, op7_e8_dedup, op9_fingerprint, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_codec, op3_url_filter, op4_secret_scan, op5_warc, op6_mixture, op7_e8_dedup, op8_pii_surrogates, op9_fingerprint, op10_toxicity)}
 SQL = {
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
