@@ -60,10 +60,16 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """``edges`` (a long, b long) -> (id, component): the smallest id reachable,
     for every id with an edge. Null ends and loops are left out.
 
-    Each round takes the least label among the neighbours and then that label's
-    own label, so paths shorten by more than half; every round is stashed."""
-    e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    e = stash(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    First, twice: of a vertex's smaller neighbours only the least stays its own, the others are
+    tied to that one, and what many vertices say of the same few hubs becomes one edge. Then
+    each round takes the least label among the neighbours and that label's own label, so
+    paths shorten by more than half. Every round is stashed."""
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for _ in range(2):
+        tied = stash(e.withColumn("m", F.expr("min(b) over (partition by a)")))
+        e = stash(tied.select("a", F.col("m").alias("b")).union(tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        unstash(tied)
+    e = stash(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     lab = stash(e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component"), F.lit(True).alias("moved")))
     for _ in range(most_rounds):
         near = e.join(lab.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
