@@ -1,4 +1,245 @@
-"""Queries over the driver's tables, one or more per operator, each with its SQL."""
+"""Queries over the driver's tables, one or more per operator, each with its SQL where SQL can say it."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import text as tx
+from siltstone.operators import aggregates, chunking, feedback, filters, inference, retrieval
+from siltstone.operators import silver as sv
+from siltstone.plans import views
+from siltstone.plans.views import CHUNKS_SQL, SILVER, SILVER_SQL, tokens_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = sql
+
+
+# ---- filters -----------------------------------------------------------------------------------
+
+_IDS = ("call_id", "status", "priority")
+
+
+def _filter(name: str, given: dict, where: str, flags: bool = False, limit: int | None = None, **more) -> None:
+    def run(spark, d):
+        return filters.query_silver(views.silver(spark, d, flags=flags, **more), filters.validate_filters(given, SILVER) if name != "filter_scalar_vs_list_false" else given, limit).select(*_IDS)
+
+    add(name, run, f"WITH {SILVER_SQL} SELECT call_id, status, priority FROM silver WHERE {where}" + (f" ORDER BY ordinal LIMIT {limit}" if limit else ""))
+
+
+_filter("filter_scalar_eq", {"status": "F"}, "status = 'F'")
+_filter("filter_list_contains", {"flags": "R"}, "coalesce(list_contains(flags, 'R'), false)", flags=True)
+_filter("filter_list_overlap", {"flags": ["A", "R"]}, "coalesce(list_has_any(flags, ['A', 'R']), false)", flags=True)
+_filter("filter_bool", {"big": "true"}, "big")
+_filter("filter_conjunction_limit", {"status": "O", "flags": "N", "big": False}, "status = 'O' AND coalesce(list_contains(flags, 'N'), false) AND NOT big", flags=True, limit=50)
+_filter("filter_scalar_vs_list_false", {"status": ["F", "O"]}, "false")
+add(
+    "filter_null_safe",
+    lambda s, d: filters.query_silver(views.silver(s, d).withColumn("status", F.nullif("status", F.lit("P"))), {"status": None}).select("call_id", "priority"),
+    f"WITH {SILVER_SQL} SELECT call_id, priority FROM silver WHERE status = 'P'",
+)
+
+# ---- aggregate expressions ---------------------------------------------------------------------
+
+
+def _agg(name: str, expression: str, columns: dict[str, str], sql: str, flags: bool = False, segment: bool = False) -> None:
+    def run(spark, d):
+        got = aggregates.evaluate(expression, views.silver(spark, d, flags=flags, segment=segment), SILVER).frame
+        if "record_ids" in got.columns:
+            got = got.withColumn("record_ids", F.array_join("record_ids", ","))
+        return got.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+
+    add(name, run, f"WITH {SILVER_SQL} {sql}")
+
+
+_KC = {"key": "string", "count": "bigint"}
+_agg("agg_count", "count(records)", {"result": "bigint"}, "SELECT count(*) AS result FROM silver")
+_agg("agg_group_count_scalar", "group_count(records, 'priority')", _KC, "SELECT priority AS key, count(*) AS count FROM silver WHERE priority NOT IN ('', 'not_mentioned') GROUP BY 1")
+_agg("agg_group_count_list", "group_count(records, 'flags')", _KC, "SELECT key, count(*) AS count FROM (SELECT unnest(flags) AS key FROM silver) GROUP BY 1", flags=True)
+_agg("agg_group_count_bool", "group_count(records, 'big')", _KC, "SELECT 'True' AS key, count(*) AS count FROM silver WHERE big HAVING count(*) > 0")
+_agg("agg_top_k_tie", "top_k(records, 'segment', k=3)", _KC, "SELECT segment AS key, count(*) AS count FROM silver WHERE segment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, min(ordinal) LIMIT 3", segment=True)
+_agg("agg_nested_group_count", "nested_group_count(records, ['status', 'flags'])", {"key1": "string", "key2": "string", "count": "bigint"}, "SELECT status AS key1, key2, count(*) AS count FROM (SELECT status, unnest(flags) AS key2 FROM silver) GROUP BY 1, 2", flags=True)
+_agg("agg_count_if", "count_if(records, 'flags', 'R')", {"result": "bigint"}, "SELECT count(*) AS result FROM silver WHERE list_contains(flags, 'R')", flags=True)
+for _name, _op in (("eq", "=="), ("ne", "!="), ("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<=")):
+    _agg(f"agg_count_where_{_name}", f"count_where(records, 'total', '{_op}', 150000)", {"result": "bigint"}, f"SELECT count(*) AS result FROM silver WHERE total {'=' if _op == '==' else _op} 150000")
+_agg("agg_numeric_range", "numeric_range_count(records, 'total', min_value=100000, max_value=200000)", {"count": "bigint", "field": "string", "min": "double", "max": "double", "record_ids": "string"}, "SELECT count(*) AS count, 'total' AS field, CAST(100000 AS DOUBLE) AS min, CAST(200000 AS DOUBLE) AS max, (SELECT string_agg(call_id, ',' ORDER BY ordinal) FROM (SELECT call_id, ordinal FROM silver WHERE total BETWEEN 100000 AND 200000 ORDER BY ordinal LIMIT 20)) AS record_ids FROM silver WHERE total BETWEEN 100000 AND 200000")
+_agg("agg_date_range", "date_range_count(records, start='1995-01-01', end='1995-12-31')", {"count": "bigint", "start": "string", "end": "string", "record_ids": "string"}, "SELECT count(*) AS count, '1995-01-01' AS start, '1995-12-31' AS \"end\", (SELECT string_agg(call_id, ',' ORDER BY ordinal) FROM (SELECT call_id, ordinal FROM silver WHERE date BETWEEN '1995-01-01' AND '1995-12-31' ORDER BY ordinal LIMIT 20)) AS record_ids FROM silver WHERE date BETWEEN '1995-01-01' AND '1995-12-31'")
+for _grain, _n in (("day", 10), ("month", 7), ("year", 4)):
+    _agg(f"agg_cohort_{_grain}", f"cohort_count(records, '{_grain}')", _KC, f"SELECT left(date, {_n}) AS key, count(*) AS count FROM silver WHERE date IS NOT NULL GROUP BY 1")
+_agg("agg_ratio", "ratio(count_if(records, 'status', 'F'), count(records))", {"numerator": "bigint", "denominator": "bigint", "ratio": "double"}, "SELECT count(*) FILTER (status = 'F') AS numerator, count(*) AS denominator, round(CAST(count(*) FILTER (status = 'F') AS DOUBLE) / count(*), 4) AS ratio FROM silver")
+_agg("agg_distinct_via_count_group", "count(group_count(records, 'priority'))", {"result": "bigint"}, "SELECT count(DISTINCT priority) AS result FROM silver")
+
+
+def _evidence(spark, d):
+    rows = views.silver(spark, d, flags=True).withColumn("evidence_refs", F.create_map(F.lit("status"), F.array(F.concat(F.lit("chunk:s"), "status")), F.lit("flags"), F.transform("flags", lambda x: F.concat(F.lit("chunk:f"), x))))
+    return aggregates.evidence_refs(rows, ["flags", "status"], limit=4).select("ref", F.col("ordinal").alias("first_row"))
+
+
+add("agg_evidence_refs", _evidence, f"WITH {SILVER_SQL}, r AS (SELECT ordinal, 0 AS f, u.p, 'chunk:f' || u.x AS ref FROM silver, (SELECT unnest(flags) AS x, generate_subscripts(flags, 1) AS p) u UNION ALL SELECT ordinal, 1, 1, 'chunk:s' || status FROM silver) SELECT ref, first_row FROM (SELECT ref, min((ordinal, f, p)) AS k, min(ordinal) AS first_row FROM r GROUP BY 1 ORDER BY k LIMIT 4)")
+
+# ---- ingest ------------------------------------------------------------------------------------
+
+add("turns_normalize", lambda s, d: views.turns(s, d).select("call_id", "turn_index", "speaker", "text"), "SELECT CAST(conv_id AS VARCHAR) AS call_id, CAST(turn + 1 AS INTEGER) AS turn_index, coalesce(role, 'unknown') AS speaker, trim(text) AS text FROM conversations WHERE trim(text) <> ''")
+add("json_props_extract", lambda s, d: views.table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")), "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+add("snippet", lambda s, d: views.documents(s, d).select("chunk_id", tx.snippet("text").alias("snippet")), r"SELECT doc_id AS chunk_id, CASE WHEN length(c) <= 220 THEN c ELSE rtrim(left(c, 217)) || '...' END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)")
+add("chunk_pack", lambda s, d: chunking.pack(views.calls(s, d)).select("chunk_id", "call_id", "chunk_index", "turn_start", "turn_end", F.length("text").cast("bigint").alias("char_count")), f"WITH RECURSIVE {CHUNKS_SQL} SELECT chunk_id, call_id, chunk_index, turn_start, turn_end, CAST(length(text) AS BIGINT) AS char_count FROM chunks")
+add("chunk_rows", lambda s, d: chunking.pack(views.calls(s, d)).select("chunk_id", F.array_join("speaker_set", ",").alias("speakers"), "text"), f"WITH RECURSIVE {CHUNKS_SQL} SELECT chunk_id, array_to_string(speaker_set, ',') AS speakers, text FROM chunks")
+
+# ---- text --------------------------------------------------------------------------------------
+
+
+def _text(name: str, column, sql: str) -> None:
+    add(name, lambda s, d: views.documents(s, d).select("chunk_id", column().alias("value")), f"SELECT doc_id AS chunk_id, {sql} AS value FROM documents")
+
+
+_SCHEMA_STOP = "(" + ", ".join(f"'{w}'" for w in tx.SCHEMA_STOPWORDS) + ")"
+_SEARCH_STOP = "(" + ", ".join(f"'{w}'" for w in tx.SEARCH_STOPWORDS) + ")"
+_LABEL_SQL = "regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_CONTENT_SQL = "list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{2,}'), lambda w: " + _LABEL_SQL.replace("{0}", "w") + f"), lambda w: length(w) >= 3 AND w NOT IN {_SCHEMA_STOP})"
+_text("tokenize", lambda: F.array_join(tx.english_tokens("text"), " "), f"array_to_string({tokens_sql('text')}, ' ')")
+_text("normalize_label", lambda: tx.normalize_label(F.substring("text", 1, 60)), _LABEL_SQL.replace("{0}", "substring(text, 1, 60)"))
+_text("normalize_identifier", lambda: tx.normalize_identifier(F.concat(F.col("ordinal").cast("string"), F.lit(" - "), F.col("lang"))), "'field_' || " + _LABEL_SQL.replace("{0}", "CAST(doc_id AS VARCHAR) || ' - ' || lang"))
+_text("content_tokens", lambda: F.array_join(tx.content_tokens("text"), " "), f"array_to_string({_CONTENT_SQL}, ' ')")
+_text("lexical_terms", lambda: F.array_join(F.array_sort(tx.lexical_terms("text")), " "), f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN {_SEARCH_STOP}))), ' ')")
+_text("hash_ids", lambda: tx.short_hash("text", 16), "left(sha256(text), 16)")
+add("bigram_counts", lambda s, d: inference.label_counts(views.documents(s, d)).select("label", "count").orderBy(F.desc("count"), "label").limit(200), f"WITH t AS (SELECT {_CONTENT_SQL} AS t FROM documents), e AS (SELECT unnest(t) AS label FROM t UNION ALL SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) FROM t WHERE len(t) > 1) SELECT label, count(*) AS count FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
+
+# ---- retrieval ---------------------------------------------------------------------------------
+
+_Q = ("thnt ered oned with the", "loser trash stupid", "edation apache license")
+
+
+def _queries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, q) for i, q in enumerate(_Q)], "query_id int, query string")
+
+
+def _bm25_sql(queries: tuple[str, ...], limit: int, restrict: str = "true") -> str:
+    q = " UNION ALL ".join(f"SELECT {i} AS query_id, '{x}' AS query" for i, x in enumerate(queries))
+    return f"""WITH d AS (SELECT doc_id AS chunk_id, lang, {tokens_sql("text")} AS tokens FROM documents),
+        s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d), qs AS ({q}),
+        q AS (SELECT DISTINCT query_id, unnest({tokens_sql("query")}) AS term FROM qs),
+        p AS (SELECT chunk_id, lang, len(tokens) AS dl, unnest(tokens) AS term FROM d),
+        tf AS (SELECT term, chunk_id, any_value(lang) AS lang, any_value(dl) AS dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        c AS (SELECT q.query_id, tf.chunk_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0))), 6) AS part, term
+              FROM tf JOIN df USING (term) JOIN q USING (term), s WHERE {restrict}),
+        r AS (SELECT query_id, chunk_id, sum(part) AS raw, string_agg(term, ' ' ORDER BY term) AS matched FROM c GROUP BY 1, 2 HAVING sum(part) > 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 6) DESC, chunk_id) AS rank FROM r)
+        SELECT CAST(query_id AS INTEGER) AS query_id, chunk_id, round(raw, 6) AS score, matched, rank FROM k WHERE rank <= {limit}"""
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "chunk_id", "score", F.array_join("matched_terms", " ").alias("matched"), F.col("rank").cast("bigint").alias("rank"))
+
+
+add("bm25_stats", lambda s, d: retrieval.corpus_stats(views.documents(s, d)).select("n", F.round("avgdl", 6).alias("avgdl")), f"SELECT count(*) AS n, round(avg(len({tokens_sql('text')})), 6) AS avgdl FROM documents")
+add("bm25_search", lambda s, d: _hits(retrieval.bm25(views.documents(s, d), _queries(s).where("query_id = 0"), 20)), _bm25_sql(_Q[:1], 20))
+add("bm25_filtered", lambda s, d: _hits(retrieval.bm25(views.documents(s, d), _queries(s).where("query_id = 0"), 20, views.documents(s, d).where("lang = 'en'").select("chunk_id"))), _bm25_sql(_Q[:1], 20, "tf.lang = 'en'"))
+add("bm25_batch_fanout", lambda s, d: _hits(retrieval.bm25(views.documents(s, d), _queries(s), 15)), _bm25_sql(_Q, 15))
+_LEX = ("there", "ation", "lic")
+_LEX_SQL = " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in _LEX)
+add("search_lexical", lambda s, d: retrieval.lexical(views.documents(s, d), s.createDataFrame([(0, " ".join(_LEX))], "query_id int, query string"), 25).select("chunk_id", "score", F.col("rank").cast("bigint").alias("rank")), f"SELECT * FROM (SELECT doc_id AS chunk_id, CAST({_LEX_SQL} AS DOUBLE) AS score, row_number() OVER (ORDER BY {_LEX_SQL} DESC, doc_id) AS rank FROM documents WHERE {_LEX_SQL} > 0) WHERE rank <= 25")
+
+
+def _vector(spark: SparkSession, d: str) -> list[float]:
+    return list(views.table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+
+
+def _cosine_sql(where: str = "true") -> str:
+    return f"SELECT * FROM (SELECT vec_id AS chunk_id, round(c, 6) AS score, row_number() OVER (ORDER BY c DESC, vec_id) AS rank FROM (SELECT e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS c FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where})) WHERE rank <= 10"
+
+
+add("cosine_search", lambda s, d: retrieval.embedding(_vectors(s, d), _vector(s, d), 10).select("chunk_id", "score", F.col("rank").cast("bigint").alias("rank")), _cosine_sql())
+add("cosine_filtered", lambda s, d: retrieval.embedding(_vectors(s, d), _vector(s, d), 10, _vectors(s, d).where("label < 3").select("chunk_id")).select("chunk_id", "score", F.col("rank").cast("bigint").alias("rank")), _cosine_sql("e.label < 3"))
+
+
+def _zip(spark: SparkSession, d: str) -> DataFrame:
+    a = retrieval.bm25(views.documents(spark, d), _queries(spark).where("query_id = 0"), 10)
+    b = retrieval.lexical(views.documents(spark, d), spark.createDataFrame([(0, " ".join(_LEX))], "query_id int, query string"), 10)
+    return retrieval.zipper(a, b, 12).select("chunk_id", F.col("position").cast("bigint").alias("position"))
+
+
+add("hybrid_zipper", _zip, f"WITH a AS ({_bm25_sql(_Q[:1], 10)}), b AS (SELECT * FROM (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY {_LEX_SQL} DESC, doc_id) AS rank FROM documents WHERE {_LEX_SQL} > 0) WHERE rank <= 10), u AS (SELECT chunk_id, rank, 0 AS src FROM a UNION ALL SELECT chunk_id, rank, 1 FROM b), m AS (SELECT chunk_id, min(rank * 2 + src) AS place FROM u GROUP BY 1) SELECT chunk_id, row_number() OVER (ORDER BY place) AS position FROM m ORDER BY place LIMIT 12")
+add("bm25_explain", lambda s, d: retrieval.explain(views.documents(s, d), _queries(s).where("query_id = 2"), retrieval.bm25(views.documents(s, d), _queries(s).where("query_id = 2"), 10)).select("chunk_id", "term", F.col("tf").cast("bigint").alias("tf"), F.col("df").cast("bigint").alias("df"), "contribution"), f"WITH h AS ({_bm25_sql(_Q[2:], 10)}), d AS (SELECT doc_id AS chunk_id, {tokens_sql('text')} AS tokens FROM documents), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d), q AS (SELECT DISTINCT unnest({tokens_sql(repr(_Q[2]))}) AS term), f AS (SELECT term, (SELECT count(*) FROM d WHERE list_contains(tokens, q.term)) AS df FROM q) SELECT h.chunk_id, term, CAST(len(list_filter(tokens, lambda x: x = term)) AS BIGINT) AS tf, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * len(list_filter(tokens, lambda x: x = term)) * 2.2 / (len(list_filter(tokens, lambda x: x = term)) + 1.2 * (0.25 + 0.75 * len(tokens) / greatest(avgdl, 1.0))), 6) AS contribution FROM h JOIN d USING (chunk_id), f, s")
+add("fetch_chunks_ordered", lambda s, d: retrieval.fetch(views.documents(s, d).select("chunk_id", tx.snippet("text", 40).alias("snip")), s.createDataFrame([(0, "chunk:7"), (1, "chunk:3"), (2, "chunk:7"), (3, "chunk:-1")], "pos int, ref string").select("pos", "ref")).select("pos", F.col("chunk_id").cast("bigint").alias("chunk_id")), "SELECT CAST(pos AS INTEGER) AS pos, chunk_id FROM (VALUES (0, 7), (1, 3), (2, 7), (3, -1)) v(pos, chunk_id) JOIN documents ON doc_id = chunk_id")
+
+# ---- silver ------------------------------------------------------------------------------------
+
+_RULES = {"licence": ("license", "copyright"), "contact": ("@mail", "example.com"), "insult": ("loser", "idiot", "stupid", "trash"), "table": (" | ",)}
+_LEVELS = (("high", ("idiot", "worthless")), ("medium", ("trash", "clown")))
+
+
+def _extracted(spark: SparkSession, d: str) -> DataFrame:
+    docs = views.documents(spark, d)
+    calls = docs.select("call_id", "ordinal", F.col("text").alias("transcript"), F.array(F.struct(F.lit(1).alias("turn_index"), F.lit("u").alias("speaker"), "text")).alias("turns"))
+    chunks = docs.select("call_id", F.lit(1).alias("chunk_index"), F.col("call_id").alias("chunk_id"), "text")
+    return sv.extract(calls, chunks, [sv.list_row("theme", 0, _RULES), sv.enum_row("level", 1, _LEVELS), sv.boolean_row("secret", 2, ("password=", "token ="))])
+
+
+def _any_sql(terms: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{t}')" for t in terms) + ")"
+
+
+_THEME_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_any_sql(ks)} THEN '{v}' END" for v, ks in _RULES.items()) + "], lambda x: x IS NOT NULL)"
+_LEVEL_SQL = f"CASE WHEN {_any_sql(_LEVELS[0][1])} THEN 'high' WHEN {_any_sql(_LEVELS[1][1])} THEN 'medium' ELSE 'not_mentioned' END"
+_SECRET_SQL = _any_sql(("password=", "token ="))
+add("keyword_extract_list", lambda s, d: _extracted(s, d).where("field_name = 'theme'").select("call_id", F.array_join("value_list", ",").alias("themes"), F.size("evidence_refs").cast("bigint").alias("refs")), f"SELECT CAST(doc_id AS VARCHAR) AS call_id, array_to_string({_THEME_SQL}, ',') AS themes, CAST(least(len({_THEME_SQL}), 1) AS BIGINT) AS refs FROM documents")
+add("ordered_rule_enum", lambda s, d: _extracted(s, d).where("field_name = 'level'").select("call_id", F.col("value_str").alias("level")), f"SELECT CAST(doc_id AS VARCHAR) AS call_id, {_LEVEL_SQL} AS level FROM documents")
+add("boolean_by_evidence", lambda s, d: _extracted(s, d).where("field_name = 'secret'").select("call_id", F.col("value_bool").alias("secret"), "confidence"), f"SELECT CAST(doc_id AS VARCHAR) AS call_id, {_SECRET_SQL} AS secret, CASE WHEN {_SECRET_SQL} THEN 'high' ELSE 'low' END AS confidence FROM documents")
+_QUALITY_SQL = f"""SELECT field_name, sum(CAST(ok AS BIGINT)) AS s, count(*) AS n FROM (SELECT 'theme' AS field_name, len({_THEME_SQL}) > 0 AS ok FROM documents UNION ALL SELECT 'level', {_LEVEL_SQL} <> 'not_mentioned' FROM documents UNION ALL SELECT 'secret', {_SECRET_SQL} FROM documents) GROUP BY 1"""
+add("quality_report", lambda s, d: sv.quality(_extracted(s, d), views.documents(s, d)), f"SELECT field_name, CAST(s AS BIGINT) AS support_call_count, round(CAST(s AS DOUBLE) / n, 4) AS fill_rate, CAST(CASE WHEN s > 0 THEN 1 ELSE 0 END AS DOUBLE) AS evidence_coverage, CASE WHEN s > 0 THEN 'promote' ELSE 'hold' END AS status FROM ({_QUALITY_SQL})")
+
+
+def _pivoted(spark: SparkSession, d: str) -> DataFrame:
+    from siltstone.schemas import FieldSpec
+
+    specs = [FieldSpec("theme", "list"), FieldSpec("level", "enum"), FieldSpec("secret", "boolean")]
+    return sv.pivot(views.documents(spark, d).select("call_id", "ordinal"), _extracted(spark, d), specs).select("call_id", F.array_join("theme", ",").alias("theme"), "level", "secret", F.array_join("quality_flags", ",").alias("flags"))
+
+
+add("silver_pivot", _pivoted, f"SELECT CAST(doc_id AS VARCHAR) AS call_id, array_to_string({_THEME_SQL}, ',') AS theme, {_LEVEL_SQL} AS level, {_SECRET_SQL} AS secret, '' AS flags FROM documents")
+add("refs_first_k", lambda s, d: sv.with_chunks(views.calls(s, d).select("call_id", "ordinal"), chunking.pack(views.calls(s, d))).select("call_id", F.array_join(sv.refs_for(["the"], 2), ",").alias("refs")), f"WITH RECURSIVE {CHUNKS_SQL} SELECT call_id, coalesce(string_agg('chunk:' || chunk_id, ',' ORDER BY chunk_index) FILTER (hit AND k <= 2), '') AS refs FROM (SELECT *, contains(lower(text), 'the') AS hit, row_number() OVER (PARTITION BY call_id, contains(lower(text), 'the') ORDER BY chunk_index) AS k FROM chunks) GROUP BY 1")
+
+# ---- sets, joins, operations -------------------------------------------------------------------
+
+add("union_distinct_first_wins", lambda s, d: feedback.first_wins([views.documents(s, d).where("lang = 'en'").select("call_id", "ordinal", F.lit("en").alias("src")), views.documents(s, d).select("call_id", "ordinal", F.lit("all").alias("src"))], "call_id", "ordinal").select("call_id", "src"), "SELECT CAST(doc_id AS VARCHAR) AS call_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'all' END AS src FROM documents")
+add("dedupe_tasks", lambda s, d: views.documents(s, d).select(feedback.task_key("text").alias("task"), "ordinal").groupBy("task").agg(F.min("ordinal").alias("first_row")).select(tx.short_hash("task", 16).alias("task_id"), "first_row"), r"SELECT left(sha256(k), 16) AS task_id, min(doc_id) AS first_row FROM (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k, doc_id FROM documents) GROUP BY k")
+add("semi_anti_refs", lambda s, d: views.table(s, d, "labels").select("doc_id").join(views.table(s, d, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi").withColumn("known", F.lit(True)).unionByName(views.table(s, d, "labels").select("doc_id").join(views.table(s, d, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_anti").withColumn("known", F.lit(False))), "SELECT doc_id, doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AS known FROM labels")
+add("left_join_default", lambda s, d: views.table(s, d, "documents").select("doc_id").join(views.table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("toxic").isNull().alias("missing_field")), "SELECT doc_id, coalesce(quality, -1) AS quality, toxic IS NULL AS missing_field FROM documents LEFT JOIN labels USING (doc_id)")
+add("error_histogram", lambda s, d: feedback.error_histogram(views.table(s, d, "events").select(F.array("event_type", F.concat(F.lit("user_"), (F.col("user_id") % 7).cast("string"))).alias("validation_errors"))), "SELECT error, count(*) AS count FROM (SELECT event_type AS error FROM events UNION ALL SELECT 'user_' || CAST(user_id % 7 AS VARCHAR) FROM events) GROUP BY 1")
+add("usage_rollup", lambda s, d: feedback.usage_rollup(views.table(s, d, "events").select(F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("user_id") % 100).alias("output_tokens")), {"click": (2.0, 8.0), "view": (1.0, 4.0)}).drop("cost_usd"), "SELECT event_type AS model, count(*) AS calls, CAST(sum(event_id % 1000) AS BIGINT) AS input_tokens, CAST(sum(user_id % 100) AS BIGINT) AS output_tokens FROM events GROUP BY 1")
+add("redact_replay", lambda s, d: feedback.redacted(views.table(s, d, "documents").select("doc_id", "text", "source")), "SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN text ELSE '[redacted]' END AS text, source FROM documents")
+add("eval_subset_pass", lambda s, d: views.silver(s, d, flags=True).select("call_id", (F.size(F.array_except(F.array(F.lit("N"), F.lit("R")), F.coalesce("flags", F.array().cast("array<string>")))) == 0).alias("passed")), f"WITH {SILVER_SQL} SELECT call_id, coalesce(list_has_all(flags, ['N', 'R']), false) AS passed FROM silver")
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    e = views.table(spark, d, "events")
+    r = e.select(F.col("event_id").alias("ordinal"), F.col("event_type").alias("field_name"), F.element_at(F.array(*map(F.lit, feedback.ACTION)), (F.col("event_id") % 3 + 1).cast("int")).alias("action"), F.element_at(F.array(*map(F.lit, feedback.TYPE)), (F.col("user_id") % 4 + 1).cast("int")).alias("field_type"), F.element_at(F.array(*map(F.lit, feedback.PRIORITY)), (F.col("user_id") % 2 + 1).cast("int")).alias("priority"), F.col("props").alias("description"), F.array(F.col("user_id").cast("string")).alias("suggested_allowed_values"))
+    return feedback.merge_requests(r).select("field_name", "priority", "action", "field_type", "count", F.array_join("suggested_allowed_values", ",").alias("suggested"))
+
+
+add("feedback_merge", _merged, """WITH r AS (SELECT event_type AS field_name, event_id, CAST(user_id AS VARCHAR) AS u, ['add_field', 'improve_extraction', 'add_allowed_values'][event_id % 3 + 1] AS action, ['string', 'list', 'enum', 'boolean'][user_id % 4 + 1] AS field_type, ['low', 'medium'][user_id % 2 + 1] AS priority FROM events),
+    f AS (SELECT field_name, u, min(event_id) AS e, row_number() OVER (PARTITION BY field_name ORDER BY min(event_id)) AS k FROM r GROUP BY 1, 2)
+    SELECT field_name, arg_max(priority, CASE priority WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS priority, arg_max(action, CASE action WHEN 'add_field' THEN 3 WHEN 'improve_extraction' THEN 2 ELSE 1 END) AS action, arg_max(field_type, CASE field_type WHEN 'string' THEN 3 WHEN 'list' THEN 2 WHEN 'enum' THEN 1 ELSE 0 END) AS field_type, count(*) AS count,
+    (SELECT string_agg(u, ',' ORDER BY k) FROM f WHERE f.field_name = r.field_name AND k <= 24) AS suggested FROM r GROUP BY field_name""")
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    c = views.table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") < 5, F.col("p_name")).alias("duplicate_of"), (F.col("p_size") > 45).alias("uncertain"), F.when(F.col("p_retailprice") > 1500, "promote").otherwise("hold").alias("status"), (F.col("p_size") % 3).alias("support"))
+    return feedback.decide(c).select("p_partkey", "decision")
+
+
+add("negotiation_decision", _decided, "SELECT p_partkey, CASE WHEN p_size < 5 AND p_name IS NOT NULL THEN 'merge' WHEN p_size > 45 THEN 'human_review' WHEN p_retailprice > 1500 THEN 'promote' WHEN p_size % 3 > 0 THEN 'retrieval_only' ELSE 'defer' END AS decision FROM part")
