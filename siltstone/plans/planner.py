@@ -1,0 +1,219 @@
+"""Questions to plans: rules on the driver that emit bound, validated steps over DataFrame operators."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field, replace
+from typing import Any, Protocol
+
+from siltstone.functions.text import QUERY_STOPWORDS
+from siltstone.operators import aggregates
+from siltstone.operators.filters import validate_filters
+from siltstone.operators.retrieval import MAX_FANOUT, bounded_limit
+from siltstone.schemas import NOT_MENTIONED, Catalog, FieldSpec
+
+OPERATIONS = ("filter", "aggregate", "search")
+TOOLS = ("search_chunks", "bm25_search_chunks", "embedding_search_chunks", "query_silver", "aggregate_silver", "fetch_chunks", "review_schema_gaps")
+SEARCH_TOOLS = TOOLS[:3]
+
+# Words that stand for a filter or a field.
+FILTER_WORDS = (
+    (("security", "sso", "audit", "redaction", "access control", "strict access"), "security_review_requested", True),
+    (("pricing", "price", "commercial"), "renewal_risk", "pricing_pushback"),
+    (("missing data", "duplicate account", "missing opportunity", "campaign names"), "implementation_blocker", "missing_data"),
+)
+FIRST_OF = {
+    "complaint_theme": (("coupon", "coupon_confusion"), ("refund", "refund_policy"), ("shipping", "shipping_delay"), ("mobile login", "mobile_login")),
+    "integration_request": tuple((s, s) for s in ("salesforce", "hubspot", "slack", "jira", "bigquery", "warehouse", "api")),
+}
+GROUP_WORDS = {
+    "product_area": ("product area", "product", "area", "プロダクト"),
+    "topic": ("topic", "theme", "トピック"),
+    "pain_point": ("pain", "pain point", "課題"),
+    "urgency": ("urgency", "urgent", "緊急"),
+    "implementation_blocker": ("blocker", "implementation blocker"),
+    "renewal_risk": ("risk", "renewal"),
+    "complaint_theme": ("complaint", "coupon", "refund", "shipping"),
+}
+_COUNTS = re.compile(r"\b(count|aggregate|distribution|breakdown)\b|\bhow many\b|何件|集計|別|break down|group by|grouped by")
+FEEDBACK_USE = "qu feedback refinement"
+
+
+@dataclass(frozen=True)
+class Step:
+    tool: str
+    arguments: dict[str, Any] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Request:
+    """A wish for a field, sent back to the schema."""
+
+    action: str
+    field_name: str
+    field_type: str = "list"
+    description: str = ""
+    reason: str = ""
+    priority: str = "medium"
+    suggested_allowed_values: tuple[str, ...] = ()
+    example_queries: tuple[str, ...] = ()
+    evidence_refs: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Plan:
+    operation: str
+    filters: dict[str, Any] = field(default_factory=dict)
+    group_by: str | None = None
+    expression: str | None = None
+    query: str = ""
+    evidence: bool = True
+    steps: tuple[Step, ...] = ()
+    requests: tuple[Request, ...] = ()
+    planner: str = "heuristic"
+
+
+class Planner(Protocol):
+    """May also have ``replan(query, catalog, observation)``."""
+
+    def plan(self, query: str, catalog: Catalog) -> Plan: ...
+
+
+def terms_of(text: str) -> list[str]:
+    return [t for t in re.findall("[a-z0-9]+", text.lower().replace("_", " ")) if len(t) > 2 and t not in QUERY_STOPWORDS]
+
+
+def default_steps(p: Plan) -> tuple[Step, ...]:
+    ends = (Step("fetch_chunks", {"limit": 8}), Step("review_schema_gaps"))
+    look = lambda limit, filters=None, **more: Step("bm25_search_chunks", {"query": p.query, "filters": filters or {}, "limit": limit, **more})
+    silver = Step("query_silver", {"filters": p.filters, "limit": 50})
+    if p.operation == "aggregate":
+        how = {k: v for k, v in (("filters", p.filters), ("group_by", p.group_by), ("expression", p.expression)) if v or k == "filters"}
+        return (look(8), silver, Step("aggregate_silver", how), *ends)
+    return (silver, look(8, p.filters), *ends) if p.operation == "filter" else (look(10, promote_records=True), *ends)
+
+
+def feedback_filter(text: str, catalog: Catalog) -> dict[str, Any]:
+    """A filter on a field that feedback brought in, by overlap of terms; the best score, then the name, decides."""
+    asked, found = set(terms_of(text)), []
+    for s in catalog.fields.values():
+        if not s.filterable or FEEDBACK_USE not in (u.lower() for u in s.downstream_use_cases) and "downstream queries expressible" not in s.description.lower():
+            continue
+        own = len(asked & set(terms_of(f"{s.name} {s.description}")))
+        if s.type == "boolean" and own:
+            found.append((-(own + 2), s.name, True))
+            continue
+        best = None
+        for v in s.allowed_values:
+            shared = asked & set(terms_of(v))
+            if v != NOT_MENTIONED and shared:
+                key = (-(len(shared) + 2 * (v.replace("_", " ") in text)), -len(terms_of(v)), v)
+                best = min(best, key) if best else key
+        if best:
+            found.append((-(own + len(asked & set(terms_of(best[2]))) + 1), s.name, best[2]))
+    return {min(found)[1]: min(found)[2]} if found else {}
+
+
+class HeuristicPlanner:
+    def plan(self, query: str, catalog: Catalog) -> Plan:
+        text, filters = query.lower(), {}
+        for words, name, value in FILTER_WORDS:
+            if name in catalog.fields and any(w in text for w in words):
+                filters[name] = value
+        for name, pairs in FIRST_OF.items():
+            hit = next((v for w, v in pairs if w in text), None)
+            if hit and name in catalog.fields:
+                filters[name] = hit
+        filters = filters or feedback_filter(text, catalog)
+        group = None
+        operation = "aggregate" if _COUNTS.search(text) else "filter" if filters else "search"
+        if operation == "aggregate":
+            named = [n for n, ws in GROUP_WORDS.items() if n in catalog.fields and any(w in text for w in ws)] + [n for n in catalog.fields if n.replace("_", " ") in text]
+            group = named[0] if named else "topic" if "topic" in catalog.fields else next(iter(catalog.fields), None)
+        p = Plan(operation, filters, group, query=query)
+        return replace(p, steps=default_steps(p))
+
+
+def bind(payload: dict[str, Any], query: str, catalog: Catalog, planner: str = "model") -> Plan:
+    """A plan from a model's payload: everything is checked against the catalog before anything runs."""
+    operation = payload.get("operation")
+    if operation not in OPERATIONS:
+        raise ValueError(f"operation not allowed: {operation!r}")
+    filters = validate_filters(payload.get("filters") or {}, catalog)
+    group, expression = payload.get("group_by") or None, payload.get("aggregation_expression") or None
+    if operation == "search":
+        filters, group, expression = {}, None, None
+    if operation == "aggregate":
+        if expression:
+            aggregates.validate(expression, catalog)
+        elif group is None:
+            raise ValueError("an aggregate needs group_by or an expression")
+        elif not catalog[group].aggregatable:
+            raise ValueError(f"field can't be aggregated: {group}")
+    requests = tuple(r for r in (request_of(x, catalog) for x in payload.get("column_requests") or []) if r)
+    p = Plan(operation, filters, group, expression, payload.get("ranking_query") or query, bool(payload.get("retrieve_evidence", True)), requests=requests, planner=planner)
+    return replace(p, steps=checked_steps(payload.get("steps") or [], p, catalog))
+
+
+def request_of(item: dict[str, Any], catalog: Catalog) -> Request | None:
+    """Normalises a request; add_field on a field that exists is dropped, other actions on unknown fields become add_field."""
+    name = re.sub("[^a-z0-9]+", "_", str(item.get("field_name", "")).strip().lower()).strip("_")
+    if not name:
+        return None
+    name = f"field_{name}" if name[0].isdigit() else name
+    action = item.get("action") if item.get("action") in ("add_field", "add_allowed_values", "improve_extraction") else "add_field"
+    if action == "add_field" and name in catalog.fields:
+        return None
+    if name not in catalog.fields:
+        action = "add_field"
+    texts = lambda k: tuple(dict.fromkeys(str(v).strip() for v in item.get(k) or [] if str(v).strip()))[:12]
+    kind = item.get("field_type") if item.get("field_type") in ("list", "enum", "boolean", "string") else "list"
+    rank = item.get("priority") if item.get("priority") in ("low", "medium", "high") else "medium"
+    return Request(action, name, kind, str(item.get("description", "")), str(item.get("reason", "")), rank, texts("suggested_allowed_values"), texts("example_queries"), texts("evidence_refs"))
+
+
+def checked_steps(raw: list[dict[str, Any]], p: Plan, catalog: Catalog) -> tuple[Step, ...]:
+    """Steps from an allow-list with clamped limits; what an operation can't do without is put in."""
+    out: list[Step] = []
+    for item in raw:
+        tool, args = item.get("tool"), dict(item.get("arguments") or {})
+        if tool not in TOOLS:
+            raise ValueError(f"tool not allowed: {tool!r}")
+        if "queries" in args and (tool not in SEARCH_TOOLS or len(args["queries"]) > MAX_FANOUT):
+            raise ValueError("queries are for search tools, at most 20")
+        if "limit" in args:
+            args["limit"] = bounded_limit(args["limit"])
+        if "filters" in args:
+            args["filters"] = validate_filters(args["filters"] or {}, catalog)
+        if tool == "aggregate_silver":
+            if args.get("expression"):
+                aggregates.validate(args["expression"], catalog)
+            elif args.get("group_by") and not catalog[args["group_by"]].aggregatable:
+                raise ValueError(f"field can't be aggregated: {args['group_by']}")
+        out.append(Step(tool, args))
+    tools = [s.tool for s in out]
+    if not out or p.operation == "aggregate" and "aggregate_silver" not in tools:
+        return default_steps(p)
+    if "aggregate_silver" in tools and "query_silver" not in tools:
+        out.insert(tools.index("aggregate_silver"), Step("query_silver", {"filters": p.filters, "limit": 50}))
+    for tool, args in (("fetch_chunks", {"limit": 8}), ("review_schema_gaps", {})):
+        if tool not in [s.tool for s in out]:
+            out.append(Step(tool, args))
+    return tuple(out)
+
+
+def feedback_specs(specs: list[FieldSpec], requests: list[Request], most_values: int = 24, most_new: int = 12) -> list[FieldSpec]:
+    """Specs with requested values merged in and requested fields appended."""
+    out = {s.name: s for s in specs}
+    new = 0
+    for r in requests:
+        if r.field_name in out:
+            s = out[r.field_name]
+            if s.type in ("list", "enum"):
+                out[s.name] = replace(s, allowed_values=tuple(dict.fromkeys((*s.allowed_values, *r.suggested_allowed_values)))[:most_values])
+        elif new < most_new and r.field_name:
+            values = r.suggested_allowed_values[:most_values]
+            kind = r.field_type if r.field_type in ("boolean", "string") or values else "boolean"
+            out[r.field_name] = FieldSpec(r.field_name, kind, r.description, values, (FEEDBACK_USE,))
+            new += 1
+    return list(out.values())

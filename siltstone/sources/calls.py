@@ -64,7 +64,7 @@ def turns_of(df: DataFrame, column: str = TURNS) -> Column:
 
 def lines_as_turns(transcript: Column) -> Column:
     """Turns of a plain transcript: its lines that aren't blank."""
-    lines = F.filter(F.transform(F.split(transcript, r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(transcript, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(lines, lambda x, i: F.struct((i + 1).alias("turn_index"), F.lit("unknown").alias("speaker"), x.alias("text")))
 
 
@@ -77,10 +77,12 @@ def normalize_calls(raw: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("turn:"), t["turn_index"].cast("string"), F.lit(" speaker:"), t["speaker"], F.lit(": "), t["text"])), "\n")
     plain = first_present(cols, TRANSCRIPT)
     rest = [c for c in cols if c not in (TURNS, "metadata", "ordinal")]
-    base = raw.withColumn("turns", turns).withColumn("transcript", F.coalesce(F.when(F.size("turns") > 0, said), plain, F.raise_error(F.lit("a call has no transcript")).cast("string")))
+    scalar = lambda c: not isinstance(raw.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType))
+    told = [x for c in rest for x in (F.lit(c), F.col(c).cast("string") if scalar(c) else F.to_json(c))]
+    meta = F.map_filter(F.create_map(*told), lambda k, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
+    base = raw.withColumn("_meta", meta).withColumn("turns", turns).withColumn("transcript", F.coalesce(F.when(F.size("turns") > 0, said), plain, F.raise_error(F.lit("a call has no transcript")).cast("string")))
     call_id = F.coalesce(first_present(cols, CALL_ID), F.concat(F.lit("call-"), F.substring(F.sha2("transcript", 256), 1, 12)))
-    meta = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), raw[c].cast("string") if not isinstance(raw.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.to_json(raw[c]))]), lambda k, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
-    return base.select("ordinal", call_id.alias("call_id"), unknown(CUSTOMER).alias("customer_id"), unknown(ACCOUNT).alias("account_name"), unknown(DATE).alias("date"), "transcript", F.when(F.size("turns") > 0, F.col("turns")).otherwise(lines_as_turns(F.col("transcript"))).alias("turns"), meta.alias("metadata"))
+    return base.select("ordinal", call_id.alias("call_id"), unknown(CUSTOMER).alias("customer_id"), unknown(ACCOUNT).alias("account_name"), unknown(DATE).alias("date"), "transcript", F.when(F.size("turns") > 0, F.col("turns")).otherwise(lines_as_turns(F.col("transcript"))).alias("turns"), F.col("_meta").alias("metadata"))
 
 
 def turns_table(conversations: DataFrame) -> DataFrame:
