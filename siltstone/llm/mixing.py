@@ -68,8 +68,8 @@ def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int
     for _ in range(rounds):
         off = F.lit(0.0)
         for m in MARGINS:
-            now = w.groupBy(m).agg(F.sum("w").alias("now")).join(targets[m], m).select(m, (F.col("target") / F.col("now")).alias("f"))
-            w = w.join(now, m).withColumn("w", F.col("w") * F.col("f")).withColumn("off", F.greatest(off, F.abs(F.col("f") - 1))).drop("f")
+            now = w.groupBy(m).agg(F.sum("w").alias("now")).join(targets[m], m).select(m, F.try_divide("target", "now").alias("f"))
+            w = w.join(now, m).withColumn("w", F.col("w") * F.coalesce("f", F.lit(0.0))).withColumn("off", F.greatest(off, F.coalesce(F.abs(F.col("f") - 1), F.lit(0.0)))).drop("f")
             off = F.col("off")
         w = stash(w)
         if w.agg(F.max("off")).first()[0] < error:
