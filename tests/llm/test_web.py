@@ -77,9 +77,12 @@ def test_archive_round_trip(spark):
         warc.read(spark, other).select("payload_digest").collect()
 
 
-def test_archive_query_matches_sql(spark, sf_dir):
-    got = queries.op5_warc(spark, sf_dir)
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_match_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
-    want = c.execute(queries.SQL["op5_warc"]).fetchall()
-    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    for t in ("pages", "documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    r = c.execute(queries.SQL[name])
+    cols = [x[0] for x in r.description]
+    want = sorted(map(str, r.fetchall()))
+    assert sorted(str(tuple(row[k] for k in cols)) for row in queries.QUERIES[name](spark, sf_dir).collect()) == want
