@@ -2,14 +2,14 @@
 
 A document is its set of distinct word n-grams. Two sets within one size band
 and with Jaccard >= t differ in at most k elements; the hashed feature domain is cut
-into n1 parts of three cells each, so that in one part at least the two differ in at
-most one element, and hence agree on two of that part's three cells. A signature is
-the content of two cells of a part: similar sets always share one, and unrelated sets
-would have to agree on a dozen n-grams. Sets near a band's upper edge are signed for the next
+into parts of a few cells each, so many that in some parts the two differ in at
+most one element, and hence agree on all cells of such a part but one. A signature is
+the content of a part without one cell: similar sets always share one, and unrelated sets
+would have to agree on all its n-grams. Sets near a band's upper edge are signed for the next
 band too. Candidates are then verified by exact intersection counts.
 
-Scale: texts are read once for signatures and once more only for candidates.
-Equal sets are merged before anything is joined. Signatures are shuffled once; every
+Scale: texts are read for keys, for signatures, and once more for candidates only; no
+signature is stored. Equal sets are one vertex. Signatures are shuffled once; every
 bucket yields a star of edges to its smallest member, never its pairs. The stars' components
 are compared exhaustively in pairs of bounded blocks, so a group may be of any size,
 and only degrees and spanning edges leave a block.
@@ -32,8 +32,8 @@ from .common import block_pairs, connected_components, forest, grouped, mix64, s
 WORD_CACHE = 1_000_000
 #: n-grams (and 800 more a document) that a block of a group holds.
 BLOCK = 400_000
-CELLS = 3
-_LEAD = 1 << 63
+#: Largest k for which every two of k + 2 cells are a signature.
+FEW = 6
 
 
 class _Words(dict):
@@ -67,6 +67,54 @@ def _bands(percent: int) -> tuple[list[int], list[int]]:
     return low, k
 
 
+def _wrapped_sums(at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums modulo 2^64 by index. In two halves, as bincount adds in doubles: exact up to 2^21 values an index."""
+    lo = np.bincount(at, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64)
+    hi = np.bincount(at, (value >> np.uint64(32)).astype(np.float64), n).astype(np.uint64)
+    return lo + (hi << np.uint64(32))
+
+
+def _sealed(content: np.ndarray, part: np.ndarray, tag: int, code: int) -> np.ndarray:
+    return mix64(mix64(content) + mix64((part.astype(np.uint64) << np.uint64(8)) + np.uint64((tag << 44) + code)))
+
+
+def _few(value: np.ndarray, spread: np.ndarray, k: int, tag: int) -> np.ndarray:
+    """For small k: k + 2 cells, every two of them a signature; k differences leave two cells untouched."""
+    cells = _wrapped_sums((spread % np.uint64(k + 2)).astype(np.int64), value, k + 2)
+    a, b = np.triu_indices(k + 2, 1)
+    return _sealed(cells[a] + mix64(cells[b]), a * 256 + b, tag, 255)
+
+
+def _parts(value: np.ndarray, spread: np.ndarray, k: int, tag: int, c: int) -> np.ndarray:
+    """Parts of c cells; a signature is a part without one of its cells. Of n1 parts more than 2 s differ in one
+    element at most. Where a part has nothing but the cell left out, that cell is cut in
+    c again and signed without one of those. Signatures with no content at all would tie unrelated sets: every set leaves
+    those of its first s such parts out, which of more than 2 s parts leaves one to both sets of a pair."""
+    n1 = k // 2 + 1
+    slack = max(1, n1 // 10)
+    n1 += 2 * slack
+    part = ((spread >> np.uint64(16)) % np.uint64(n1)).astype(np.int64)
+    cell, sub = ((spread & np.uint64(0xFF)) % np.uint64(c)).astype(np.int64), (((spread >> np.uint64(8)) & np.uint64(0xFF)) % np.uint64(c)).astype(np.int64)
+    at = (part * c + cell) * c + sub
+    val, cnt = _wrapped_sums(at, value, n1 * c * c).reshape(n1, c, c), np.bincount(at, minlength=n1 * c * c).reshape(n1, c, c)
+    cells, counts = val.sum(2, dtype=np.uint64), cnt.sum(2)
+    whole, all_of = cells.sum(1, dtype=np.uint64), counts.sum(1)
+    out, weak = [], []
+    for x in range(c):
+        has = all_of > counts[:, x]
+        at = np.flatnonzero(has)
+        out.append(_sealed(whole[at] - cells[at, x], at, tag, x))
+        at = np.flatnonzero(~has)
+        for y in range(c):
+            told = counts[at, x] > cnt[at, x, y]
+            sig = _sealed(cells[at, x] - val[at, x, y], at, tag, c + x * c + y)
+            out.append(sig[told])
+            weak.append((at[~told], sig[~told]))
+    where, sigs = np.concatenate([w[0] for w in weak]), np.concatenate([w[1] for w in weak])
+    left_out = np.unique(where)[:slack]
+    return np.concatenate([*out, sigs[~np.isin(where, left_out)]])
+
+
 def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     """PartEnum signatures of a set of 64-bit features."""
     low, ks = _bands(percent)
@@ -75,44 +123,57 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     band = int(np.searchsorted(low, size, side="right")) - 1
     tags = [band] + [band + 1] * (100 * size >= percent * low[band + 1])
-    spread = mix64(features ^ np.uint64(0xA5A5A5A55A5A5A5A))
-    value = mix64(features + np.uint64(0x51ED270B))
-    lo, hi = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
-    third = ((spread & np.uint64(0xFFFF)) % np.uint64(CELLS)).astype(np.int64)
+    spread, value = mix64(features ^ np.uint64(0xA5A5A5A55A5A5A5A)), mix64(features + np.uint64(0x51ED270B))
     out = []
     for tag in tags:
-        n1 = max(1, (ks[tag] + 2) // 2)
-        if ks[tag] == 0:
-            cells = np.array([[value.sum(dtype=np.uint64), 0, 0]], np.uint64)
-            subsets = [(0, 1)]
+        k = ks[tag]
+        if k == 0:
+            out.append(_sealed(value.sum(dtype=np.uint64, keepdims=True), np.zeros(1, np.int64), tag, 254))
+        elif k <= FEW:
+            out.append(_few(value, spread, k, tag))
         else:
-            cell = ((spread >> np.uint64(16)) % np.uint64(n1)).astype(np.int64) * CELLS + third
-            # two halves, as bincount adds in doubles: exact up to 2^21 features of a cell
-            sums = [np.bincount(cell, x, n1 * CELLS).astype(np.uint64) for x in (lo, hi)]
-            cells = (sums[0] + (sums[1] << np.uint64(32))).reshape(n1, CELLS)
-            subsets = [(0, 1), (0, 2), (1, 2)]
-        part = np.arange(n1, dtype=np.uint64) + np.uint64(tag << 40)
-        out += [mix64(mix64(cells[:, a]) + mix64(cells[:, b] ^ np.uint64(0x77)) + mix64(part * np.uint64(4) + np.uint64(s))) for s, (a, b) in enumerate(subsets)]
+            out.append(_parts(value, spread, k, tag, 3 if percent >= 85 else 2))
     return np.concatenate(out)
 
 
-def _signed(id_col: str, n: int, percent: int):
+def _set_key(f: np.ndarray) -> tuple[int, int]:
+    raw = xxhash.xxh3_128(f.tobytes()).digest()
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+
+
+def _keyed(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            if len(words) > WORD_CACHE:
+                words.clear()
+            sets = [ngram_set(t.as_py(), n, words) for t in batch.column("text")]
+            keys = [_set_key(f) for f in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["id", "n", "k1", "k2"])
+
+    return run
+
+
+def _signed(n: int, percent: int):
+    """(k1, sig): the first half of the set's key with each of its signatures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             if len(words) > WORD_CACHE:
                 words.clear()
-            sizes, k1, k2, sigs = [], [], [], []
+            keys, sigs, held = [], [], 0
             for text in batch.column("text"):
                 f = ngram_set(text.as_py(), n, words)
-                sizes.append(len(f))
-                raw = xxhash.xxh3_128(f.tobytes()).digest()
-                k1.append(int.from_bytes(raw[:8], "big", signed=True))
-                k2.append(int.from_bytes(raw[8:], "big", signed=True))
-                sigs.append(signatures(f, percent).view(np.int64))
-            ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-            flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "k1", "k2", "sigs"])
+                if len(f):
+                    sigs.append(signatures(f, percent).view(np.int64))
+                    keys.append(np.full(len(sigs[-1]), _set_key(f)[0]))
+                    held += len(sigs[-1])
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sigs))], ["k1", "sig"])
+                    keys, sigs, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sigs))], ["k1", "sig"])
 
     return run
 
@@ -200,16 +261,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 50 <= percent <= 100:
         raise ValueError("percent must be within 50..100")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stash(src.mapInArrow(_signed("id", n, percent), "id long, n long, k1 long, k2 long, sigs array<long>"))
-    some = signed.where("n > 0 and id is not null")
-    classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.any_value("sigs").alias("sigs"))
-    bucket = classes.select("rep", F.explode("sigs").alias("sig")).withColumn("hub", F.expr("min(rep) over (partition by sig)"))
-    stars = bucket.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    near = stash(connected_components(stars).select(F.col("id"), F.col("component").alias("cluster")))
-    texts = src.join(sized(near.select("id")), "id", "left_semi")
-    copies = some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
-    copies = copies.groupBy("id").agg(F.sum("copies").alias("copies"), F.max("n").alias("n"))
-    members = near.join(copies, "id").withColumn("weight", F.col("n") + 800)
+    keyed = stash(src.mapInArrow(_keyed(n), "id long, n long, k1 long, k2 long"))
+    some = keyed.where("n > 0 and id is not null")
+    bucket = src.where("id is not null").select("text").mapInArrow(_signed(n, percent), "k1 long, sig long").withColumn("hub", F.expr("min(k1) over (partition by sig)"))
+    stars = bucket.where("k1 <> hub").select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
+    near = stash(connected_components(stars).select(F.col("id").alias("k1"), F.col("component").alias("cluster")))
+    classes = some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
+    members = stash(near.join(classes, "k1").groupBy("id").agg(F.min("cluster").alias("cluster"), F.sum("copies").alias("copies"), (F.max("n") + 800).alias("weight")))
+    texts = src.join(sized(members.select("id")), "id", "left_semi")
     blocks = block_pairs(members, "cluster", "id", "weight", BLOCK).select("id", "cluster", "copies", "blk", "i", "j")
     sets = texts.mapInArrow(_sets(n), "id long, features binary")
     pairs = blocks.join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
@@ -219,8 +278,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     known = known.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
     known = known.select("k1", "k2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    unstash(near)
-    out = signed.select("id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
+    unstash(near, members)
+    out = keyed.join(known, ["k1", "k2"], "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     return out.select(
         F.col("id").alias(id_col),
