@@ -58,11 +58,12 @@ def ngram_set(text: str | None, n: int, words: _Words) -> np.ndarray:
 
 @cache
 def _bands(percent: int) -> tuple[list[int], list[int]]:
-    """Lower edges of the size bands, each about percent^-4 wide, and the largest
-    symmetric difference k of two sets of a band, up to 2^40 elements."""
+    """Lower edges of the size bands, whose upper edge is about 1.5 times the lower, and the
+    largest symmetric difference k of two sets of a band, up to 2^40 elements."""
+    wide = max(1.5, 100 / percent)
     low, k = [1], []
     while low[-1] < 1 << 40:
-        low.append(max(low[-1] + 1, int(low[-1] * (100 / percent) ** 4)))
+        low.append(max(low[-1] + 1, int(low[-1] * wide)))
         k.append(2 * (low[-1] - 1) * (100 - percent) // (100 + percent))
     return low, k
 
@@ -85,7 +86,7 @@ def _few(value: np.ndarray, spread: np.ndarray, k: int, tag: int) -> np.ndarray:
     return _sealed(cells[a] + mix64(cells[b]), a * 256 + b, tag, 255)
 
 
-def _parts(value: np.ndarray, spread: np.ndarray, k: int, tag: int, c: int) -> np.ndarray:
+def _parts(value: np.ndarray, spread: np.ndarray, k: int, tag: int, c: int = 3) -> np.ndarray:
     """Parts of c cells; a signature is a part without one of its cells. Of n1 parts more than 2 s differ in one
     element at most. Where a part has nothing but the cell left out, that cell is cut in
     c again and signed without one of those. Signatures with no content at all would tie unrelated sets: every set leaves
@@ -132,7 +133,7 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
         elif k <= FEW:
             out.append(_few(value, spread, k, tag))
         else:
-            out.append(_parts(value, spread, k, tag, 3 if percent >= 85 else 2))
+            out.append(_parts(value, spread, k, tag))
     return np.concatenate(out)
 
 
