@@ -4,7 +4,8 @@ Tokens are summed per cell (source, language, topic); cell weights are raked unt
 their marginals meet the targets of all three; documents are then sampled by
 probabilities in proportion to what their cell was raked by. Where a cell needs more than it
 has, its probability is 1 and the rest is carried by ``weight``, so that weighted tokens
-of the sample meet the targets in expectation.
+of the sample meet the targets in expectation. ``sample`` has no weights: it keeps as much as lets
+every probability stay within 1, so that the tokens of the rows themselves meet the targets.
 """
 
 from __future__ import annotations
@@ -87,12 +88,14 @@ def _scale(f: np.ndarray, tokens: np.ndarray, keep: float) -> float:
     return hi
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.8, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.8, seed: int = 23, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True) -> DataFrame:
     """``docs`` with topic, n_tokens, probability, weight and selected (columns of these names
     are replaced).
 
     ``targets`` gives shares by value for any of source, lang and topic; a margin that isn't given
-    takes ``tempered`` shares. ``keep`` is the expected share of all tokens in the sample. Null
+    takes ``tempered`` shares. ``keep`` is the expected share of all tokens in the sample. If not
+    ``weighted``, every weight is 1 and the selected tokens alone meet the targets: no cell may need
+    more than it has, so at most 1 / (the largest raking factor) of all tokens is kept, however large ``keep`` is. Null
     source or lang counts as "unknown"; values without a target get weight 0; texts
     without words weigh nothing and are selected with their cell's probability. Selection hashes the
     id and the seed, so it doesn't change with partitions; repeated ids go together.
@@ -119,6 +122,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
         rows.loc[base == 0, "factor"] = 1.0
         factors = docs.sparkSession.createDataFrame(rows.drop(columns="tokens") if len(rows) else [], "source string, lang string, topic string, factor double")
         f, tokens = rows["factor"].to_numpy(float), base
+        top = f[base > 0].max(initial=0.0)
     else:
         aims = {}
         for m in MARGINS:
@@ -133,7 +137,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
         # the scale needs only how tokens spread over factors: 4096 steps of equal ratio
         step = raked.where("factor > 0").groupBy(F.round(F.log2("factor") * 64).alias("s")).agg(F.sum("tokens").alias("t")).toPandas()
         f, tokens = np.exp2(step["s"].to_numpy(float) / 64), step["t"].to_numpy(float)
-    c = _scale(f, tokens, keep) if len(f) and (f * tokens).sum() > 0 else 1.0
+        top = raked.where("tokens > 0").agg(F.max("factor")).first()[0]
+    if len(f) and (f * tokens).sum() > 0:
+        c = _scale(f, tokens, keep) if weighted else min(_scale(f, tokens, keep), 1.0 / top)
+    else:
+        c = 1.0
     odds = factors.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.least(F.lit(1.0), F.col("factor") * F.lit(float(c))).alias("probability"), F.greatest(F.lit(1.0), F.col("factor") * F.lit(float(c))).alias("weight"))
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     on = [f"_{m}" for m in MARGINS]
@@ -142,5 +150,5 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
-    """The documents that ``mix`` selects, columns as they were."""
-    return mix(docs, **how).where("selected").select(*docs.columns)
+    """The documents that ``mix`` selects without weights, columns as they were: their own tokens have the target shares."""
+    return mix(docs, **how, weighted=False).where("selected").select(*docs.columns)

@@ -99,6 +99,21 @@ def test_mixing_meets_targets(spark, monkeypatch):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_sampled_rows_have_the_target_shares(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(50, 100)), rng.choice(("en", "en", "en", "en", "de")), rng.choice("aab")) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.5, "b": 0.5}}
+    for cells in (mixing.MAX_CELLS, 0):
+        monkeypatch.setattr(mixing, "MAX_CELLS", cells)
+        got = mixing.sample(df, targets=targets, keep=0.8).collect()
+        tokens = [len(r["text"].split()) for r in got]
+        assert sum(tokens) > 0.2 * sum(len(r[1].split()) for r in rows)
+        for m, want in targets.items():
+            for v, share in want.items():
+                assert abs(sum(n for n, r in zip(tokens, got) if r[m] == v) / sum(tokens) - share) < 0.03
+
+
 def test_surrogates(spark):
     text = "Mr. John Smith met Frau Anna Schmidt; JOE.X@MAIL.COM or joe.x@mail.com, +1 (456) 555-2186, +14565552186. 4111 1111 1111 1111 and 4111111111111111, 10.0.0.7; DE89 3704 0044 0532 0130 00; 078-05-1120 Господин Иван Петров."
     rows = [(i, text) for i in range(40)] + [(100, None), (101, ""), (102, "no one here 12345 v1.2.3"), (103, "a" * 200_000 + " 4.4.8.8")] + [(200 + k, f"call +1 (456) 555-{k:04d} now") for k in range(300)]
