@@ -107,6 +107,7 @@ _LABEL_SQL = "regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_',
 _CONTENT_SQL = "list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{2,}'), lambda w: " + _LABEL_SQL.replace("{0}", "w") + f"), lambda w: length(w) >= 3 AND w NOT IN {_SCHEMA_STOP})"
 _text("tokenize", lambda: F.array_join(tx.english_tokens("text"), " "), f"array_to_string({tokens_sql('text')}, ' ')")
 _text("normalize_label", lambda: tx.normalize_label(F.substring("text", 1, 60)), _LABEL_SQL.replace("{0}", "substring(text, 1, 60)"))
+_text("normalize_label_whole", lambda: tx.normalize_label("text"), _LABEL_SQL.replace("{0}", "text"))
 _text("normalize_identifier", lambda: tx.normalize_identifier(F.concat(F.col("ordinal").cast("string"), F.lit(" - "), F.col("lang"))), "'field_' || " + _LABEL_SQL.replace("{0}", "CAST(doc_id AS VARCHAR) || ' - ' || lang"))
 _text("content_tokens", lambda: F.array_join(tx.content_tokens("text"), " "), f"array_to_string({_CONTENT_SQL}, ' ')")
 _text("lexical_terms", lambda: F.array_join(F.array_sort(tx.lexical_terms("text")), " "), f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN {_SEARCH_STOP}))), ' ')")
