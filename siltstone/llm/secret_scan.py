@@ -1,8 +1,8 @@
 """Secret scans: wide candidate patterns, and a random forest that removes false positives.
 
-Candidates are strings without white space that hold a digit and are at least MIN_LENGTH
-long, and whatever is assigned to a word like ``password`` or ``token``. The forest judges each by
-its length, character transitions, dictionary coverage, path-like parts and the neighbouring
+Candidates are all runs of token characters of at least MIN_LENGTH, with or without digits,
+and whatever is assigned to a word like ``password`` or ``token``. The forest judges each by
+its length, character transitions, dictionary coverage, vowels, known prefixes, path-like parts and the neighbouring
 words. It is trained in numpy, on labelled findings: a list of (text, start, end, label) given by the
 caller, or the bounded set that ``labelled_findings`` makes from formats of keys and of look-alikes.
 """
@@ -28,22 +28,33 @@ REDACTED = "[SECRET]"
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "bearer", "client_secret")
 #: Common words of prose, code and paths: what secrets rarely hold.
 DICTIONARY = tuple("the and for with from that this have your user name file path data image test value index page home http https www com org net html json node main master branch commit version release build docs example sample change placeholder insert here none null true false default config local public class function import return module package object array string number order invoice item product customer account session request response server client cache table column field record window button header footer content title section style script event update create delete insert select where group".split())
-_BARE = r"(?<![A-Za-z0-9+/=_.:@-])[A-Za-z0-9+/=_.:@-]*[0-9][A-Za-z0-9+/=_.:@-]*"
-_PATTERN = re.compile(rf"(?P<key>(?i:{'|'.join(map(re.escape, KEYWORDS))}))[\"']?[ \t]{{0,3}}(?P<sign>:=|=>|=|:)[ \t]{{0,3}}[\"']?(?P<value>[^\s\"'<>]{{6,}})|(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)|(?P<bare>{_BARE})")
+#: What keys of known issuers begin with.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "xoxb-", "xoxp-", "AIza", "npm_", "hf_", "ey")
+_BARE = re.compile(rf"[A-Za-z0-9+/=_.:@-]{{{MIN_LENGTH},}}")
+_PATTERN = re.compile(rf"(?P<key>(?i:{'|'.join(map(re.escape, KEYWORDS))}))[\"']?[ \t]{{0,3}}(?P<sign>:=|=>|=|:)[ \t]{{0,3}}[\"']?(?P<value>[^\s\"'<>]{{6,}})|(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)")
 _NEAR = re.compile(r"[A-Za-z_-]+")
-FEATURES = ("length", "transitions", "digit_share", "upper_share", "lower_share", "symbol_share", "hex", "entropy", "dictionary", "path_parts", "dots", "colons_dashes", "assigned", "keyword_near", "harmless_near", "all_digits", "at_sign", "pem", "one_case", "longest_word")
+FEATURES = ("length", "transitions", "digit_share", "upper_share", "lower_share", "symbol_share", "hex", "entropy", "dictionary", "path_parts", "dots", "colons_dashes", "assigned", "keyword_near", "harmless_near", "all_digits", "at_sign", "pem", "one_case", "longest_word", "known_prefix", "vowel_share", "longest_consonants", "inner_capitals")
 _HARMLESS = frozenset("commit sha sha1 sha256 md5 checksum digest revision rev uuid guid etag hash integrity isbn doi invoice order phone card tel fax version build id".split())
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, assigned) of every candidate, left to right."""
+    at = 0
     for m in _PATTERN.finditer(text):
+        yield from _bare(text, at, m.start())
+        at = m.end()
         if m["value"]:
             yield m.start("value"), m.end("value") - (len(m["value"]) - len(m["value"].rstrip(".,;)"))), True
-        elif m["pem"]:
+        else:
             yield m.start(), m.end(), False
-        elif len(m["bare"].rstrip(".,:")) >= MIN_LENGTH:
-            yield m.start(), m.start() + len(m["bare"].rstrip(".,:")), False
+    yield from _bare(text, at, len(text))
+
+
+def _bare(text: str, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
+    for m in _BARE.finditer(text, start, end):
+        n = len(m[0].rstrip(".,:"))
+        if n >= MIN_LENGTH:
+            yield m.start(), m.start() + n, False
 
 
 def features(text: str, start: int, end: int, assigned: bool) -> list[float]:
@@ -65,6 +76,7 @@ def features(text: str, start: int, end: int, assigned: bool) -> list[float]:
         -sum(c / n * math.log2(c / n) for c in Counter(s).values()), covered / n, s.count("/"), s.count("."), s.count(":") + s.count("-"),
         float(assigned), float(any(k in w for w in before for k in KEYWORDS)), float(any(w in _HARMLESS for w in near)), float(share[0] == 1), float("@" in s), float(s.startswith("-----BEGIN")),
         float(share[1] == 0 or share[2] == 0), max(map(len, runs), default=0) / n,
+        float(s.startswith(PREFIXES)), sum(c in "aeiou" for c in letters) / max(1, sum(map(len, runs))), max(map(len, re.findall(r"[bcdfghjklmnpqrstvwxz]+", letters)), default=0), sum(a == 2 and b == 1 for a, b in zip(kind, kind[1:])) / n,
     ]
 
 
@@ -84,10 +96,14 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int, int
     b64 = lambda k: base64.b64encode(rng.randbytes(k)).decode()
     syllables = ("an", "er", "the", "ou", "in", "tion", "st", "on", "re", "ed", "es", "ly", "ha", "nd", "que", "en", "de")
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    foreign = syllables + ("sch", "heit", "keit", "ung", "ver", "pf", "aux", "eau", "ment", "que", "lich", "tz", "ein", "os", "mente", "cion", "ge", "ber")
+    long = lambda: "".join(rng.choice(foreign) for _ in range(rng.randint(5, 10)))
+    letters = string.ascii_letters
     secret = (
         lambda: ("", "AKIA" + pick(upper, 16)), lambda: ("", "ghp_" + pick(mixed, 36)), lambda: ("", "sk_live_" + pick(mixed, 24)), lambda: ("", "xoxb-" + pick(string.digits, 12) + "-" + pick(mixed, 24)),
         lambda: ("password=", pick(hexs, rng.randint(8, 24))), lambda: ("password: ", pick(mixed + "!#%&", rng.randint(8, 20))), lambda: ('token = "', pick(hexs, rng.choice((32, 40, 64)))), lambda: ("api_key: ", pick(mixed, rng.randint(20, 40))),
         lambda: ("secret = ", b64(rng.randint(18, 36))), lambda: ("Authorization: Bearer ", "ey" + pick(mixed, 30) + "." + pick(mixed, 40) + "." + pick(mixed, 43)), lambda: ("pwd=", pick(mixed, rng.randint(8, 16))), lambda: ("", "-----BEGIN PRIVATE KEY-----\n" + b64(48) + "\n-----END PRIVATE KEY-----"), lambda: ("client_secret=", pick(mixed + "-_", 32)),
+        lambda: ("", "AKIA" + pick(string.ascii_uppercase, 16)), lambda: ("", "ghp_" + pick(letters, 36)), lambda: ("", "sk_live_" + pick(letters, 24)), lambda: ("Authorization: Bearer ", "ey" + pick(letters, rng.randint(20, 60))), lambda: ("", pick(letters, rng.randint(24, 48))),
     )
     other = (
         lambda: ("commit ", pick(hexs, 40)), lambda: ("sha256 ", pick(hexs, 64)), lambda: ("md5: ", pick(hexs, 32)), lambda: ("id ", "-".join(pick(hexs, k) for k in (8, 4, 4, 4, 12))), lambda: ("", "4" + pick(string.digits, 15)),
@@ -95,6 +111,10 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int, int
         lambda: ("", f"20{rng.randint(10, 29)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}:2{rng.randint(0, 9)}:30.000Z"), lambda: ("password=", rng.choice(("changeme", "example", "placeholder", "your-password-here", "null12"))), lambda: ("token: ", rng.choice(("string", "required", "your_token_here", "undefined"))),
         lambda: ("", f"{word()}_{word()}_{word()}_{rng.randint(1, 999)}"), lambda: ("", f"{word()}-{word()}-{word()}-v{rng.randint(1, 9)}.{rng.randint(0, 9)}"), lambda: ("order ", pick(string.digits, rng.randint(16, 20))), lambda: ("ip ", ":".join(pick(hexs, 4) for _ in range(8))),
         lambda: ("", f"{word()}{word()}{word()}{rng.randint(1, 99)}{word()}"), lambda: ("", f"{rng.randint(10, 255)}.{rng.randint(0, 255)}.{rng.randint(100, 255)}.{rng.randint(100, 255)}:8080"), lambda: ("data:image/png;base64,", b64(60)),
+        lambda: ("", long()), lambda: ("", long().capitalize()), lambda: ("", long().upper()), lambda: ("", "".join(word().capitalize() for _ in range(rng.randint(3, 6)))), lambda: ("", rng.choice("_-.").join(long()[:9] for _ in range(rng.randint(3, 5)))),
+        lambda: ("", "_".join(word().upper() for _ in range(rng.randint(3, 6)))), lambda: ("", f"https://{word()}.example.com/{long()}/{word()}.html"), lambda: ("", f"/{word()}/{word()}/{long()}/{word()}.py"), lambda: ("", f"{long()}@mail.example.com"), lambda: ("", rng.choice("-=_.") * rng.randint(16, 60)),
+        lambda: ("", "ey" + long()), lambda: ("bearer ", long()),
+        lambda: ("", pick(string.ascii_uppercase, rng.randint(2, 5)) + "".join(word().capitalize() for _ in range(rng.randint(2, 4)))), lambda: ("", f"{word()}{rng.choice('=.')}{word()}.{word().upper()}_{word().upper()}_{word().upper()}"), lambda: ("", f"{word().capitalize()}{word().capitalize()}{rng.choice('.=')}{pick(string.ascii_uppercase, 4)}_{word().upper()}_{word().upper()}"),
     )
     out = []
     for k in range(n):
@@ -162,13 +182,20 @@ def train(findings: list[tuple[str, int, int, int]] | None = None) -> Forest:
     findings = labelled_findings() if findings is None else findings
     x, y = [], []
     for text, start, end, label in findings:
-        own = [c for c in candidates(text) if c[0] < end and c[1] > start]
-        for lo, hi, assigned in own or [(start, end, False)]:
-            x.append(features(text, lo, hi, assigned))
-            y.append(label)
+        for lo, hi, assigned in candidates(text):
+            if lo < end and hi > start:
+                x.append(features(text, lo, hi, assigned))
+                y.append(label)
     return Forest().fit(np.array(x, float), np.array(y, float))
 
 
+def recall(forest: Forest, findings: list[tuple[str, int, int, int]]) -> float:
+    """Share of the findings labelled 1 that a judged secret overlaps; one that is no candidate counts as missed."""
+    mine = [f for f in findings if f[3]]
+    judged = _judged([f[0] for f in mine], forest)
+    return sum(any(lo < end and hi > start and s >= 0.5 for lo, hi, _, s in got) for (_, start, end, _), got in zip(mine, judged)) / max(1, len(mine))
+
+
 def _judged(texts: list[str | None], forest: Forest) -> list[list[tuple[int, int, bool, float]]]:
     found = [[*candidates(t)] if t else [] for t in texts]
     flat = [features(t, *c) for t, cs in zip(texts, found) for c in cs]
