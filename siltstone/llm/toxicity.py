@@ -34,6 +34,8 @@ MIN_TEXTS = 4
 #: Logit of a text without words, and the weight in training of one that is clean.
 BIAS, EMPTY = -4.0, 0.5
 LIFT = 4.0
+#: Longer runs of word characters (unspaced scripts, joined words) are taken in pieces that overlap by MAX_GRAM - 1.
+PIECE = 64
 WORD_CACHE = 1_000_000
 #: Labelled rows fitted on at most: all of a small label table, else those least by hash of id.
 MAX_ROWS = 5_000
@@ -42,13 +44,19 @@ _WORD = re.compile(r"\w+")
 
 def words_of(text: str | None) -> list[str]:
     """Distinct words of the whole text, by first place: a phrase said over and over weighs once."""
-    return list(dict.fromkeys(_WORD.findall((text or "").lower())))
+    return list(dict.fromkeys(p for w in _WORD.findall((text or "").lower()) for p in ((w,) if len(w) <= PIECE else pieces(w))))
+
+
+def pieces(run: str) -> list[str]:
+    """The whole of a long run as words of at most PIECE characters; every n-gram of it is in one of them."""
+    step = PIECE - MAX_GRAM + 1
+    return [run[k : k + PIECE] for k in range(0, len(run) - MAX_GRAM + 1, step)]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word): the hash buckets of every word and of its character n-grams, ends
-    marked, all words at once; of a very long word, of its first 64 characters."""
-    marked = [f"<{w[:64]}>" for w in words]
+    marked, all words at once."""
+    marked = [f"<{w}>" for w in words]
     length = np.fromiter(map(len, marked), np.int64, len(marked))
     cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(marked)), length)
