@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
-from siltstone.operators import aggregates, chunking, feedback, filters, inference, retrieval
+from siltstone.operators import aggregates, chunking, feedback, filters, inference, retrieval, tasks
 from siltstone.operators import silver as sv
 from siltstone.plans import views
 from siltstone.plans.views import CHUNKS_SQL, SILVER, SILVER_SQL, tokens_sql
@@ -114,6 +114,14 @@ _text("lexical_terms", lambda: F.array_join(F.array_sort(tx.lexical_terms("text"
 _text("hash_ids", lambda: tx.short_hash("text", 16), "left(sha256(text), 16)")
 add("bigram_counts", lambda s, d: inference.label_counts(views.documents(s, d)).select("label", "count").orderBy(F.desc("count"), "label").limit(200), f"WITH t AS (SELECT {_CONTENT_SQL} AS t FROM documents), e AS (SELECT unnest(t) AS label FROM t UNION ALL SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) FROM t WHERE len(t) > 1) SELECT label, count(*) AS count FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
 
+_TRIGGERS = ("license", "copyright", "loser", "trash", "stupid", *inference.NEED_TERMS)
+_NEED = "[" + ", ".join(f"'{w}'" for w in _TRIGGERS) + "]"
+_SYSTEMS = "(" + ", ".join(f"'{w}'" for w in inference.SYSTEM_HINTS) + ")"
+#: Word ends as in Spark, where letters beyond ASCII are letters too.
+_ASCII_SQL = r"regexp_replace(regexp_replace(text, '[^\p{L}\p{Nd}\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+add("sentence_labels", lambda s, d: inference.sentence_labels(views.documents(s, d), _TRIGGERS), f"WITH s AS (SELECT unnest(regexp_split_to_array(text, '[\n.!?。]+')) AS text FROM documents), t AS (SELECT {_CONTENT_SQL} AS t FROM s WHERE list_has_any(regexp_extract_all(lower(text), '[a-z0-9_]+'), {_NEED})), e AS (SELECT array_to_string(t[1:3], '_') AS label FROM t WHERE len(t) > 0 UNION ALL SELECT unnest(t[1:5]) FROM t) SELECT label, count(*) AS count FROM e GROUP BY 1")
+add("system_mentions", lambda s, d: inference.system_mentions(views.documents(s, d)), rf"WITH e AS (SELECT {_LABEL_SQL.replace('{0}', 'w')} AS label, 1 AS w FROM (SELECT unnest(regexp_extract_all({_ASCII_SQL}, '\b[A-Z][A-Za-z0-9]{{2,}}\b')) AS w FROM documents) UNION ALL SELECT label, 2 FROM (SELECT unnest({_CONTENT_SQL}) AS label FROM documents) WHERE label IN {_SYSTEMS}) SELECT label, CAST(sum(w) AS BIGINT) AS score FROM e GROUP BY 1")
+
 # ---- retrieval ---------------------------------------------------------------------------------
 
 _Q = ("thnt ered oned with the", "loser trash stupid", "edation apache license")
@@ -244,3 +252,16 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("negotiation_decision", _decided, "SELECT p_partkey, CASE WHEN p_size < 5 AND p_name IS NOT NULL THEN 'merge' WHEN p_size > 45 THEN 'human_review' WHEN p_retailprice > 1500 THEN 'promote' WHEN p_size % 3 > 0 THEN 'retrieval_only' ELSE 'defer' END AS decision FROM part")
+
+add("source_counts", lambda s, d: tasks.source_counts(views.table(s, d, "documents").withColumnRenamed("source", "source_type")), "SELECT source AS source_type, count(*) AS count FROM documents GROUP BY 1")
+add("pass_rate", lambda s, d: tasks.pass_rate(views.silver(s, d, flags=True).select(F.col("call_id").alias("task_id"), F.array(F.lit("N"), F.lit("R")).alias("expected_call_ids"), F.col("flags").alias("call_ids"))), f"WITH {SILVER_SQL}, p AS (SELECT coalesce(list_has_all(flags, ['N', 'R']), false) AS passed FROM silver) SELECT count(*) AS tasks, count(*) FILTER (passed) AS passed, round(avg(CAST(passed AS DOUBLE)), 4) AS pass_rate FROM p")
+
+
+def _loop(spark: SparkSession, d: str) -> DataFrame:
+    p = views.table(spark, d, "part")
+    run = lambda k: p.select(F.col("p_partkey").alias("task_id"), (F.col("p_size") % k == 0).alias("success"), (F.col("p_size") > 10 * k).alias("used_filter"))
+    return tasks.loop_summary(run(3), run(2).where("task_id % 7 > 0"))
+
+
+add("loop_summary", _loop, "WITH b AS (SELECT p_size % 3 = 0 AS s0, p_size > 30 AS f0, p_partkey % 7 > 0 AND p_size % 2 = 0 AS s1, p_partkey % 7 > 0 AND p_size > 20 AS f1 FROM part) SELECT count(*) AS tasks, count(*) FILTER (s0) AS success_before, count(*) FILTER (s1) AS success_after, count(*) FILTER (s1) - count(*) FILTER (s0) AS success_delta, count(*) FILTER (f1) - count(*) FILTER (f0) AS filter_delta FROM b")
+add("records_for_chunks", lambda s, d: retrieval.records_for(chunking.pack(views.calls(s, d)).where("chunk_index % 2 = 1").select("chunk_id", F.col("chunk_index").alias("rank")), chunking.pack(views.calls(s, d)), views.calls(s, d).select("call_id")).select("call_id", "rank"), f"WITH RECURSIVE {CHUNKS_SQL} SELECT call_id, min(chunk_index) AS rank FROM chunks WHERE chunk_index % 2 = 1 GROUP BY 1")

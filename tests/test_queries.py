@@ -42,6 +42,12 @@ def test_labels_are_those_of_whole_texts(spark, sf_dir):
     assert max(map(len, got.values())) > 1000
 
 
+def test_operators_that_sql_can_say_are_registered(spark):
+    assert {"sentence_labels", "system_mentions", "source_counts", "pass_rate", "loop_summary", "records_for_chunks"} <= set(registry.SQL)
+    rows = spark.createDataFrame([(0, "We need the Acme dashboard now. Sunny day! Asked Jira")], "ordinal int, text string")
+    assert {r["label"]: r["count"] for r in registry.inference.sentence_labels(rows).collect()} == {"acme_dashboard_now": 1, "acme": 1, "dashboard": 1, "now": 1, "asked_jira": 1, "asked": 1, "jira": 1}
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
 
