@@ -10,6 +10,8 @@ every probability stay within 1, so that the tokens of the rows themselves meet
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ MARGINS = ("source", "lang", "topic")
 #: Cells that the driver rakes in memory at most; more are raked by joins.
 MAX_CELLS = 200_000
 UNKNOWN = "unknown"
+#: Misses of a share beyond this are reported.
+MISS = 1e-6
 
 
 def word_count(text: str | Column) -> Column:
@@ -63,7 +67,7 @@ def rake(base: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], r
     return w
 
 
-def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, error: float = 1e-8) -> DataFrame:
+def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 500, error: float = 1e-10) -> DataFrame:
     """``rake`` where cells are too many for the driver: each round is three sums and joins, then stashed."""
     w = cells.withColumn("w", F.col("tokens").cast("double"))
     for _ in range(rounds):
@@ -79,13 +83,34 @@ def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int
     return w.select(*MARGINS, "tokens", "w")
 
 
-def _scale(f: np.ndarray, tokens: np.ndarray, keep: float) -> float:
-    """c with sum(min(1, c f) tokens) = keep * sum(tokens)."""
-    lo, hi = 0.0, 1.0 / f[f > 0].min()
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (np.minimum(1, mid * f) * tokens).sum() < keep * tokens.sum() else (lo, mid)
-    return hi
+def _scale_of(f: np.ndarray, tokens: np.ndarray, keep: float) -> float:
+    """c with sum(min(1, c f) tokens) = keep * sum(tokens), where factors can give as much."""
+    c, want = 0.0, keep * tokens.sum()
+    while True:
+        full = c * f >= 1
+        part = (f * tokens)[~full].sum()
+        nxt = (want - tokens[full].sum()) / part if part > 0 else c
+        if nxt <= c * (1 + 1e-14):
+            return c
+        c = nxt
+
+
+def _scale(raked: DataFrame, keep: float) -> float:
+    """``_scale_of`` by sums on the executors: the same steps."""
+    want, c = keep * raked.agg(F.sum("tokens")).first()[0], 0.0
+    while True:
+        full = F.col("factor") * F.lit(c) >= 1
+        r = raked.agg(F.sum(F.when(full, F.col("tokens"))).alias("t"), F.sum(F.when(~full, F.col("factor") * F.col("tokens"))).alias("p")).first()
+        nxt = (want - (r["t"] or 0)) / r["p"] if r["p"] else c
+        if nxt <= c * (1 + 1e-14):
+            return c
+        c = nxt
+
+
+def _report(misses: dict[str, float]) -> None:
+    """Warns of margins whose raked shares are off their targets: these can't all be reached together, or not yet."""
+    if off := {m: round(x, 6) for m, x in misses.items() if x > MISS}:
+        warnings.warn(f"mixing targets are not reached; largest miss of a share by margin: {off}", stacklevel=3)
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.8, seed: int = 23, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True) -> DataFrame:
@@ -118,6 +143,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
             aim = np.array([share.get(k, 0.0) if have[k] else 0.0 for k in names.tolist()])
             wanted.append(aim / (aim.sum() or 1) * base.sum())
         w = rake(base, codes, wanted)
+        _report({m: float(np.abs(np.bincount(k, w, len(a)) - a).max(initial=0)) / (base.sum() or 1) for m, k, a in zip(MARGINS, codes, wanted)})
         rows["factor"] = np.divide(w, base, out=np.zeros_like(w), where=base > 0)
         rows.loc[base == 0, "factor"] = 1.0
         factors = docs.sparkSession.createDataFrame(rows.drop(columns="tokens") if len(rows) else [], "source string, lang string, topic string, factor double")
@@ -133,15 +159,15 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
             sums = raw.agg(F.sum("raw").alias("r"), F.sum("have").alias("h")).first()
             aims[m] = raw.select(m, (F.col("raw") / F.lit(sums["r"] or 1.0) * F.lit(sums["h"])).alias("target"))
         raked = stash(_raked_by_joins(cells, aims).select(*MARGINS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("factor")))
-        factors = raked.drop("tokens")
-        # the scale needs only how tokens spread over factors: 4096 steps of equal ratio
-        step = raked.where("factor > 0").groupBy(F.round(F.log2("factor") * 64).alias("s")).agg(F.sum("tokens").alias("t")).toPandas()
-        f, tokens = np.exp2(step["s"].to_numpy(float) / 64), step["t"].to_numpy(float)
+        whole = raked.agg(F.sum("tokens")).first()[0] or 1
+        sums = {m: raked.where("tokens > 0").groupBy(m).agg(F.sum(F.col("factor") * F.col("tokens")).alias("is")).join(aims[m], m) for m in MARGINS}
+        _report({m: (x.agg(F.max(F.abs(F.col("is") - F.col("target")))).first()[0] or 0.0) / whole for m, x in sums.items()})
+        rows, factors = None, raked
         top = raked.where("tokens > 0").agg(F.max("factor")).first()[0]
-    if len(f) and (f * tokens).sum() > 0:
-        c = _scale(f, tokens, keep) if weighted else min(_scale(f, tokens, keep), 1.0 / top)
-    else:
-        c = 1.0
+    c = 1.0
+    if top and top > 0:
+        c = _scale(factors, keep) if rows is None else _scale_of(f, tokens, keep)
+        c = c if weighted else min(c, 1.0 / top)
     odds = factors.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.least(F.lit(1.0), F.col("factor") * F.lit(float(c))).alias("probability"), F.greatest(F.lit(1.0), F.col("factor") * F.lit(float(c))).alias("weight"))
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     on = [f"_{m}" for m in MARGINS]

@@ -142,6 +142,22 @@ def test_sampled_rows_have_the_target_shares(spark, monkeypatch):
                 assert abs(sum(n for n, r in zip(tokens, got) if r[m] == v) / sum(tokens) - share) < 0.03
 
 
+def test_mixing_is_the_same_for_few_and_many_cells(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 200), rng.choice(("en", "en", "de", "fr")), rng.choice("aaabc")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    few = {r["doc_id"]: r for r in mixing.mix(df, keep=0.7).collect()}
+    monkeypatch.setattr(mixing, "MAX_CELLS", 0)
+    many = mixing.mix(df, keep=0.7).collect()
+    assert all(abs(r["probability"] - few[r["doc_id"]]["probability"]) < 1e-9 and abs(r["weight"] - few[r["doc_id"]]["weight"]) < 1e-9 and r["selected"] == few[r["doc_id"]]["selected"] for r in many)
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    df = spark.createDataFrame([(i, "w " * 50, "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(100)], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="not reached"):
+        mixing.mix(df, {"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.9, "b": 0.1}})
+
+
 def test_surrogates(spark):
     text = "Mr. John Smith met Frau Anna Schmidt; JOE.X@MAIL.COM or joe.x@mail.com, +1 (456) 555-2186, +14565552186. 4111 1111 1111 1111 and 4111111111111111, 10.0.0.7; DE89 3704 0044 0532 0130 00; 078-05-1120 Господин Иван Петров."
     rows = [(i, text) for i in range(40)] + [(100, None), (101, ""), (102, "no one here 12345 v1.2.3"), (103, "a" * 200_000 + " 4.4.8.8")] + [(200 + k, f"call +1 (456) 555-{k:04d} now") for k in range(300)]
