@@ -4,13 +4,14 @@ components, and the splitting of large groups into pairs of bounded blocks.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is hinted for broadcast only after a count shows at most so many narrow rows.
@@ -18,12 +19,14 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``. Only where that
-    is unset (tests in one process) a temporary folder is made and set."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Only in a local session
+    that has none, where all is one machine, a temporary folder is made and set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -56,6 +59,31 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: A key with more than one in so many rows is joined by broadcast; there can't be more of these.
+HOT = 10_000
+
+
+def join_known(rows: DataFrame, known: DataFrame, key: str, copies: str) -> DataFrame:
+    """Left join of ``rows`` with ``known`` (one row per key, ``copies`` saying how many rows have it). Keys that many rows share, at most
+    HOT of them, come to the rows by broadcast, so that no task gets all rows of one."""
+    total = known.agg(F.sum(copies)).first()[0] or 0
+    often = F.broadcast(known.where((F.col(copies) * HOT > total) & (F.col(copies) > 1000)))
+    hot = rows.join(often, key)
+    rest = rows.join(often.select(key), key, "left_anti").join(known, key, "left")
+    return hot.unionByName(rest.select(*hot.columns))
+
+
+def join_split(rows: DataFrame, store: DataFrame, key: str, counts: DataFrame, deal: Column, pieces: int = 200) -> DataFrame:
+    """Inner join of ``rows`` with ``store`` (one row per key). A key that more than one in ``pieces`` rows has, as ``counts`` (key, copies) tells, is dealt to
+    several tasks by the number ``deal``, and its row of ``store`` repeated for them: ``pieces`` more rows at most, for all keys together."""
+    total = counts.agg(F.sum("copies")).first()[0] or 1
+    often = F.broadcast(counts.select(key, (F.floor(F.col("copies") * pieces / total) + 1).cast("int").alias("_n")).where("_n > 1"))
+    n = F.coalesce("_n", F.lit(1))
+    left = rows.join(often, key, "left").withColumn("_part", F.pmod(deal, n).cast("int")).drop("_n")
+    right = store.join(often, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """``edges`` (a long, b long) -> (id, component): the smallest id reachable,
     for every id with an edge. Null ends and loops are left out.
@@ -95,6 +123,20 @@ def block_pairs(members: DataFrame, key: str, member: str, weight: str, budget:
     return split.withColumn("_o", other).withColumn("i", F.least("blk", "_o").cast("int")).withColumn("j", F.greatest("blk", "_o").cast("int")).drop("_total", "_n", "_o")
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving back what it held when a task ends: Python workers stay on for other tasks, and would keep it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return wrapped
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of equal ``keys`` from batches that come sorted by them. Holds one
     group (and one batch) at a time."""

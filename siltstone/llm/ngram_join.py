@@ -2,17 +2,20 @@
 
 A document is its set of distinct word n-grams. Two sets within one size band
 and with Jaccard >= t differ in at most k elements; the hashed feature domain is cut
-into parts of a few cells each, so many that in some parts the two differ in at
-most one element, and hence agree on all cells of such a part but one. A signature is
-the content of a part without one cell: similar sets always share one, and unrelated sets
-would have to agree on all its n-grams. Sets near a band's upper edge are signed for the next
-band too. Candidates are then verified by exact intersection counts.
+into parts of a few cells each, and a signature is the content of a part without one cell. There are more parts
+than k differences can spoil, so similar sets share not just one signature but at least a known number of them. Sets near a
+band's upper edge are signed for the next band too. A set that shares fewer signatures with others than
+any partner would guarantee has no partner and goes; what is left are candidates, verified by exact
+intersection counts.
 
 Scale: texts are read for keys, for signatures, and once more for candidates only; no
-signature is stored. Equal sets are one vertex. Signatures are shuffled once; every
+signature is stored. Equal sets are one vertex. Signatures are combined in each task before they are shuffled once, so that what many
+sets of a task share is shuffled as one row; every
 bucket yields a star of edges to its smallest member, never its pairs. The stars' components
 are compared exhaustively in pairs of bounded blocks, so a group may be of any size,
 and only degrees and spanning edges leave a block.
+
+Sets are told apart by 64-bit hashes, as n-grams are.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, forest, grouped, mix64, sized, stash, unstash
+from .common import block_pairs, connected_components, forest, freeing, grouped, join_known, mix64, sized, stash, unstash
 
 #: Distinct words whose hashes one Python worker keeps.
 WORD_CACHE = 1_000_000
@@ -34,6 +37,12 @@ WORD_CACHE = 1_000_000
 BLOCK = 400_000
 #: Largest k for which every two of k + 2 cells are a signature.
 FEW = 6
+#: Parts beyond those that k differences can spoil, as a share of these: more make a partner guarantee more shared signatures.
+SPARE = 0.4
+#: Signatures that are combined in a task before they are shuffled.
+CHUNK = 250_000
+#: Sets remembered by a task, so that copies are signed once.
+SEEN = 500_000
 
 
 class _Words(dict):
@@ -79,49 +88,40 @@ def _sealed(content: np.ndarray, part: np.ndarray, tag: int, code: int) -> np.nd
     return mix64(mix64(content) + mix64((part.astype(np.uint64) << np.uint64(8)) + np.uint64((tag << 44) + code)))
 
 
-def _few(value: np.ndarray, spread: np.ndarray, k: int, tag: int) -> np.ndarray:
-    """For small k: k + 2 cells, every two of them a signature; k differences leave two cells untouched."""
-    cells = _wrapped_sums((spread % np.uint64(k + 2)).astype(np.int64), value, k + 2)
-    a, b = np.triu_indices(k + 2, 1)
-    return _sealed(cells[a] + mix64(cells[b]), a * 256 + b, tag, 255)
+def _few(value: np.ndarray, spread: np.ndarray, k: int, tag: int) -> tuple[int, np.ndarray]:
+    """For small k: k + 3 cells, every two of them a signature; k differences leave three pairs of cells untouched."""
+    m = k + 3
+    where = (spread % np.uint64(m)).astype(np.int64)
+    cells, held = _wrapped_sums(where, value, m), np.bincount(where, minlength=m) > 0
+    a, b = np.triu_indices(m, 1)
+    told = held[a] | held[b]
+    need = 3 - int(np.count_nonzero(~told))
+    sigs = _sealed(cells[a] + mix64(cells[b]), a * 256 + b, tag, 255)
+    return (need, sigs[told]) if need > 0 else (1, sigs)
 
 
-def _parts(value: np.ndarray, spread: np.ndarray, k: int, tag: int, c: int = 3) -> np.ndarray:
-    """Parts of c cells; a signature is a part without one of its cells. Of n1 parts more than 2 s differ in one
-    element at most. Where a part has nothing but the cell left out, that cell is cut in
-    c again and signed without one of those. Signatures with no content at all would tie unrelated sets: every set leaves
-    those of its first s such parts out, which of more than 2 s parts leaves one to both sets of a pair."""
+def _parts(value: np.ndarray, spread: np.ndarray, k: int, tag: int) -> tuple[int, np.ndarray]:
+    """n1 = k // 2 + 1 + s parts of two cells; a signature is a part without one of its cells. With d parts that hold one difference and z that
+    hold none, d + 2 (n1 - d - z) <= k, so d + 2 z >= 2 s + 1 signatures are shared. Those without any content
+    would tie unrelated sets: they are left out, and a set needs as many fewer as it has of these; should it have
+    so many that none need be left, it keeps them."""
     n1 = k // 2 + 1
-    slack = max(1, n1 // 10)
-    n1 += 2 * slack
-    part = ((spread >> np.uint64(16)) % np.uint64(n1)).astype(np.int64)
-    cell, sub = ((spread & np.uint64(0xFF)) % np.uint64(c)).astype(np.int64), (((spread >> np.uint64(8)) & np.uint64(0xFF)) % np.uint64(c)).astype(np.int64)
-    at = (part * c + cell) * c + sub
-    val, cnt = _wrapped_sums(at, value, n1 * c * c).reshape(n1, c, c), np.bincount(at, minlength=n1 * c * c).reshape(n1, c, c)
-    cells, counts = val.sum(2, dtype=np.uint64), cnt.sum(2)
-    whole, all_of = cells.sum(1, dtype=np.uint64), counts.sum(1)
-    out, weak = [], []
-    for x in range(c):
-        has = all_of > counts[:, x]
-        at = np.flatnonzero(has)
-        out.append(_sealed(whole[at] - cells[at, x], at, tag, x))
-        at = np.flatnonzero(~has)
-        for y in range(c):
-            told = counts[at, x] > cnt[at, x, y]
-            sig = _sealed(cells[at, x] - val[at, x, y], at, tag, c + x * c + y)
-            out.append(sig[told])
-            weak.append((at[~told], sig[~told]))
-    where, sigs = np.concatenate([w[0] for w in weak]), np.concatenate([w[1] for w in weak])
-    left_out = np.unique(where)[:slack]
-    return np.concatenate([*out, sigs[~np.isin(where, left_out)]])
-
-
-def signatures(features: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of a set of 64-bit features."""
+    s = max(2, round(SPARE * n1))
+    n1 += s
+    at = (((spread >> np.uint64(16)) % np.uint64(n1)) * np.uint64(2) + (spread & np.uint64(1))).astype(np.int64)
+    cells, told = _wrapped_sums(at, value, 2 * n1), np.bincount(at, minlength=2 * n1) > 0
+    sigs = mix64(mix64(cells) + mix64(np.arange(2 * n1, dtype=np.uint64) + np.uint64(tag << 44)))
+    need = 2 * s + 1 - int(np.count_nonzero(~told))
+    return (need, sigs[told]) if need > 0 else (1, sigs)
+
+
+def signatures(features: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, need, signatures) of a set of 64-bit features, for one or two bands. Any two sets that are similar
+    enough have a band in common in which they share at least ``need`` of either's signatures."""
     low, ks = _bands(percent)
     size = len(features)
     if not size:
-        return np.empty(0, np.uint64)
+        return []
     band = int(np.searchsorted(low, size, side="right")) - 1
     tags = [band] + [band + 1] * (100 * size >= percent * low[band + 1])
     spread, value = mix64(features ^ np.uint64(0xA5A5A5A55A5A5A5A)), mix64(features + np.uint64(0x51ED270B))
@@ -129,64 +129,94 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     for tag in tags:
         k = ks[tag]
         if k == 0:
-            out.append(_sealed(value.sum(dtype=np.uint64, keepdims=True), np.zeros(1, np.int64), tag, 254))
+            out.append((tag, 1, _sealed(value.sum(dtype=np.uint64, keepdims=True), np.zeros(1, np.int64), tag, 254)))
         elif k <= FEW:
-            out.append(_few(value, spread, k, tag))
+            out.append((tag, *_few(value, spread, k, tag)))
         else:
-            out.append(_parts(value, spread, k, tag))
-    return np.concatenate(out)
+            out.append((tag, *_parts(value, spread, k, tag)))
+    return out
+
+
+def _set_key(f: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_128(f.tobytes()).digest()[:8], "big", signed=True)
 
 
-def _set_key(f: np.ndarray) -> tuple[int, int]:
-    raw = xxhash.xxh3_128(f.tobytes()).digest()
-    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+def _sets_of(batch: pa.RecordBatch, n: int, words: _Words) -> list[np.ndarray]:
+    if len(words) > WORD_CACHE:
+        words.clear()
+    return [ngram_set(t.as_py(), n, words) for t in batch.column("text")]
 
 
 def _keyed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            if len(words) > WORD_CACHE:
-                words.clear()
-            sets = [ngram_set(t.as_py(), n, words) for t in batch.column("text")]
-            keys = [_set_key(f) for f in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["id", "n", "k1", "k2"])
+            sets = _sets_of(batch, n, words)
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(map(len, sets), pa.int64()), pa.array(map(_set_key, sets), pa.int64())], [*rest, "n", "key"])
 
     return run
 
 
+def _combined(keys: list[int], metas: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch:
+    """Signature rows of a task's chunk. Of several sets with one signature the first stands for all (``many`` of them) where
+    signatures meet; the others already know that they aren't alone, and are spread."""
+    size = [len(x) for x in sigs]
+    at, sig = np.repeat(np.arange(len(keys)), size), np.concatenate(sigs)
+    order = np.argsort(sig, kind="stable")
+    new = np.concatenate(([True], sig[order][1:] != sig[order][:-1]))
+    run = np.cumsum(new) - 1
+    many, first = np.empty(len(sig), np.int64), np.empty(len(sig), bool)
+    many[order], first[order] = np.bincount(run)[run], new
+    key, meta = np.array(keys, np.int64)[at], np.array(metas, np.int64)[at]
+    # in the order of the sets, whose equal keys compress well
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(meta), pa.array(sig.view(np.int64)), pa.array(key, mask=first), pa.array(many)], ["key", "meta", "sig", "spread", "many"])
+
+
+def _sliced(batch: pa.RecordBatch, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def _signed(n: int, percent: int):
-    """(k1, sig): the first half of the set's key with each of its signatures."""
+    """(key, meta, sig, spread, many): every set once a task, with each of its signatures; meta holds its band and how
+    many shared ones it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, seen = _Words(), set()
+        keys, metas, sigs, held = [], [], [], 0
         for batch in batches:
-            if len(words) > WORD_CACHE:
-                words.clear()
-            keys, sigs, held = [], [], 0
-            for text in batch.column("text"):
-                f = ngram_set(text.as_py(), n, words)
-                if len(f):
-                    sigs.append(signatures(f, percent).view(np.int64))
-                    keys.append(np.full(len(sigs[-1]), _set_key(f)[0]))
-                    held += len(sigs[-1])
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sigs))], ["k1", "sig"])
-                    keys, sigs, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sigs))], ["k1", "sig"])
+            for f in _sets_of(batch, n, words):
+                key = _set_key(f)
+                if key in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
+                for band, need, sig in signatures(f, percent):
+                    keys.append(key)
+                    metas.append((band << 40) + need)
+                    sigs.append(sig)
+                    held += len(sig)
+                if held > CHUNK:
+                    yield from _sliced(_combined(keys, metas, sigs))
+                    keys, metas, sigs, held = [], [], [], 0
+        if held:
+            yield from _sliced(_combined(keys, metas, sigs))
 
     return run
 
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, seen = _Words(), set()
         for batch in batches:
-            if len(words) > WORD_CACHE:
-                words.clear()
-            sets = [ngram_set(t.as_py(), n, words).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "features"])
+            sets = _sets_of(batch, n, words)
+            keys = [_set_key(f) for f in sets]
+            new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in new], pa.int64()), pa.array([sets[k].tobytes() for k in new], pa.binary())], ["key", "features"])
 
     return run
 
@@ -224,11 +254,11 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, ["cluster", "i", "j"]):
-            ids, blk, copies = (g.column(c).to_numpy() for c in ("id", "blk", "copies"))
-            if len(ids) < 2:
-                continue
+            ids, blk, copies = (g.column(c).to_numpy() for c in ("key", "blk", "copies"))
             raw = g.column("features").to_pylist()
-            once = {(i, r): k for k, (i, r) in enumerate(zip(ids.tolist(), raw))}
+            once = {i: k for k, i in enumerate(ids.tolist())}
+            if len(once) < 2:
+                continue
             order = np.array([once[k] for k in sorted(once)])
             sets = [np.frombuffer(raw[k], np.uint64) for k in order]
             ids, blk, copies = ids[order], blk[order], copies[order]
@@ -247,6 +277,49 @@ def _verified(percent: int):
     return run
 
 
+def _candidates(src: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, cluster): sets that may have partners, and the component of shared signatures that holds them.
+
+    Partners share as many signatures as either needs; a set with fewer that anyone shares is out. Of need shared ones each
+    partner can do without half: so every set leaves out those (need - 1) // 2 of its own that are shared most, licence lines and the like, and
+    still one is left to both."""
+    signed = src.select("text").mapInArrow(freeing(_signed(n, percent)), "key long, meta long, sig long, spread long, many long")
+    over = "over (partition by sig, spread)"
+    met = signed.selectExpr("key", "meta", "sig", f"sum(many) {over} as n", f"many > 1 or min(key) {over} <> max(key) {over} as shared").where("shared").select("key", "meta", "sig", "n")
+    met = met.groupBy("key", "meta", "sig").agg(F.max("n").alias("n"))
+    need = F.col("meta").bitwiseAND((1 << 40) - 1)
+    own = Window.partitionBy("key", "meta")
+    ranked = met.withColumn("all", F.count(F.lit(1)).over(own)).where(F.col("all") >= need).withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "sig")))
+    rows = stash(ranked.where(F.col("rank") > F.floor((need - 1) / 2)).select("key", "sig").distinct())
+    hubs = rows.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top")
+    edges = rows.join(hubs, "sig").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    near = stash(connected_components(edges).select(F.col("id").alias("key"), F.col("component").alias("cluster")))
+    unstash(rows)
+    return near
+
+
+def _linked(src: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``src`` (id, text, ...) -> its rows with n and key instead of text; and (key, n, copies, root, component, links), one row per
+    set of rows with an id: root names the component, component is its smallest id."""
+    keyed = stash(src.mapInArrow(freeing(_keyed(n)), src.drop("text").schema.add("n", "long").add("key", "long")))
+    near = _candidates(src.where("id is not null"), n, percent)
+    classes = stash(keyed.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")))
+    members = stash(near.join(classes, "key").select("key", "cluster", "copies", "least", (F.col("n") + 800).alias("weight")))
+    texts = src.join(sized(members.select(F.col("least").alias("id")).distinct()), "id", "left_semi")
+    blocks = block_pairs(members, "cluster", "key", "weight", BLOCK).select("key", "cluster", "copies", "blk", "i", "j")
+    sets = texts.select("text").mapInArrow(freeing(_sets(n)), "key long, features binary")
+    pairs = blocks.join(sets, "key").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    found = stash(pairs.mapInArrow(freeing(_verified(percent)), "a long, b long, links long"))
+    comp = connected_components(found.select("a", "b")).select(F.col("id").alias("key"), F.col("component").alias("root"))
+    degree = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    tied = stash(comp.join(degree, "key", "left").join(classes.select("key", "least"), "key"))
+    least = tied.groupBy("root").agg(F.min("least").alias("component"))
+    known = classes.join(tied.drop("least").join(least, "root"), "key", "left")
+    known = stash(known.select("key", "n", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    unstash(near, members, found, tied, classes)
+    return keyed, known
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """Links documents whose n-gram sets have 100 * |A & B| >= percent * |A | B|.
 
@@ -255,32 +328,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest id reachable.
 
     Null, empty and white-space texts have no n-grams and link with nothing. Rows with a
-    null id get a null component and link with nothing. Rows that repeat an id share
-    its component, which then has the links of all their texts; equal texts link,
+    null id get a null component and link with nothing. Rows that repeat an id are documents of their own,
+    each linked as its own text is; equal texts link,
     and every row counts as a link. Extra columns are ignored.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be within 50..100")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = stash(src.mapInArrow(_keyed(n), "id long, n long, k1 long, k2 long"))
-    some = keyed.where("n > 0 and id is not null")
-    bucket = src.where("id is not null").select("text").mapInArrow(_signed(n, percent), "k1 long, sig long").withColumn("hub", F.expr("min(k1) over (partition by sig)"))
-    stars = bucket.where("k1 <> hub").select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
-    near = stash(connected_components(stars).select(F.col("id").alias("k1"), F.col("component").alias("cluster")))
-    classes = some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
-    members = stash(near.join(classes, "k1").groupBy("id").agg(F.min("cluster").alias("cluster"), F.sum("copies").alias("copies"), (F.max("n") + 800).alias("weight")))
-    texts = src.join(sized(members.select("id")), "id", "left_semi")
-    blocks = block_pairs(members, "cluster", "id", "weight", BLOCK).select("id", "cluster", "copies", "blk", "i", "j")
-    sets = texts.mapInArrow(_sets(n), "id long, features binary")
-    pairs = blocks.join(sets, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    found = stash(pairs.mapInArrow(_verified(percent), "a long, b long, links long"))
-    comp = stash(connected_components(found.select("a", "b")))
-    degree = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    known = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    known = known.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
-    known = known.select("k1", "k2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    unstash(near, members)
-    out = keyed.join(known, ["k1", "k2"], "left")
+    keyed, known = _linked(src, n, percent)
+    out = join_known(keyed, known.select("key", "component", "links", "copies"), "key", "copies")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -292,15 +348,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near copies: that of the smallest
-    doc_id. Documents without words are no copies and stay; rows that repeat a kept id stay once
-    (the least text of it); rows without an id stay."""
+    doc_id. Documents without words and rows without an id are no copies and stay. Of rows that repeat an id, those
+    of one group stay once (the least of the row's other columns), those of different groups all stay."""
     cols = docs.columns
-    comp = stash(jaccard_components(docs, n=n, percent=percent).where("component_id <> doc_id").select("doc_id").distinct())
-    left = docs.join(comp, "doc_id", "left_anti").select(*cols)
-    twice = stash(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not twice.take(1):
-        return left
-    hint = sized(twice)
-    more = left.join(hint, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in cols if c != "doc_id"])).alias("_row"))
-    more = more.select("doc_id", "_row.*").select(*cols)
-    return left.join(hint, "doc_id", "left_anti").select(*cols).unionByName(more)
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
+    own = dict(zip(cols, plain.columns))
+    src = plain.select(F.col(own["doc_id"]).cast("long").alias("id"), F.col(own["text"]).cast("string").alias("text"))
+    keyed, known = _linked(src, n, percent)
+    gone = keyed.where("n > 0 and id is not null").join(known.select("key", "root", "component"), "key").select("id", "root", (F.col("id") == F.col("component")).alias("stays"))
+    by_id = stash(gone.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays"), F.count_if("stays").alias("kept")).where("not stays or rows > 1"))
+    row_id = F.col(own["doc_id"]).cast("long")
+    once = plain.join(by_id.select(F.col("id").alias("_drop")), row_id == F.col("_drop"), "left_anti")
+    more = plain.join(sized(by_id.where("rows > 1").select(F.col("id").alias("_id"))), row_id == F.col("_id"))
+    told = more.select("_id", F.struct(*plain.columns).alias("_row"), F.col(own["text"]).cast("string").alias("text")).mapInArrow(_keyed(n), more.select("_id", F.struct(*plain.columns).alias("_row")).schema.add("n", "long").add("key", "long"))
+    told = told.join(known.select("key", "root", "component"), "key", "left")
+    blank = told.where("n = 0").select("_row.*")
+    one = told.where("n > 0 and component = _id").groupBy("_id", "root").agg(F.min("_row").alias("_row")).select("_row.*")
+    return once.unionByName(blank).unionByName(one).toDF(*cols)

@@ -83,7 +83,8 @@ def test_signatures_are_shared_by_all_similar_sets():
                         break
                     b = c
                 b = np.unique(np.array(b, np.uint64))
-                assert set(ngram_join.signatures(a, percent).tolist()) & set(ngram_join.signatures(b, percent).tolist())
+                sa, sb = ({band: (need, set(sigs.tolist())) for band, need, sigs in ngram_join.signatures(x, percent)} for x in (a, b))
+                assert any(len(sa[t][1] & sb[t][1]) >= max(sa[t][0], sb[t][0]) >= 1 for t in sa.keys() & sb.keys())
 
 
 def test_jaccard_odd_rows(spark):
@@ -94,6 +95,25 @@ def test_jaccard_odd_rows(spark):
     assert got == [(0, None), (1, 1), (1, 1), (2, 1)]
     kept = ngram_join.keep_representatives(df)
     assert kept.columns == df.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1]
+    assert ngram_join.keep_representatives(empty).collect() == []
+
+
+def test_repeated_ids_with_different_texts(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    rows = [(5, one, "x", 1), (5, two, "x", 2), (6, one + " end", "y", 3), (7, two + " end", "y", 4), (5, one, "x", 1), (8, "", "z", 5), (8, "", "z", 5), (9, "lone text here", "z", 6), (5, "third text of five", "x", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, n long")
+    got = sorted((r["doc_id"], r["n_links"], r["component_id"]) for r in ngram_join.jaccard_components(df, n=5, percent=80).collect())
+    assert got == [(5, 0, 5), (5, 1, 5), (5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 1, 5), (8, 0, 8), (8, 0, 8), (9, 0, 9)]
+    kept = sorted(tuple(r) for r in ngram_join.keep_representatives(df).collect())
+    assert kept == sorted([(5, one, "x", 1), (5, two, "x", 2), (5, "third text of five", "x", 7), (8, "", "z", 5), (8, "", "z", 5), (9, "lone text here", "z", 6)])
+
+
+def test_tasks_combine_what_they_share(spark, monkeypatch):
+    rows = list(enumerate(perturbed(3, 4, 12)))
+    monkeypatch.setattr(ngram_join, "CHUNK", 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in ngram_join.jaccard_components(df, n=3, percent=90).collect()}
+    assert got == brute_jaccard(rows, 3, 90)
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
