@@ -2,12 +2,13 @@
 
 A word's vector is the mean of the vectors of its hashed character n-grams (and of the whole
 word), a passage's the mean of its words', and a two-class softmax over that mean
-says how toxic the passage is; embeddings and softmax are fitted together in
-numpy. A misspelt or inflected word that was never seen still has most of its n-grams.
+says how toxic the passage is; embeddings and softmax start from small random numbers and are fitted
+together in numpy. A misspelt or inflected word that was never seen still has most of its n-grams.
 
 An average over a whole long text would drown a few words among thousands, so the passages are
-windows of WINDOW distinct words (padded with nothing
-where fewer are left); a text scores as its most toxic window, in training and in use alike.
+windows of WINDOW words that overlap by half (a word said twice in a window counts once there; short
+texts are padded with nothing); a text scores as its most toxic window, in training and in use alike.
+What that costs against plain averages: a text toxic only as a whole, with no such passage, isn't found.
 
 Fitted on the driver on a bounded sample of the labelled rows (``max_rows``), applied on
 the executors with the model in a broadcast of fixed size (2^BITS numbers).
@@ -16,7 +17,8 @@ the executors with the model in a broadcast of fixed size (2^BITS numbers).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,18 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import freeing, mix64
 
 BITS = 18
 DIM = 8
 WINDOW = 16
 MIN_GRAM, MAX_GRAM = 3, 5
+#: n-grams found in fewer training texts keep no vector: they could only be learnt by heart.
 MIN_TEXTS = 4
 #: Logit of a text without words, and the weight in training of one that is clean.
 BIAS, EMPTY = -4.0, 0.5
-LIFT = 4.0
+EPOCHS, RATE = 100, 0.1
 #: Longer runs of word characters (unspaced scripts, joined words) are taken in pieces that overlap by MAX_GRAM - 1.
 PIECE = 64
+#: Words whose n-grams are hashed at a time, so that what the driver holds is bounded by the n-grams kept.
+SLICE = 20_000
 WORD_CACHE = 1_000_000
 #: Labelled rows fitted on at most: all of a small label table, else those least by hash of id.
 MAX_ROWS = 5_000
@@ -43,8 +48,8 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Distinct words of the whole text, by first place: a phrase said over and over weighs once."""
-    return list(dict.fromkeys(p for w in _WORD.findall((text or "").lower()) for p in ((w,) if len(w) <= PIECE else pieces(w))))
+    """The words of the whole text in order."""
+    return [p for w in _WORD.findall((text or "").lower()) for p in ((w,) if len(w) <= PIECE else pieces(w))]
 
 
 def pieces(run: str) -> list[str]:
@@ -76,9 +81,15 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int32), np.concatenate(owners).astype(np.int32)
 
 
-def window_starts(n: int) -> np.ndarray:
-    """Starts of half-overlapping windows that cover n words."""
-    return np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
+def _in_windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per word of a text: does it count in the window that begins with its half, and in the one that ends with it?
+    It does unless it was said before in that window."""
+    order = np.argsort(ids, kind="stable")
+    said = np.full(len(ids), -WINDOW, np.int64)
+    same = ids[order][1:] == ids[order][:-1]
+    said[order[1:][same]] = order[:-1][same]
+    begins = np.arange(len(ids)) // (WINDOW // 2) * (WINDOW // 2)
+    return said < begins, said < begins - WINDOW // 2
 
 
 @dataclass
@@ -89,85 +100,118 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def logit(self, words: list[float]) -> float:
-        """Of the highest window, from the logits of a text's words in order."""
-        if not words:
+    def logit(self, ids: np.ndarray, logits: np.ndarray) -> float:
+        """Of the highest window, from the words of a text (equal words: equal ids) and their logits."""
+        if not len(ids):
             return self.bias
-        total = np.concatenate(([0.0], np.cumsum(np.asarray(words, np.float64))))
-        lo = window_starts(len(words))
-        hi = np.minimum(lo + WINDOW, len(words))
-        return float((total[hi] - total[lo]).max() / WINDOW + self.bias)
+        here, before = _in_windows(ids)
+        half = np.arange(len(ids)) // (WINDOW // 2)
+        first, second = np.bincount(half, logits * here), np.bincount(half, logits * before)
+        total = first.copy()
+        total[:-1] += second[1:]
+        return float((total if len(total) == 1 else total[:-1]).max() / WINDOW + self.bias)
 
-    def score(self, words: list[float]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(words), -30, 30))))
+    def score(self, ids: np.ndarray, logits: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(ids, logits), -30, 30))))
 
 
 class _Logits:
-    """Logit of every word met; those that are new in a text are computed together."""
+    """Id and logit of every word met; those that are new in a text are computed together."""
 
     def __init__(self, weight: np.ndarray):
-        self.weight, self.known = weight, {}
+        self.weight, self.known, self.logit = weight, {}, np.empty(0)
 
-    def look(self, words: list[str]) -> list[float]:
+    def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > WORD_CACHE:
+            self.known, self.logit = {}, np.empty(0)
         new = list({*words}.difference(self.known))
         if new:
             bucket, owner = subwords(new)
-            self.known.update(zip(new, (np.bincount(owner, self.weight[bucket], len(new)) / np.bincount(owner, minlength=len(new))).tolist()))
-        return list(map(self.known.__getitem__, words))
-
-
-def fit(texts: list[str | None], labels: list[int], epochs: int = 40, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Joint training by Adam. Every window of a clean text is clean, and so is the empty text; of a toxic text, in
-    the first rounds every window is taken as toxic, then the highest only.
-    N-grams found in fewer than MIN_TEXTS of the texts' words keep no vector: they could
-    only be learnt by heart."""
-    docs = [(words_of(t), int(y)) for t, y in zip(texts, labels)]
-    docs = [d for d in docs if d[0]]
-    y = np.array([d[1] for d in docs], np.float64)
+            n = len(self.known)
+            self.known.update(zip(new, range(n, n + len(new))))
+            if len(self.known) > len(self.logit):
+                self.logit = np.concatenate([self.logit, np.empty(max(len(self.known), 4096))])
+            self.logit[n : n + len(new)] = np.bincount(owner, self.weight[bucket], len(new)) / np.bincount(owner, minlength=len(new))
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return ids, self.logit[ids]
+
+
+def _kept_grams(vocab: list[str], in_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, sub, of_word, grams): buckets found in MIN_TEXTS words' texts or more; the place in ``name`` and the word of each
+    n-gram kept; and how many n-grams each word has in all. Words are hashed slice by slice."""
+    texts, slices = np.zeros(1 << BITS), range(0, len(vocab), SLICE)
+    for lo in slices:
+        bucket, owner = subwords(vocab[lo : lo + SLICE])
+        texts += np.bincount(bucket, in_texts[owner + lo], 1 << BITS)
+    name = np.flatnonzero(texts >= MIN_TEXTS)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[name] = np.arange(len(name))
+    sub, of_word, grams = [], [], []
+    for lo in slices:
+        bucket, owner = subwords(vocab[lo : lo + SLICE])
+        at = place[bucket]
+        sub.append(at[at >= 0])
+        of_word.append((owner[at >= 0] + lo).astype(np.int32))
+        grams.append(np.bincount(owner, minlength=min(SLICE, len(vocab) - lo)).astype(np.float32))
+    return name, np.concatenate(sub), np.concatenate(of_word), np.concatenate(grams)
+
+
+def _sums(at: np.ndarray, value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of value[of] by ``at``, a slice at a time so that no copy is as long as ``of``."""
+    out = np.zeros(n)
+    for lo in range(0, len(at), 1 << 19):
+        out += np.bincount(at[lo : lo + (1 << 19)], value[of[lo : lo + (1 << 19)]], n)
+    return out
+
+
+def fit(rows: Iterable[tuple[str | None, int]], epochs: int = EPOCHS, rate: float = RATE, decay: float = 1e-6, seed: int = 7) -> Model:
+    """Joint training by Adam from (text, label), read once. Every window of a clean text is clean, and so is the empty text. A toxic text's
+    label is dealt to its windows by a softmax of their logits that grows sharper round by round: to all alike
+    at first, to the highest alone at last."""
+    vocab: dict[str, int] = {}
+    in_texts, word_at, win_at, wins, y = array("i"), array("i"), array("i"), [], []
+    for text, label in rows:
+        if not (words := words_of(text)):
+            continue
+        ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words))
+        in_texts.frombytes(np.unique(ids).tobytes())
+        here, before = _in_windows(ids)
+        half = (np.arange(len(ids)) // (WINDOW // 2)).astype(np.int32)
+        n = max(1, int(half[-1]))  # the last half begins no window of its own, unless it is all there is
+        here, before = here & (half < n), before & (half > 0)
+        word_at.frombytes(np.concatenate([ids[here], ids[before]]).tobytes())
+        base = wins[-1] if wins else 0
+        win_at.frombytes((np.concatenate([half[here], half[before] - 1]) + np.int32(base)).tobytes())
+        wins.append(base + n)
+        y.append(float(label))
+    y = np.array(y)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), BIAS)
-    vocab: dict[str, int] = {}
-    ids = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in d[0]), np.int32, len(d[0])) for d in docs]
-    in_texts = np.bincount(np.concatenate([np.unique(i) for i in ids]), minlength=len(vocab))
-    sub, of_word = subwords(list(vocab))
-    grams = np.bincount(of_word, minlength=len(vocab)).astype(np.float32)
-    toxic_texts = np.bincount(np.concatenate([np.unique(i) for i, t in zip(ids, y) if t]), minlength=len(vocab))
-    kept = np.bincount(sub, in_texts[of_word], 1 << BITS) >= MIN_TEXTS
-    found, toxic = (np.bincount(sub, x[of_word], 1 << BITS)[kept] for x in (in_texts, toxic_texts))
-    expected = found * y.mean()
-    lift = (toxic - expected) / np.sqrt(expected + 1)
-    at = np.flatnonzero(kept[sub])
-    name, (sub, of_word) = np.flatnonzero(kept), (sub[at], of_word[at])
-    sub = np.searchsorted(name, sub).astype(np.int32)
-    lo = [window_starts(len(i)) for i in ids]
-    win_doc = np.repeat(np.arange(len(ids)), [len(x) for x in lo])
-    flat, base = np.concatenate(ids), np.cumsum([0, *map(len, ids)])
-    w_lo = np.concatenate([x + base[k] for k, x in enumerate(lo)])
-    w_hi = np.minimum(w_lo + WINDOW, base[win_doc + 1])
-    first = np.flatnonzero(np.concatenate(([True], win_doc[1:] != win_doc[:-1])))
+    word_at, win_at = np.frombuffer(word_at, np.int32), np.frombuffer(win_at, np.int32)
+    n_win, first = wins[-1], np.array([0, *wins[:-1]])
+    win_doc = np.repeat(np.arange(len(y)), np.diff([0, *wins]))
+    name, sub, of_word, grams = _kept_grams(list(vocab), np.bincount(np.frombuffer(in_texts, np.int32)).astype(np.float32))
+    del vocab, in_texts
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.02, (len(name), DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    # a warm start: the first dimension tells n-grams that toxic texts hold more often than chance allows
-    emb[:, 0] += np.where(lift > LIFT, lift, 0)
-    soft[0] = (-1, 1)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    clean, wins = y[win_doc] == 0, np.bincount(win_doc)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))[win_doc]
+    clean = y[win_doc] == 0
+
+    def windows(delta: np.ndarray) -> np.ndarray:
+        word = _sums(of_word, emb @ delta, sub, len(grams)) / grams
+        return _sums(win_at, word, word_at, n_win) / WINDOW + bias[1] - bias[0]
+
     for epoch in range(epochs):
         delta = soft[:, 1] - soft[:, 0]
-        logit = np.bincount(of_word, (emb @ delta)[sub], len(grams)) / grams
-        total = np.concatenate(([0.0], np.cumsum(logit[flat])))
-        z = (total[w_hi] - total[w_lo]) / WINDOW + bias[1] - bias[0]
+        z = windows(delta)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if epoch < epochs // 5:
-            g = (p - y[win_doc]) * share[win_doc] / wins[win_doc]
-        else:
-            top = z == np.maximum.reduceat(z, first)[win_doc]
-            g = np.where(clean, p * share[win_doc], np.where(top, (p - 1) * share[win_doc], 0.0))
-        edge = (np.bincount(w_lo, g, len(flat) + 1) - np.bincount(w_hi, g, len(flat) + 1)) / WINDOW
-        g_word = np.bincount(flat, np.cumsum(edge[:-1]), len(grams))
-        g_gram = np.bincount(sub, (g_word / grams)[of_word], len(name)).astype(np.float32)
+        sharp = np.exp(np.minimum((z - np.maximum.reduceat(z, first)[win_doc]) * (8.0 * epoch / epochs), 0))
+        dealt = sharp / np.add.reduceat(sharp, first)[win_doc]
+        g = np.where(clean, p, p - 1) * share * dealt
+        g_word = _sums(word_at, g, win_at, len(grams)) / WINDOW
+        g_gram = _sums(sub, g_word / grams, of_word, len(name)).astype(np.float32)
         g_soft = emb.T @ g_gram
         g_bias = np.float32(g.sum() + EMPTY / (1 + np.exp(bias[0] - bias[1])))
         grads = [g_gram[:, None] * delta[None, :] + decay * emb, np.stack([-g_soft, g_soft], 1) + decay * soft, np.array([-g_bias, g_bias])]
@@ -176,13 +220,13 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 40, rate: floa
             m[1] += 0.001 * (gr * gr - m[1])
             step = rate * np.sqrt(1 - 0.999 ** (epoch + 1)) / (1 - 0.9 ** (epoch + 1))
             p_ -= step * m[0] / (np.sqrt(m[1]) + 1e-7)
+    delta = soft[:, 1] - soft[:, 0]
     weight = np.zeros(1 << BITS, np.float32)
-    weight[name] = emb @ (soft[:, 1] - soft[:, 0])
+    weight[name] = emb @ delta
     model = Model(weight, float(bias[1] - bias[0]))
     # the softmax was fitted to balanced classes; its zero moves to where the fewest texts are wrong. The
     # words' weights move with it, so that a text that tells nothing stays clean
-    table = _Logits(weight)
-    z = np.array([model.logit(table.look(d[0])) for d in docs])
+    z = np.maximum.reduceat(windows(delta), first)
     order = np.argsort(z)
     wrong = np.concatenate(([0], np.cumsum(np.where(y[order] == 1, 1, -1)))) + (y == 0).sum()
     best = np.flatnonzero(wrong == wrong.min())
@@ -208,8 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_hash = F.xxhash64("id", F.lit(5))
     chosen = mine.where("y = 1").orderBy(by_hash, "id").limit(max_rows // 2).union(mine.where("y = 0").orderBy(by_hash, "id").limit(max_rows // 2))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t is not null")
-    rows = text.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y")).orderBy("id").collect()
-    return fit([r["t"] for r in rows], [r["y"] for r in rows])
+    rows = text.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y")).orderBy("id")
+    return fit((r["t"], r["y"]) for r in rows.toLocalIterator())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -225,14 +269,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = Model(*shared.value)
         table = _Logits(m.weight)
         for batch in batches:
-            if len(table.known) > WORD_CACHE:
-                table.known.clear()
-            s = [m.score(table.look(words_of(t.as_py()))) for t in batch.column("_scored")]
+            s = [m.score(*table.look(words_of(t.as_py()))) for t in batch.column("_scored")]
             names = [f for f in batch.schema.names if f != "_scored"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(s, pa.float64())], [*names, "score"])
 
     schema = src.drop("_scored").schema.add("score", "double")
-    out = src.mapInArrow(run, schema)
+    out = src.mapInArrow(freeing(run), schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
