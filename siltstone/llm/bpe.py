@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 #: Words and token pairs that one Python worker keeps.
 WORD_CACHE = 500_000
 PAIR_CACHE = 1_000_000
@@ -211,6 +213,11 @@ class Codec:
         """UTF-8 of the token strings with one space between: what a vocabulary without a decoder gives."""
         return b" ".join(map(self.pieces.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Lets go of the words met; the tables stay."""
+        self.known.clear()
+        self.chunks.clear()
+
 
 _LOADED: dict[str, Codec] = {}
 
@@ -258,8 +265,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        c.forget()
 
     src = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t"))
     kind = src.schema["_i"].dataType.simpleString()
-    out = src.mapInArrow(run, f"_i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))
+    out = src.mapInArrow(freeing(run), f"_i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))
     return out.withColumnRenamed("_i", id_col)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 MIN_LENGTH = 16
 REDACTED = "[SECRET]"
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "bearer", "client_secret")
@@ -217,7 +219,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id",
 
     src = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t"))
     kind = src.schema["_i"].dataType.simpleString()
-    return src.mapInArrow(run, f"_i {kind}, start long, end long, assigned boolean, finding string, score double, is_secret boolean").withColumnRenamed("_i", id_col)
+    return src.mapInArrow(freeing(run), f"_i {kind}, start long, end long, assigned boolean, finding string, score double, is_secret boolean").withColumnRenamed("_i", id_col)
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, text_col: str = "text") -> DataFrame:
@@ -237,7 +239,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, text_col: str = "text"
             k = batch.schema.get_field_index(text_col)
             yield batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(freeing(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text_col).contains(REDACTED), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out
