@@ -11,16 +11,17 @@ compared in pairs of bounded blocks, and a block reports spanning links and coun
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, forest, grouped, mix64, stash, unstash
+from .common import block_pairs, connected_components, forest, grouped, join_known, mix64, stash, unstash
 
 TABLES, PROBES, WIDTH = 10, 6, 0.85
 #: Vectors that a block of a group holds.
@@ -78,67 +79,69 @@ def cells(unit: np.ndarray, tables: int, probes: int, width: float, seed: int) -
     return np.concatenate(keys, 1).view(np.int64), np.concatenate(own, 1)
 
 
-def _usable(vectors: list[list[float | None] | None]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Places and unit vectors of those that have a direction."""
-    at, out = [], []
-    for k, v in enumerate(vectors):
-        if v and None not in v:
-            x = np.asarray(v, np.float64)
-            if np.isfinite(x).all() and x.any():
-                x = x / np.abs(x).max()
-                at.append(k)
-                out.append(x / math.sqrt(x @ x))
-    return np.array(at, int), out
+def _units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of the rows that have a direction, by length of vector."""
+    v = batch.column("v")
+    length = pc.fill_null(pc.list_value_length(v), 0).to_numpy().astype(np.int64)
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null entries become NaN
+    start = np.cumsum(length) - length
+    ids = batch.column("id").to_numpy()
+    for dim in np.unique(length[length > 0]).tolist():
+        at = np.flatnonzero(length == dim)
+        x = flat[start[at][:, None] + np.arange(dim)]
+        good = np.isfinite(x).all(1) & x.any(1)
+        x = x[good] / np.abs(x[good]).max(1)[:, None]
+        if len(x):
+            yield ids[at[good]], x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, unit): equal unit vectors have equal keys."""
+    for batch in batches:
+        for ids, unit in _units(batch):
+            raw = [u.tobytes() for u in unit]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array(raw, pa.binary())], ["id", "key", "unit"])
 
 
 def _hashed(tables: int, probes: int, width: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, unit = _usable(batch.column("v").to_pylist())
-            if not len(at):
-                continue
-            ids = batch.column("id").to_numpy()[at]
-            for dim in {len(u) for u in unit}:
-                some = [k for k, u in enumerate(unit) if len(u) == dim]
+            keys, raw = batch.column("key").to_numpy(), batch.column("unit")
+            size = pc.binary_length(raw).to_numpy()
+            for dim in np.unique(size).tolist():
+                some = np.flatnonzero(size == dim)
                 for lo in range(0, len(some), 2000):
                     part = some[lo : lo + 2000]
-                    key, own = cells(np.array([unit[k] for k in part]), tables, probes, width, seed)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], key.shape[1])), pa.array(key.ravel()), pa.array(own.ravel())], ["id", "cell", "own"])
+                    key, own = cells(np.array([np.frombuffer(raw[k].as_py()) for k in part]), tables, probes, width, seed)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[part], key.shape[1])), pa.array(key.ravel()), pa.array(own.ravel())], ["key", "cell", "own"])
 
     return run
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, unit = _usable(batch.column("v").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[at], pa.int64()), pa.array([u.tobytes() for u in unit], pa.binary())], ["id", "unit"])
-
-
-def _linked(key: str, least: float, probing: bool):
-    """Per pair of blocks, (a, b, links): a vector, the smallest it reaches, and how many it links with."""
+def _linked(group: str, least: float, probing: bool):
+    """Per pair of blocks, (a, b, links): a vector, the smallest it reaches, and how many rows it links with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in grouped(batches, [key, "i", "j"]):
+        for g in grouped(batches, [group, "i", "j"]):
             if g.num_rows < 2:
                 continue
-            ids, blk = g.column("id").to_numpy(), g.column("blk").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            raw = g.column("unit").to_pylist()
-            ids, blk, x = ids[order], blk[order], [np.frombuffer(raw[k]) for k in order]
-            if len({len(u) for u in x}) > 1:
-                raise ValueError("vectors of different length met in one cell")
-            x = np.array(x)
-            linked = x @ x.T >= least
-            np.fill_diagonal(linked, False)
-            if g.column("i")[0].as_py() != g.column("j")[0].as_py():
-                linked &= blk[:, None] != blk[None, :]
-            if probing:
-                own = g.column("own").to_numpy(zero_copy_only=False)[order]
-                linked &= own[:, None] | own[None, :]
-            some = np.flatnonzero(linked.any(1))
-            if len(some):
-                root = forest(linked)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(linked.sum(1)[some].astype(np.int64))], ["a", "b", "links"])
+            keys, blk, copies, raw = g.column("key").to_numpy(), g.column("blk").to_numpy(), g.column("copies").to_numpy(), g.column("unit").to_pylist()
+            apart = g.column("i")[0].as_py() != g.column("j")[0].as_py()
+            own_of = g.column("own").to_numpy(zero_copy_only=False) if probing else None
+            for size in {len(r) for r in raw}:  # vectors of different length only meet where hashes collide
+                order = np.array([k for k in np.argsort(keys, kind="stable") if len(raw[k]) == size])
+                x = np.array([np.frombuffer(raw[k]) for k in order])
+                linked = x @ x.T >= least
+                np.fill_diagonal(linked, False)
+                if apart:
+                    linked &= blk[order][:, None] != blk[order][None, :]
+                if probing:
+                    linked &= own_of[order][:, None] | own_of[order][None, :]
+                linked &= keys[order][:, None] != keys[order][None, :]
+                some = np.flatnonzero(linked.any(1))
+                if len(some):
+                    root = forest(linked)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[order][some]), pa.array(keys[order][root[some]]), pa.array((linked @ copies[order])[some].astype(np.int64))], ["a", "b", "links"])
 
     return run
 
@@ -147,25 +150,32 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, tables: int = TABLE
     """(id_col, n_links, component_id, kept), one row per input row.
 
     Links are pairs found with cosine >= ``least``: components come from pairs that met in a cell, and
-    within a component all pairs are compared. Null and zero vectors and
+    within a component all pairs are compared. Vectors of one direction are one vertex, hashed and compared once however
+    many rows have it; they link with each other. Null and zero vectors and
     those with null, NaN or infinite entries link with nothing, nor do vectors of different length.
     Rows that repeat an id are one vector (that which hashes least). Rows without
     an id have a null component and aren't kept. Extra columns are ignored.
     """
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     one = src.where("id is not null").groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-    one = stash(one)
-    unit = stash(one.mapInArrow(_units, "id long, unit binary"))
-    placed = stash(one.mapInArrow(_hashed(tables, probes, width, seed), "id long, cell long, own boolean"))
+    unit = stash(one.mapInArrow(_united, "id long, key long, unit binary"))
+    classes = stash(unit.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("unit").alias("unit")))
+    placed = stash(classes.select("key", "unit").mapInArrow(_hashed(tables, probes, width, seed), "key long, cell long, own boolean"))
     company = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("o")).where("n > 1 and o > 0").select("cell")
     met = placed.join(company, "cell").withColumn("w", F.lit(1))
-    in_cells = block_pairs(met, "cell", "id", "w", BLOCK).join(unit, "id").select("cell", "i", "j", "id", "blk", "own", "unit")
+    in_cells = block_pairs(met, "cell", "key", "w", BLOCK).join(classes, "key").select("cell", "i", "j", "key", "blk", "own", "copies", "unit")
     found = stash(in_cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_linked("cell", least, True), "a long, b long, links long").select("a", "b").where("a <> b").distinct())
-    comp = stash(connected_components(found))
+    comp = stash(connected_components(found).select(F.col("id").alias("key"), F.col("component").alias("root")))
     unstash(placed, found)
-    members = block_pairs(comp.withColumn("w", F.lit(1)), "component", "id", "w", BLOCK).join(unit, "id").select("component", "i", "j", "id", "blk", "unit")
-    counts = members.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_linked("component", least, False), "a long, b long, links long")
-    degree = stash(counts.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links")))
-    out = src.select("id").join(comp, "id", "left").join(degree, "id", "left")
+    members = block_pairs(comp.withColumn("w", F.lit(1)), "root", "key", "w", BLOCK).join(classes, "key").select("root", "i", "j", "key", "blk", "copies", "unit")
+    counts = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_linked("root", least, False), "a long, b long, links long")
+    degree = counts.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    tied = comp.join(classes.select("key", "least"), "key")
+    component = tied.groupBy("root").agg(F.min("least").alias("component"))
+    tied = tied.select("key", "root").join(component, "root").join(degree, "key", "left").select("key", "component", "links")
+    known = classes.select("key", "least", "copies").join(tied, "key", "left")
+    known = stash(known.select("key", "copies", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    judged = join_known(unit.select("id", "key"), known, "key", "copies").select("id", "component", "links")
+    out = src.select("id").join(judged, "id", "left")
     at = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), at.alias("component_id"), F.coalesce(at == F.col("id"), F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), at.alias("component_id"), F.coalesce(at == F.col("id"), F.lit(False)).alias("kept"))
