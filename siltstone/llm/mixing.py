@@ -129,8 +129,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
         raise ValueError("keep must be within (0, 1]")
     cols = [c for c in docs.columns if c not in ("topic", "n_tokens", "probability", "weight", "selected")]
     told = docs.select(*cols).withColumn("n_tokens", word_count(text_col)).withColumn("topic", topic_of(text_col, F.col("n_tokens")))
-    key = {m: F.coalesce(F.col(m).cast("string"), F.lit(UNKNOWN)).alias(f"_{m}") for m in MARGINS}
-    cells = stash(told.select(*[key[m].alias(m) for m in MARGINS], "n_tokens").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    key = F.struct(*[F.coalesce(F.col(m).cast("string"), F.lit(UNKNOWN)).alias(m) for m in MARGINS])
+    cells = stash(told.select(key.alias("cell"), "n_tokens").select("cell.*", "n_tokens").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     if cells.count() <= MAX_CELLS:
         rows = cells.orderBy(*MARGINS).toPandas()
         base = rows["tokens"].to_numpy(float)
@@ -168,11 +168,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     if top and top > 0:
         c = _scale(factors, keep) if rows is None else _scale_of(f, tokens, keep)
         c = c if weighted else min(c, 1.0 / top)
-    odds = factors.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.least(F.lit(1.0), F.col("factor") * F.lit(float(c))).alias("probability"), F.greatest(F.lit(1.0), F.col("factor") * F.lit(float(c))).alias("weight"))
+    odds = factors.select(F.struct(*MARGINS).alias("_cell"), F.least(F.lit(1.0), F.col("factor") * F.lit(float(c))).alias("probability"), F.greatest(F.lit(1.0), F.col("factor") * F.lit(float(c))).alias("weight"))
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    on = [f"_{m}" for m in MARGINS]
-    out = told.withColumns({f"_{m}": key[m] for m in MARGINS}).join(sized(odds), on, "left").drop(*on)
-    return out.withColumn("selected", F.coalesce(u < F.col("probability"), F.lit(False)))
+    out = told.select(F.struct(*told.columns).alias("_row"), key.alias("_cell"), u.alias("_u")).join(sized(odds), "_cell", "left")
+    return out.select("_row.*", "probability", "weight", F.coalesce(F.col("_u") < F.col("probability"), F.lit(False)).alias("selected"))
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
