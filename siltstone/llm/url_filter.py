@@ -19,7 +19,8 @@ from .common import sized, stash, unstash
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)(?:href|src)\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
+#: The host of a link that names one, with its scheme or by ``//host``; any other link stays on its page's own host.
+_LINK = r"""(?i)(?:href|src)\s*+=\s*+["']?(?:[a-z][a-z0-9+.-]*+:)?//([^/?#"'\s>]+)"""
 
 
 def _lower_ascii(c: Column) -> Column:
@@ -51,17 +52,19 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 40, error: float = 1e-6) -> DataFrame:
-    """(host, trust, distrust) from links (src, dst, pages) and seeds (host, trust, distrust).
+def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 100, error: float = 1e-6) -> DataFrame:
+    """(host, trust, distrust) from links (src, dst, pages) and seeds (host, trust, distrust). The seeds of either kind are
+    shares of 1, however many pages were ruled, so trust and distrust can be compared.
 
     rank = (1 - damping) seed + damping * what comes over the edges, trust forwards and distrust
     backwards; a host without such edges hands its share to nobody. Stops when no
-    host moves by more than ``error`` of all seed weight."""
+    host moves by more than ``error``; what still moves after n rounds is at most damping^n, so the rounds given always get there."""
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "pages").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "pages"))
     out_of = both.groupBy("kind", "a").agg(F.sum("pages").alias("all"))
     edges = stash(both.join(out_of, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("pages") / F.col("all")).alias("share")))
     start = stash(seeds.select("host", F.expr("stack(2, 'trust', double(trust), 'distrust', double(distrust)) as (kind, seed)")).where("seed > 0"))
-    total = start.agg(F.sum("seed")).first()[0] or 0.0
+    whole = start.groupBy("kind").agg(F.sum("seed").alias("whole"))
+    raw, start = start, stash(start.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("seed") / F.col("whole")).alias("seed")))
     rank = stash(start.select("kind", "host", F.col("seed").alias("rank"), F.lit(0.0).alias("off")))
     for _ in range(rounds):
         came = rank.join(edges, ["kind", "host"]).select("kind", F.col("b").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("old"))
@@ -71,8 +74,9 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
         new = stash(step.select("kind", "host", "rank", F.abs(F.col("rank") - F.col("old")).alias("off")))
         unstash(rank)
         rank = new
-        if (rank.agg(F.max("off")).first()[0] or 0.0) <= error * total:
+        if (rank.agg(F.max("off")).first()[0] or 0.0) <= error:
             break
+    unstash(raw, edges, start)
     side = lambda k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k)
     return rank.groupBy("host").agg(side("trust"), side("distrust"))
 
