@@ -6,7 +6,8 @@ both on the digest. Payloads are checked on the way in (a second, independent ha
 among all that share a digest) and on the way out (the digest is computed anew).
 
 Payloads are merged within each task before they are shuffled, so a page copied a
-million times moves once a task; headers and addresses, which are narrow, are what is joined.
+million times moves once a task; headers and addresses, which are narrow, are what is joined, and what very many
+share is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import join_split, shared_dir
 
 #: Payloads shorter than this aren't worth a revisit record: each is a response.
 LEAST_REVISIT = 100
@@ -35,22 +36,22 @@ def write(pages: DataFrame, root: str, date: str = "2024-01-01T00:00:00Z", id_co
 
     Null html is an empty payload. Of rows with equal payloads of LEAST_REVISIT bytes or more that with the
     smallest id is the response; the others revisit it. Rows that repeat that id, and
-    rows without an id, are responses. Line ends in urls are percent-encoded."""
+    rows without an id, are responses; without an id a record's own comes from its address and payload. Line ends in urls are percent-encoded."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     x = F.xxhash64("payload", F.lit(91))
-    store = src.groupBy("digest").agg(F.min("id").alias("first_id"), F.any_value("payload").alias("payload"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    store = src.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.any_value("payload").alias("payload"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     same = F.when(F.col("lo") == F.col("hi"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("two payloads share digest "), F.col("digest"))).cast("binary"))
-    store.select("digest", "first_id", same.alias("payload")).write.option("compression", "zstd").parquet(f"{root}/payloads")
-    firsts = pages.sparkSession.read.parquet(f"{root}/payloads").select("digest", "first_id")
-    rows = src.select("id", "url", "digest", F.length("payload").cast("long").alias("bytes")).join(firsts, "digest")
+    store.select("digest", "first_id", "copies", same.alias("payload")).write.option("compression", "zstd").parquet(f"{root}/payloads")
+    firsts = pages.sparkSession.read.parquet(f"{root}/payloads").select("digest", "first_id", "copies")
+    rows = join_split(src.select("id", "url", "digest", F.length("payload").cast("long").alias("bytes")), firsts.select("digest", "first_id"), "digest", firsts.select("digest", "copies"), F.xxhash64("id", "url"))
     again = (F.col("bytes") >= LEAST_REVISIT) & F.coalesce(F.col("id") != F.col("first_id"), F.lit(False))
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))
     header = F.concat(
         F.lit("WARC/1.1" + _CRLF),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        F.when(F.col("id").isNotNull(), line("WARC-Record-ID", _urn(F.col("id")))).otherwise(""),
+        line("WARC-Record-ID", F.coalesce(_urn(F.col("id")), _urn(F.concat_ws("|", F.lit("no id"), "url", "digest")))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
@@ -76,7 +77,9 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     fresh = F.sha2("payload", 256)
     good = F.when(fresh == F.col("digest"), fresh).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("string"))
     store = spark.read.parquet(f"{root}/payloads").select("digest", "payload", good.alias("checked"), F.length("payload").cast("long").alias("payload_bytes"))
-    out = spark.read.parquet(f"{root}/headers").join(store, "digest")
+    headers = spark.read.parquet(f"{root}/headers")
+    counts = headers.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    out = join_split(headers, store, "digest", counts, F.xxhash64("header"))
     kind = _field("WARC-Type")
     body = F.when(kind == "response", F.col("payload")).otherwise(F.lit(b""))
     return out.select(
