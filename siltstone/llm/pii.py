@@ -4,8 +4,9 @@ E-mail addresses, telephone numbers, IPv4 addresses, payment cards, US social se
 IBANs and names after a form of address are found by one pattern. Each distinct entity
 gets a surrogate drawn from a keyed digest of what it is: of the same type and format,
 with names of the same gender and script. The same entity has the same surrogate wherever it
-stands and however it is spaced; two entities never share one, and no surrogate is an entity that occurs.
-Those that would are drawn again.
+stands and however it is spaced; two entities never share one, and no surrogate is an entity that occurs:
+those that would are drawn again. Only where entities fill a format (a whole private network) so that nothing
+is free do they get each other's values.
 
 DataFrame operations only. Texts without entities pass through; of the others only the
 entities, narrow rows, are shuffled, reduced to distinct ones before surrogates are drawn.
@@ -13,10 +14,13 @@ entities, narrow rows, are shuffled, reduced to distinct ones before surrogates
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, unstash
+from .common import sized, stash, unstash
 
 # First and last names by script and gender, and forms of address by gender.
 LATIN_MALE = "Adrian Bernard Conrad Damian Edgar Fabian Gaspard Henrik Ivo Jonas Klaus Leandro Marius Norbert Oscar Pascal Quentin Rainer Silvan Tobias Ulrich Valentin Walter Xavier Yannick Zeno".split()
@@ -30,8 +34,9 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Го
 
 _TITLE = "|".join((*MALE_TITLES, *FEMALE_TITLES, "Dr"))
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+# Repeated groups are possessive or bounded: others recurse in Java, and a long text would end the stack.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -64,7 +69,12 @@ def _gender(surface: Column) -> Column:
 
 
 def _digest(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
+    """HMAC-SHA256 of the parts in hex."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(c ^ x for c in secret))
+    said = F.encode(F.concat_ws("|", *[p.cast("string") for p in parts]), "UTF-8")
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), said), 256))), 256)
 
 
 def _shaped(value: Column, digest: Column, keep: Column | int = 0) -> Column:
@@ -134,33 +144,68 @@ def _name(value: Column, gender: Column, digest: Column, attempt: Column) -> Col
     return F.when(value.contains(" "), F.concat(first, F.lit(" "), tail)).otherwise(tail)
 
 
+def _draw(key: str, attempt: int) -> Column:
+    kind, v, d = F.col("kind"), F.col("entity"), _digest(key, F.col("kind"), F.col("entity"), F.lit(attempt))
+    by_kind = F.when(kind == "email", _email(v, d, f"{key}|{max(0, attempt - 3)}")).when(kind == "ip", _ip(v, d)).when(kind == "card", _card(v, d)).when(kind == "name", _name(v, F.col("gender"), d, F.lit(attempt)))
+    return by_kind.when(kind == "iban", _shaped(v, d, 2)).when((kind == "phone") & v.startswith("+"), _shaped(v, d, 2)).otherwise(_shaped(v, d))
+
+
+def _format() -> Column:
+    """What a surrogate keeps of its entity: values of one format may stand for each other."""
+    kind, v = F.col("kind"), F.col("entity")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
+    head = F.when(kind == "card", F.concat(F.substring(v, 1, 1), (F.pmod(_luhn_sum(v), F.lit(10)) == 0).cast("string"))).when((kind == "iban") | (kind == "phone") & v.startswith("+"), F.substring(v, 1, 2))
+    of_name = F.concat_ws(" ", v.rlike(r"\p{IsCyrillic}").cast("string"), F.col("gender"), v.contains(" ").cast("string"))
+    private = F.regexp_extract(v, r"^(10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.", 1)
+    tail = F.when(kind == "email", F.substring_index(v, ".", -1)).otherwise(F.lit(""))
+    return F.when(kind == "name", of_name).when(kind == "ip", private).otherwise(F.concat(F.coalesce(head, F.lit("")), F.lit(":"), shape, F.lit(":"), tail))
+
+
+def _permuted(left: DataFrame, given: DataFrame, key: str, group: int = 1000) -> DataFrame:
+    """For entities of formats so full that draws found nothing free: each is given the next one of its format, by a keyed order within groups
+    of some ``group``, going round. Drawn surrogates are never entities, so these are still distinct; a surrogate may then
+    be another person's value. One that is alone changes places with one of its format that has a
+    surrogate; the only one of its format has its letters and digits blotted out."""
+    rows = left.withColumn("format", _format()).withColumn("h", _digest(key, F.lit("order"), F.col("kind"), F.col("entity")))
+    many = rows.groupBy("kind", "format").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / group)).alias("groups"))
+    rows = rows.join(many, ["kind", "format"]).withColumn("part", F.pmod(F.xxhash64("h"), F.col("groups")))
+    w = Window.partitionBy("kind", "format", "part").orderBy("h", "entity")
+    whole = Window.partitionBy("kind", "format", "part").orderBy("h", "entity").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("surrogate", F.coalesce(F.lead("entity").over(w), F.first("entity").over(whole)))
+    turned = rows.where("surrogate <> entity").select("kind", "entity", "surrogate")
+    alone = rows.where("surrogate = entity").select("kind", "format", F.col("entity").alias("one"))
+    part = given.withColumn("format", _format()).join(alone, ["kind", "format"]).groupBy("kind", "one").agg(F.min(F.struct("entity", "surrogate")).alias("with"))
+    swapped = part.select("kind", F.explode(F.array(F.struct(F.col("one").alias("entity"), F.col("with.surrogate").alias("surrogate")), F.struct(F.col("with.entity").alias("entity"), F.col("one").alias("surrogate")))).alias("s")).select("kind", "s.*")
+    blotted = alone.join(part, ["kind", "one"], "left_anti").select("kind", F.col("one").alias("entity"), F.regexp_replace("one", r"[\p{L}\p{N}]", "X").alias("surrogate"))
+    return turned.unionByName(swapped).unionByName(blotted)
+
+
 def surrogates(entities: DataFrame, key: str, most_attempts: int = 24) -> DataFrame:
-    """(kind, entity, gender) -> (kind, entity, surrogate): one for each distinct (kind, entity).
-
-    Draws for all, then again for those whose surrogate is an entity itself or that another entity of the kind
-    holds: of several that drew the same, the one drawn earliest, then the least, keeps it."""
-    known = stash(entities.groupBy("kind", "entity").agg(F.min("gender").alias("gender")))
-
-    def drawn(rows: DataFrame, attempt: int) -> DataFrame:
-        a = F.lit(attempt)
-        d = _digest(key, F.col("kind"), F.col("entity"), a)
-        v = F.col("entity")
-        s = F.when(F.col("kind") == "email", _email(v, d, f"{key}|{max(0, attempt - 3)}")).when(F.col("kind") == "ip", _ip(v, d)).when(F.col("kind") == "card", _card(v, d)).when(F.col("kind") == "name", _name(v, F.col("gender"), d, a)).when(F.col("kind") == "iban", _shaped(v, d, 2)).when((F.col("kind") == "phone") & v.startswith("+"), _shaped(v, d, 2)).otherwise(_shaped(v, d))
-        return rows.select("kind", "entity", "gender", s.alias("surrogate"), a.alias("attempt"))
-
-    held = stash(drawn(known, 0))
-    for attempt in range(1, most_attempts + 1):
-        best = held.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("best"))
-        real = known.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-        judged = stash(held.join(best, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left").withColumn("fine", (F.col("best.entity") == F.col("entity")) & F.col("real").isNull()).select("kind", "entity", "gender", "surrogate", "attempt", "fine"))
-        unstash(held)
-        held = judged
-        if not held.where("not fine").take(1):
-            return held.select("kind", "entity", "surrogate")
-        new = stash(held.where("fine").drop("fine").unionByName(drawn(held.where("not fine").select("kind", "entity", "gender"), attempt)))
-        unstash(held)
-        held = new
-    raise RuntimeError(f"surrogates still collide after {most_attempts} attempts")
+    """(kind, entity, gender) -> (kind, entity, surrogate): one for each distinct (kind, entity), all distinct within a kind.
+
+    All are drawn; a surrogate that is an entity itself, or that an entity holds already, is drawn again: of several that drew the same in one
+    attempt, the least keeps it. An attempt reads what is settled, but shuffles only what isn't. What is still without one after
+    ``most_attempts``, as its format has hardly a free value, is ``_permuted``."""
+    known = stash(entities.where("kind is not null and entity is not null").groupBy("kind", "entity").agg(F.min("gender").alias("gender")))
+    real = known.select("kind", F.col("entity").alias("surrogate"))
+    settled, left, old = [], known, []
+    for attempt in range(most_attempts):
+        drawn = stash(left.select("kind", "entity", "gender", _draw(key, attempt).alias("surrogate")))
+        best = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
+        taken = reduce(DataFrame.unionByName, [real, *[s.select("kind", "surrogate") for s in settled]])
+        few = sized(drawn.select("kind", "surrogate"))
+        taken = taken.join(few, ["kind", "surrogate"], "left_semi")
+        settled.append(stash(best.join(taken, ["kind", "surrogate"], "left_anti").join(known, ["kind", "entity"]).select("kind", "entity", "gender", "surrogate")))
+        unstash(*old)
+        left = stash(drawn.join(settled[-1], ["kind", "entity"], "left_anti").select("kind", "entity", "gender"))
+        old = [drawn, left]
+        if not left.take(1):
+            break
+    given = reduce(DataFrame.unionByName, settled)
+    if left.take(1):
+        more = stash(_permuted(left, given, key))
+        given = given.join(sized(more.select("kind", "entity")), ["kind", "entity"], "left_anti").select("kind", "entity", "surrogate").unionByName(more)
+    return given.select("kind", "entity", "surrogate")
 
 
 def _rendered(kind: Column, surface: Column, surrogate: Column) -> Column:
@@ -178,10 +223,12 @@ def _rendered(kind: Column, surface: Column, surrogate: Column) -> Column:
     return F.when(kind == "name", F.concat(title, surrogate)).when(kind == "email", F.when(capitals, F.upper(surrogate)).otherwise(surrogate)).when(kind == "ip", surrogate).otherwise(spaced)
 
 
-def pseudonymise(docs: DataFrame, key: str = "siltstone", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with entities in ``text_col`` replaced and n_entities (bigint) added; a column of that name is
-    replaced. Null texts stay null with 0 entities; texts without entities stay as they
+    replaced. ``key`` is the secret that surrogates hang on: without it they can't be drawn again. Null texts stay null with 0 entities; texts without entities stay as they
     are; rows keep their number, and repeated rows come out alike."""
+    if not key:
+        raise ValueError("a key is needed")
     cols = [c for c in docs.columns if c != "n_entities"]
     src = docs.select(*cols)
     t = F.col(text_col)
