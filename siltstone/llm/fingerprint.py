@@ -10,6 +10,8 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ SHINGLE = 5
 #: One of so many hashes is retained.
 SCALE = 4
 _BITS = 48
+#: Fan-out of the tree of quantiles.
+_FAN = 64
 
 
 def words_of(text: Column) -> Column:
@@ -59,26 +63,50 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0).cast("double")
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 512, most: int = 65_536) -> DataFrame:
+def _dealt(src: DataFrame, rows: int) -> DataFrame:
+    """``src`` (id, text) with h (a hash of the text) and a cell of about ``rows`` documents that rises with (id, h); rows
+    without an id come last. Cells end at quantiles of the ids; an id that fills several
+    cells is dealt to these by h. The quantiles stand in a tree of three levels of 64, so a row is compared with 192 of them at most."""
+    spark = src.sparkSession
+    n, lost = src.agg(F.count("id"), F.count_if(F.col("id").isNull())).first()
+    m = min(_FAN**3, n // rows) + 1
+    shares = F.array(*[F.lit(k / m) for k in range(1, m)])
+    cuts = (src.agg(F.percentile_approx("id", shares, F.lit(max(10_000, 4 * m))).alias("q")).first()["q"] or []) if m > 1 else []
+    listed = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>") if some else F.array().cast("array<bigint>")
+    top, mid, low = (listed(cuts[::step]) for step in (_FAN**2, _FAN, 1))
+    less = lambda some: F.size(F.filter(some, lambda c: F.coalesce(c < F.col("id"), F.lit(False))))
+    part = lambda some, k: F.slice(some, (F.col(k) * _FAN + 1).cast("int"), F.lit(_FAN))
+    t = src.withColumn("h", F.xxhash64("text", F.lit(29)))
+    t = t.withColumn("_a", F.greatest(less(top) - 1, F.lit(0)))
+    t = t.withColumn("_b", F.col("_a") * _FAN + F.greatest(less(part(mid, "_a")) - 1, F.lit(0)))
+    before = F.col("_b") * _FAN + less(part(low, "_b"))
+    often = {k: v for k, v in Counter(cuts).items() if v > 1}
+    same = F.lit(0)
+    if often:
+        more = spark.createDataFrame(list(often.items()), "_cut bigint, _times int")
+        t = t.join(F.broadcast(more), F.col("id") == F.col("_cut"), "left")
+        same = F.coalesce(F.col("_times"), F.lit(0))
+    u = F.shiftrightunsigned("h", 33) / F.lit(float(1 << 31))
+    cell = F.when(F.col("id").isNull(), m + F.floor(u * (lost // rows + 1))).otherwise(before + F.floor(u * (same + F.lit(1))))
+    return t.select("id", "text", "h", cell.cast("long").alias("cell"))
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
     """(id, text, next): every text with that of the next document by ascending id, after the last the
-    first. Null texts are empty. Equal ids follow by text; rows without an id come last, by text.
+    first. Null texts are empty. Equal ids follow by a hash of the text, then by text; rows without an id come last, likewise.
 
-    Ids are dealt to a grid of at most ``most`` ranges of about ``rows`` documents; each range is
-    ordered by itself, with the first document of the range after it put at its end. Only the grid (one
+    Rows are dealt to ranges of about ``rows`` documents; each range is
+    ordered by itself, with the first document of the range after it put at its end. Only the list of ranges (one
     narrow row per range that isn't empty) is ordered as a whole."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lo, hi, n = src.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    lo, hi = lo or 0, hi or 0
-    step = max(1, -(-(hi - lo + 1) // max(1, min(most - 1, -(-n // rows)))))
-    cell = F.coalesce(F.floor((F.col("id").cast("decimal(20,0)") - F.lit(lo)) / F.lit(step)).cast("long"), F.lit(most))
-    src = src.withColumn("cell", cell if hi - lo >= 1 << 52 else F.coalesce(F.floor((F.col("id") - F.lit(lo)) / F.lit(step)).cast("long"), F.lit(most)))
-    grid = src.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    src = _dealt(src, rows)
     order = Window.orderBy("cell")
+    grid = src.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     grid = grid.select("cell", F.coalesce(F.lag("cell").over(order), F.max("cell").over(Window.partitionBy())).alias("before"))
-    key = F.struct(F.col("id").isNull().alias("none"), "id", "text")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "h", "text")
     firsts = src.groupBy("cell").agg(F.min(key).alias("f")).join(grid, "cell")
-    guests = firsts.select(F.lit(None).cast("long").alias("id"), F.col("f.text").alias("text"), F.col("before").alias("cell"), F.lit(1).alias("guest"))
-    w = Window.partitionBy("cell").orderBy("guest", F.col("id").asc_nulls_last(), "text")
+    guests = firsts.select(F.lit(None).cast("long").alias("id"), F.col("f.text").alias("text"), F.lit(None).cast("long").alias("h"), F.col("before").alias("cell"), F.lit(1).alias("guest"))
+    w = Window.partitionBy("cell").orderBy("guest", F.col("id").asc_nulls_last(), "h", "text")
     both = src.withColumn("guest", F.lit(0)).unionByName(guests)
     return both.withColumn("next", F.lead("text").over(w)).where("guest = 0").select("id", "text", "next")
 

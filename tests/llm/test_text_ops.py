@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -56,12 +57,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["predicted"] for r in toxicity.score(docs.limit(5), none).collect()} <= {0, 1}
 
 
+def test_training_is_what_finds_unseen_misspellings():
+    rng = random.Random(21)
+    plain = ["".join(rng.choice(("an", "er", "the", "in", "tion", "ou", "st", "re")) for _ in range(rng.randint(1, 4))) for _ in range(800)]
+    insults, seen = ("worthless", "disgusting", "pathetic", "scumbag"), ("worthles", "wortless", "disgustin", "digusting", "pathetc", "patetic", "scumbagg", "scumbg")
+    unseen = ("worthlesss", "worthlezz", "disgustingg", "dizgusting", "patheticc", "pathettic", "scumbagz", "sscumbag")
+    said = lambda bad: " ".join([*(rng.choice(plain) for _ in range(rng.randint(5, 120))), *bad, *(rng.choice(plain) for _ in range(rng.randint(5, 120)))])
+    rows = [(said([rng.choice(insults + seen)] if i % 4 == 0 else []), int(i % 4 == 0)) for i in range(1200)]
+    found = {}
+    for epochs in (0, toxicity.EPOCHS):
+        model = toxicity.fit(rows, epochs=epochs)
+        flagged = lambda bad: sum(model.score(*toxicity._Logits(model.weight).look(toxicity.words_of(said(bad)))) >= 0.5 for _ in range(3))
+        found[epochs] = sum(flagged([w]) for w in unseen), sum(flagged([]) for _ in range(40))
+    assert found[0][0] <= 2 and found[toxicity.EPOCHS][0] >= 20 and found[toxicity.EPOCHS][1] <= 4, found
+
+
+def test_a_passage_scores_alike_wherever_its_words_stood_before():
+    rng = random.Random(5)
+    plain = ["".join(rng.choice(("an", "er", "the", "in", "tion", "ou", "st")) for _ in range(rng.randint(2, 4))) for _ in range(300)]
+    model = toxicity.fit((" ".join(rng.choice(plain) for _ in range(8)) + " moron scumbag" * (i % 2), i % 2) for i in range(300))
+    score = lambda t: model.score(*toxicity._Logits(model.weight).look(toxicity.words_of(t)))
+    filler = " ".join(plain[:64])
+    assert score(f"{filler} moron {filler} scumbag {filler} moron scumbag") >= score(f"{filler} {filler} {filler} moron scumbag") - 0.2
+
+
 def test_long_runs_are_read_to_their_end():
     rng = random.Random(12)
     plain = ["".join(rng.choice(("an", "er", "the", "in", "tion", "ou", "st")) for _ in range(rng.randint(2, 4))) for _ in range(300)]
     texts = [" ".join(rng.choice(plain) for _ in range(8)) + " moron scumbag" * (i % 2) for i in range(200)]
-    model = toxicity.fit(texts, [i % 2 for i in range(200)])
-    score = lambda t: model.score(toxicity._Logits(model.weight).look(toxicity.words_of(t)))
+    model = toxicity.fit((t, i % 2) for i, t in enumerate(texts))
+    score = lambda t: model.score(*toxicity._Logits(model.weight).look(toxicity.words_of(t)))
     run = "_".join(plain[:40])
     assert score(run + "_moron_scumbag_moron_scumbag") > 1.5 * score(run)
     assert score(run + "_moron_scumbag_moron_scumbag") != score(run + "_" + plain[41])
@@ -162,7 +187,7 @@ def test_surrogates(spark):
     text = "Mr. John Smith met Frau Anna Schmidt; JOE.X@MAIL.COM or joe.x@mail.com, +1 (456) 555-2186, +14565552186. 4111 1111 1111 1111 and 4111111111111111, 10.0.0.7; DE89 3704 0044 0532 0130 00; 078-05-1120 Господин Иван Петров."
     rows = [(i, text) for i in range(40)] + [(100, None), (101, ""), (102, "no one here 12345 v1.2.3"), (103, "a" * 200_000 + " 4.4.8.8")] + [(200 + k, f"call +1 (456) 555-{k:04d} now") for k in range(300)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_entities int")
-    got = {r["doc_id"]: r for r in pii.pseudonymise(df).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, "k").collect()}
     assert len(got) == len(rows) and len({got[i]["text"] for i in range(40)}) == 1
     new = got[0]["text"]
     for gone in ("Smith", "Anna", "joe.x", "JOE", "555-2186", "4111", "10.0.0.7", "3704", "078-05", "Иван"):
@@ -176,7 +201,7 @@ def test_surrogates(spark):
     assert [got[i]["text"] for i in (100, 101, 102)] == [None, "", "no one here 12345 v1.2.3"] and got[103]["n_entities"] == 1
     phones = [got[200 + k]["text"] for k in range(300)]
     assert len(set(phones)) == 300 and not set(phones) & {t for _, t in rows if t}
-    assert pii.pseudonymise(df.limit(0)).collect() == []
+    assert pii.pseudonymise(df.limit(0), "k").collect() == []
 
 
 def test_surrogates_are_distinct_when_draws_collide(spark):
@@ -185,21 +210,97 @@ def test_surrogates_are_distinct_when_draws_collide(spark):
     assert len(got) == len(set(got)) == 200
 
 
+def test_a_full_format_is_permuted(spark):
+    full = [(f"192.168.{a}.{b}") for a in range(256) for b in range(1, 255) if (a * 255 + b) % 10]
+    some = [f"10.0.{a}.7" for a in range(200)]
+    got = {r["entity"]: r["surrogate"] for r in pii.surrogates(spark.createDataFrame([("ip", x, None) for x in full + some], "kind string, entity string, gender string"), "k", most_attempts=5).collect()}
+    assert set(got) == set(full + some) and len(set(got.values())) == len(got)
+    assert all(a != b for a, b in got.items()) and all(got[x].startswith("192.168.") for x in full)
+    assert all(got[x].startswith("10.") and got[x] not in got for x in some)
+
+
+def test_one_left_alone_changes_places(spark):
+    rows = spark.createDataFrame([("ssn", f"{k}", None) for k in range(10)], "kind string, entity string, gender string")
+    got = {r["entity"]: r["surrogate"] for r in pii.surrogates(rows, "k", most_attempts=2).collect()}
+    assert len(got) == len(set(got.values())) == 10 and all(a != b for a, b in got.items())
+    lone = pii._permuted(spark.createDataFrame([("ssn", "7", None)], "kind string, entity string, gender string"), spark.createDataFrame([("ssn", "8", None, "5"), ("ssn", "99", None, "11")], "kind string, entity string, gender string, surrogate string"), "k")
+    assert {r["entity"]: r["surrogate"] for r in lone.collect()} == {"7": "5", "8": "7"}
+    only = pii._permuted(spark.createDataFrame([("ssn", "7", None)], "kind string, entity string, gender string"), spark.createDataFrame([], "kind string, entity string, gender string, surrogate string"), "k")
+    assert only.first()["surrogate"] == "X"
+
+
+def test_no_pattern_recurses_on_long_texts(spark):
+    n = 1_000_000
+    long = ["x@" + "a." * (n // 2) + "com", "a" * n + "@b.c", "1" * n, "1." * (n // 2), "+1 " + "22 " * (n // 3), "123-" * (n // 4), "DE89" + " ABCD" * (n // 5), "4111 " * (n // 5), "Mr. A" + "b" * n, "Mr. A" + "-Ab" * (n // 3), "Frau Ab " * (n // 8), "@" * n, "a.b@c." * (n // 6)]
+    compiled = {k: spark._jvm.java.util.regex.Pattern.compile(p) for k, p in [*pii.PATTERNS.items(), ("any", pii._ANY), ("quick", pii._QUICK)]}
+    for text in long:
+        for p in compiled.values():
+            p.matcher(text).results().count()
+    assert compiled["email"].matcher(long[0]).matches()
+    out = pii.pseudonymise(spark.createDataFrame([(1, long[0]), (2, "joe@mail.org x " + "y" * n)], "doc_id long, text string"), "k").collect()
+    assert {r["doc_id"]: r["n_entities"] for r in out} == {1: 1, 2: 1}
+
+
+def test_surrogates_over_all_documents(spark, documents):
+    """Against brute force: the same patterns in Python find the same entities; each has one surrogate everywhere, and none has another's."""
+    import regex
+
+    found = regex.compile("|".join(f"(?:{p})" for p in pii.PATTERNS.values()).replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    rows = {r["doc_id"]: r["text"] for r in documents.collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymise(documents, "k").collect()}
+    assert set(out) == set(rows)
+    stands, n = {}, 0
+    for i, t in rows.items():
+        mentions = [m.group() for m in found.finditer(t)]
+        assert out[i]["n_entities"] == len(mentions), i
+        between = regex.compile("(.+?)".join(regex.escape(x) for x in found.split(t)), regex.DOTALL) if mentions else None
+        if not mentions:
+            assert out[i]["text"] == t
+            continue
+        new = between.fullmatch(out[i]["text"])
+        assert new, i
+        for old, to in zip(mentions, new.groups()):
+            plain = lambda x: "".join(c for c in x.lower() if c.isalnum() or c in "@.") if "@" in x or x[0].isalpha() and x[:4].upper() != x[:4] else "".join(c for c in x if c.isalnum())
+            assert old != to
+            if "@" in old or old[-1].isdigit():
+                assert stands.setdefault(plain(old), plain(to)) == plain(to), (old, to)
+                n += 1
+    assert n > 20 and len(set(stands.values())) == len(stands) and not set(stands) & set(stands.values())
+
+
+def spark_hash(seed, *values):
+    """xxhash64 of strings as Spark chains it."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode(), seed)
+    return seed - (1 << 64) * (seed >> 63)
+
+
+def brute_sketch(text):
+    w = text.lower().split()
+    grams = [w[k : k + 5] for k in range(max(1, len(w) - 4))] if w else []
+    cut = {(spark_hash(42, *g) % (1 << 64)) >> 16 for g in grams}
+    return {h for h in cut if h < (1 << 48) // 4}
+
+
 def brute_fingerprint(rows):
     rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    like = lambda a, b, same: len(a & b) / len(a | b) if a | b else float(same)
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
         q = len(t) // 4
-        yield i, len(t), hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()
+        edited = t[: len(t) - q] + nxt[:q]
+        a, b, c = map(brute_sketch, (t, edited, nxt))
+        mark = hashlib.sha256(t.encode()).hexdigest()[:16] + ":" + "".join(f"{h:012x}" for h in sorted(a))
+        yield i, len(t), hashlib.sha256(edited.encode()).hexdigest(), mark, round(like(a, b, t == edited), 12), round(like(a, c, t == nxt), 12)
 
 
 def test_fingerprints(spark, documents):
     rng = random.Random(6)
     words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
-    rows = [(i * 7 - 500, words(rng.randint(1, 900))) for i in range(300)] + [(10**15, "far 🙂" * 9), (10**15, "far 🙂" * 9), (4, None), (5, ""), (None, "no id"), (6, "x " * 50_000)]
+    rows = [(i * 7 - 500, words(rng.randint(1, 900))) for i in range(300)] + [(10**15, "far 🙂" * 9), (10**15, "far 🙂" * 9), (4, None), (5, ""), (None, "no id"), (6, "x " * 50_000), (10**17, "last"), (11, "Words of FIVE and More\tthan five words are here")]
     df = spark.createDataFrame([(i, t, "q") for i, t in rows], "doc_id long, text string, next string").repartition(5)
     got = fingerprint.compare_edited(df).collect()
-    assert sorted(map(str, ((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got))) == sorted(map(str, brute_fingerprint(rows)))
+    assert sorted(map(str, ((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_edited"], 12), round(r["near_next"], 12)) for r in got))) == sorted(map(str, brute_fingerprint(rows)))
     texts = {}
     for r in got:
         texts.setdefault(r["doc_id"], set()).add(r["fingerprint"])
@@ -212,6 +313,19 @@ def test_fingerprints(spark, documents):
     assert one["near_next"] == 1.0
 
 
+def test_ranges_hold_alike_many_rows(spark):
+    rows = [(i, f"t{i}") for i in range(6000)] + [(10**15, "far")] + [(77, f"again {k}") for k in range(3000)] + [(None, f"none {k}") for k in range(2000)]
+    src = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    cells = {r["cell"]: r["n"] for r in fingerprint._dealt(src, 100).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(cells.values()) == len(rows) and max(cells.values()) < 300 and len(cells) > 90
+    got = fingerprint.with_next(src, "id", "text", rows=100).collect()
+    assert len(got) == len(rows) and sorted(r["next"] for r in got) == sorted(t for _, t in rows)
+    once = {r["text"]: r["next"] for r in got}
+    assert all(once[f"t{i}"] == f"t{i + 1}" for i in range(5999) if i not in (76, 77)) and once["t5999"] == "far" and once["far"].startswith("none")
+    many = spark.range(70_000, numPartitions=4).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    assert fingerprint.with_next(many, "id", "text", rows=16).where("next <> concat('t', (id + 1) % 70000)").count() == 0
+
+
 def test_sketches_merge(spark):
     t = spark.createDataFrame([("a b c d e f g h i j " * 3 + "k l m n o p q",)], "t string")
     r = t.select(fingerprint.sketch(fingerprint.words_of(F.col("t")), scale=1).alias("s")).select("s", fingerprint.merged(F.col("s"), F.slice("s", 2, 3)).alias("m")).first()
