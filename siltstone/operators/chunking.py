@@ -10,16 +10,16 @@ from siltstone.functions.text import format_turn, snippet
 MAX_CHARS = 900
 
 
-def chunk_numbers(turns: Column, max_chars: int = MAX_CHARS) -> Column:
-    """For each turn the number of its chunk, from 1. A turn that would carry a chunk that isn't empty over
-    ``max_chars`` opens the next; a turn alone may be longer. Only turn texts count."""
-    start = F.struct(F.lit(1).alias("chunk"), F.lit(0).alias("chars"), F.lit(0).alias("turns"), F.array().cast("array<int>").alias("out"))
+def chunk_starts(turns: Column, max_chars: int = MAX_CHARS) -> Column:
+    """The place (from 1) of each chunk's first turn. A turn that would carry a chunk that isn't empty over
+    ``max_chars`` opens the next; a turn alone may be longer. Only turn texts count. The fold keeps no more than these places, and copies
+    them only where a chunk opens."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
-        n = F.length(t["text"])
-        over = (acc["turns"] > 0) & (acc["chars"] + n > max_chars)
-        chunk = acc["chunk"] + over.cast("int")
-        return F.struct(chunk.alias("chunk"), F.when(over, n).otherwise(acc["chars"] + n).alias("chars"), F.when(over, F.lit(1)).otherwise(acc["turns"] + 1).alias("turns"), F.concat(acc["out"], F.array(chunk)).alias("out"))
+        n, at = F.length(t["text"]), acc["at"] + 1
+        opens = (acc["at"] == 0) | (acc["chars"] + n > max_chars)
+        return F.struct(at.alias("at"), F.when(opens, n).otherwise(acc["chars"] + n).alias("chars"), F.when(opens, F.concat(acc["out"], F.array(at))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(turns, start, step, lambda acc: acc["out"])
 
@@ -27,10 +27,10 @@ def chunk_numbers(turns: Column, max_chars: int = MAX_CHARS) -> Column:
 def pack(calls: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """calls (call_id, ordinal, turns) -> chunks (chunk_id, call_id, ordinal, chunk_index, turn_start, turn_end,
     speaker_set, text, snippet, char_count)."""
-    numbered = calls.select("call_id", "ordinal", F.arrays_zip(F.col("turns").alias("t"), chunk_numbers(F.col("turns"), max_chars).alias("c")).alias("z"))
-    last = F.coalesce(F.array_max(F.transform("z", lambda x: x["c"])), F.lit(0))
-    each = numbered.where(F.size("z") > 0).select("call_id", "ordinal", "z", F.explode(F.sequence(F.lit(1), last)).alias("chunk_index"))
-    own = each.select("call_id", "ordinal", "chunk_index", F.transform(F.filter("z", lambda x: x["c"] == F.col("chunk_index")), lambda x: x["t"]).alias("t"))
+    begun = calls.where(F.size("turns") > 0).select("call_id", "ordinal", "turns", chunk_starts(F.col("turns"), max_chars).alias("starts"))
+    end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("turns") + 1)
+    sliced = F.transform("starts", lambda s, i: F.slice("turns", s, end(i) - s))
+    own = begun.select("call_id", "ordinal", F.posexplode(sliced).alias("chunk_index", "t")).withColumn("chunk_index", F.col("chunk_index") + 1)
     text = F.array_join(F.transform("t", lambda x: format_turn(x["turn_index"], x["speaker"], x["text"])), "\n")
     out = own.withColumn("text", text)
     return out.select(
