@@ -17,6 +17,8 @@ SCHEMA_STOPWORDS = tuple(
 )
 
 TOKEN = r"[a-z0-9]+(?:'[a-z]+)?"
+#: A token without the possessive, which is passed over.
+_BARE_TOKEN = r"([a-z0-9]+(?:'(?!s(?![a-z]))[a-z]+)?)(?:'s(?![a-z]))?"
 EMPTY = ("", "not_mentioned")
 
 
@@ -30,8 +32,8 @@ def _without(tokens: Column, stop: tuple[str, ...], least: int) -> Column:
 
 def english_tokens(text: str | Column) -> Column:
     """Lower-case words and numbers, possessives cut, one-letter tokens and stop words left out; order and repeats kept."""
-    found = F.regexp_extract_all(F.translate(F.lower(_col(text)), "_", " "), F.lit(TOKEN), F.lit(0))
-    return _without(F.transform(found, lambda t: F.regexp_replace(t, r"'s$", "")), ENGLISH_STOPWORDS, 2)
+    found = F.regexp_extract_all(F.translate(F.lower(_col(text)), "_", " "), F.lit(_BARE_TOKEN), F.lit(1))
+    return _without(found, ENGLISH_STOPWORDS, 2)
 
 
 def normalize_label(text: str | Column) -> Column:

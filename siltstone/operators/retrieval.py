@@ -7,6 +7,8 @@ matching postings are shuffled.
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,23 +42,41 @@ def corpus_stats(docs: DataFrame, text: str = "bm25_text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(english_tokens(text))).alias("avgdl"))
 
 
+def _terms(queries: DataFrame, terms: Column) -> list[tuple[Any, list[str]]]:
+    """(query_id, sorted distinct terms) of the queries, which a fan-out bounds."""
+    rows = queries.select("query_id", F.array_sort(F.array_distinct(terms)).alias("terms")).limit(MAX_FANOUT + 1).collect()
+    if len(rows) > MAX_FANOUT:
+        raise ValueError(f"at most {MAX_FANOUT} queries")
+    return [(r["query_id"], r["terms"] or []) for r in rows]
+
+
 def bm25(docs: DataFrame, queries: DataFrame, limit: int | None = 10, allowed: DataFrame | None = None, id_col: str = "chunk_id", text: str = "bm25_text") -> DataFrame:
-    """queries (query_id, query) -> (query_id, id, score, matched_terms, rank), scores > 0 only.
-
-    Each term's contribution is rounded to six places, then summed; ranked by that sum and the id."""
-    q = queries.select("query_id", F.explode(F.array_distinct(english_tokens("query"))).alias("term"))
-    told = docs.select(id_col, english_tokens(text).alias("tokens"))
-    terms = q.select("term").distinct()
-    posted = told.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
-    tf = posted.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = df.crossJoin(F.broadcast(corpus_stats(docs, text))).withColumn("idf", idf)
-    hits = tf if allowed is None else tf.join(allowed, id_col, "left_semi")
-    each = hits.join(weighed, "term").join(q, "term")
-    part = F.round(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))), 6)
-    scored = each.groupBy("query_id", id_col).agg(F.sum(part).alias("raw"), F.array_sort(F.collect_list("term")).alias("matched_terms")).where("raw > 0")
-    return ranked(scored, limit, id_col)
+    """queries (query_id, query; at most MAX_FANOUT) -> (query_id, id, score, matched_terms, rank), scores > 0 only.
+
+    Each term's contribution is rounded to six places, then summed; ranked by that sum and the id. A document is one row with the tokens that
+    any query asks for, so all queries are scored where it is read: only the statistics (one row) and the best hits move."""
+    asked = _terms(queries, english_tokens("query"))
+    terms = sorted({t for _, ts in asked for t in ts})
+    told = docs.select(id_col, english_tokens(text).alias("tokens")).select(id_col, F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("said"))
+    df_of = [F.count_if(F.array_contains("said", t)) for t in terms]
+    stats = told.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.array(*df_of).cast("array<bigint>").alias("df"))
+    hits = told.where(F.size("said") > 0)
+    hits = (hits if allowed is None else hits.join(allowed, id_col, "left_semi")).crossJoin(F.broadcast(stats))
+
+    def part(t: str) -> Column:
+        df, tf = F.get("df", F.lit(terms.index(t))), F.size(F.filter("said", lambda x: x == t))
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        return F.round(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))), 6)
+
+    def scored(query_id: Any, own: list[str]) -> Column:
+        parts = F.filter(F.array(*[F.struct(F.lit(t).alias("term"), part(t).alias("part")) for t in own]), lambda x: F.array_contains("said", x["term"]))
+        return F.struct(F.lit(query_id).alias("query_id"), F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x["part"]).alias("raw"), F.transform(parts, lambda x: x["term"]).alias("matched_terms"))
+
+    per = F.array(*[scored(i, ts) for i, ts in asked if ts])
+    if not terms:
+        per = F.array().cast(f"array<struct<query_id:{queries.schema['query_id'].dataType.simpleString()},raw:double,matched_terms:array<string>>>")
+    each = hits.select(id_col, F.explode(F.filter(per, lambda x: x["raw"] > 0)).alias("x")).select("x.query_id", id_col, "x.raw", "x.matched_terms")
+    return ranked(each, limit, id_col)
 
 
 def ranked(scored: DataFrame, limit: int | None, id_col: str = "chunk_id") -> DataFrame:
@@ -91,13 +111,12 @@ def lexical_score(text: str, terms: list[str]) -> Column:
     return out
 
 
-def lexical(docs: DataFrame, queries: DataFrame, limit: int | None = 5, id_col: str = "chunk_id", text: str = "text") -> DataFrame:
+def lexical(docs: DataFrame, queries: DataFrame, limit: int | None = 5, id_col: str = "chunk_id", text: str = "text", terms: Column | None = None) -> DataFrame:
     """Batch of queries by the number of distinct terms found as substrings. The queries' terms are bound as literals
-    of one scan (at most MAX_FANOUT queries), so no pair of query and document without a hit leaves the scan."""
-    rows = queries.select("query_id", lexical_terms("query").alias("terms")).limit(MAX_FANOUT + 1).collect()
-    if len(rows) > MAX_FANOUT:
-        raise ValueError(f"at most {MAX_FANOUT} queries")
-    per = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), lexical_score(text, r["terms"]).alias("raw")) for r in rows])
+    of one scan (at most MAX_FANOUT queries), so no pair of query and document without a hit leaves the scan. ``terms``: how a query's terms are
+    taken, if not as ``lexical_terms`` (ingest searches without a stop list: ``lexical_terms("query", ())``)."""
+    asked = _terms(queries, lexical_terms("query") if terms is None else terms)
+    per = F.array(*[F.struct(F.lit(i).alias("query_id"), lexical_score(text, ts).alias("raw")) for i, ts in asked])
     each = docs.select(id_col, F.explode(F.filter(per, lambda x: x["raw"] > 0)).alias("x")).select("x.query_id", id_col, F.col("x.raw").cast("double").alias("raw"))
     return ranked(each, limit, id_col)
 
@@ -128,6 +147,29 @@ def records_for(hits: DataFrame, chunks: DataFrame, silver: DataFrame, id_col: s
     return first.join(silver, "call_id").orderBy("rank")
 
 
+def missing_terms(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, term) of the query terms that no hit matched."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(english_tokens("query"))).alias("term"))
+    return asked.exceptAll(asked.join(hits.select("query_id", F.explode("matched_terms").alias("term")).distinct(), ["query_id", "term"], "left_semi"))
+
+
+def search_summary(queries: DataFrame, hits: DataFrame, most: int = 5, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, query, query_terms, matched_terms, missing_terms, chunk_count, failure_reason, top): one row per search call. It failed if it found
+    no chunk, or chunks that match none of its terms."""
+    none = F.array().cast("array<string>")
+    by_query = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("rank") <= 100, F.col("matched_terms")))))).alias("matched_terms"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", F.col(id_col).cast("string").alias("id"))))).alias("best"))
+    out = queries.select("query_id", "query", F.array_sort(F.array_distinct(english_tokens("query"))).alias("query_terms")).join(by_query, "query_id", "left")
+    matched = F.coalesce("matched_terms", none)
+    n = F.coalesce("chunk_count", F.lit(0))
+    why = F.when(n == 0, "no_chunks").when((F.size(matched) == 0) & (F.size("query_terms") > 0), "no_lexical_match")
+    return out.select("query_id", "query", "query_terms", matched.alias("matched_terms"), F.array_except("query_terms", matched).alias("missing_terms"), n.alias("chunk_count"), why.alias("failure_reason"), F.coalesce(F.transform("best", lambda x: x["id"]), none).alias("top"))
+
+
+def unknown_chunks(hits: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """Ids among a branch's hits that aren't chunks of the corpus: a branch whose list isn't empty is refused."""
+    return hits.select(id_col).distinct().join(chunks.select(id_col), id_col, "left_anti")
+
+
 def diverse(queries: list[str], most: int = MAX_FANOUT, alike: float = 0.8) -> list[str]:
     """Subqueries without those that say what an earlier one says (Jaccard of tokens above ``alike``). Driver only: a few strings."""
     import re
