@@ -16,14 +16,15 @@ SOURCE_TYPES = ("curated", "production_log", "manual", "llm_bootstrap", "heurist
 
 
 def normalized(tasks: DataFrame) -> DataFrame:
-    """Tasks with defaults, an id from the query where none is given, distinct by the query's words (first given wins)."""
+    """Tasks with defaults, an id from the query where none is given, distinct by the query's words (first wins, by ``ordinal``; only tables
+    without that column, small ones made on the driver, are taken in the order of their rows)."""
     have = set(tasks.columns)
     text = lambda n, d: F.coalesce(F.nullif(F.trim(F.col(n)), F.lit("")), F.lit(d)) if n in have else F.lit(d)
     t = tasks.withColumn("query", collapsed("query")).where("query <> ''")
     key = F.lower("query")
     kind = text("source_type", "manual")
     out = t.select(
-        F.monotonically_increasing_id().alias("ordinal"), key.alias("key"), text("task_id", "").alias("task_id"), "query", text("intent", "unspecified").alias("intent"), F.when(kind.isin(*SOURCE_TYPES), kind).otherwise("manual").alias("source_type"),
+        (F.col("ordinal") if "ordinal" in have else F.monotonically_increasing_id()).alias("ordinal"), key.alias("key"), text("task_id", "").alias("task_id"), "query", text("intent", "unspecified").alias("intent"), F.when(kind.isin(*SOURCE_TYPES), kind).otherwise("manual").alias("source_type"),
         text("label_status", "unlabeled").alias("label_status"), text("split", "dev").alias("split"), (F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in have else F.lit(1.0)).alias("weight"), (F.col("expected_operation") if "expected_operation" in have else F.lit(None).cast("string")).alias("expected_operation"),
     )
     best = out.groupBy("key").agg(F.min_by(F.struct(*[c for c in out.columns if c != "key"]), "ordinal").alias("r"))
