@@ -161,8 +161,16 @@ def validate(expression: str, catalog: Catalog) -> tuple[ast.expr, list[str]]:
     return tree.body, sorted(used)
 
 
-def _scalar(df: DataFrame, node: ast.expr, out: list[Column]) -> Column:
-    """Compiles a scalar part; what must be aggregated is added to ``out`` and referred to by name."""
+def _one_row(df: DataFrame, out: list[Column], apart: list[DataFrame]) -> DataFrame:
+    """All aggregates of an expression as one row: those of the rows themselves in one pass, the others joined row to row."""
+    made = df.agg(*out) if out else df.sparkSession.range(1)
+    for other in apart:
+        made = made.crossJoin(F.broadcast(other))
+    return made
+
+
+def _scalar(df: DataFrame, node: ast.expr, out: list[Column], apart: list[DataFrame]) -> Column:
+    """Compiles a scalar part; what must be aggregated is added to ``out``, or to ``apart`` where it counts exploded values, and referred to by name."""
     if isinstance(node, (ast.Constant, ast.UnaryOp)):
         return F.lit(_literal(node))
     if not isinstance(node, ast.Call):
@@ -178,7 +186,8 @@ def _scalar(df: DataFrame, node: ast.expr, out: list[Column]) -> Column:
         if isinstance(inner, ast.Call) and inner.func.id == "group_count":
             field = _literal(_arguments(inner)["field"])
             if df.schema[field].dataType.simpleString().startswith("array"):
-                raise ValueError("distinct values of a list field can't be part of a larger expression")
+                apart.append(df.select(F.explode(values_of(df, field)).alias("v")).agg(F.count_distinct("v").alias(f"_apart{len(apart)}")))
+                return F.col(f"_apart{len(apart) - 1}")
             return later(F.count_distinct(F.get(values_of(df, field), F.lit(0))))
         if not isinstance(inner, ast.Name):
             raise ValueError("count takes records or a group_count")
@@ -217,17 +226,18 @@ def evaluate(expression: str, df: DataFrame, catalog: Catalog) -> Compiled:
             field = _literal(_arguments(a["records"])["field"])
             return Compiled(df.select(F.explode(values_of(df, field)).alias("v")).agg(F.count_distinct("v").alias("result")), "scalar", used)
         out: list[Column] = []
+        apart: list[DataFrame] = []
         if name == "ratio":
-            n, d = _scalar(df, a["numerator"], out), _scalar(df, a["denominator"], out)
+            n, d = _scalar(df, a["numerator"], out, apart), _scalar(df, a["denominator"], out, apart)
             p = arg("precision", 4)
-            made = (df.agg(*out) if out else df.sparkSession.range(1)).select(n.alias("numerator"), d.alias("denominator"))
+            made = _one_row(df, out, apart).select(n.alias("numerator"), d.alias("denominator"))
             return Compiled(made.withColumn("ratio", ratio(F.col("numerator"), F.col("denominator"), int(p))), "ratio", used)
-        value = _scalar(df, tree, out)
-        return Compiled(df.agg(*out).select(value.alias("result")), "scalar", used)
+        value = _scalar(df, tree, out, apart)
+        return Compiled(_one_row(df, out, apart).select(value.alias("result")), "scalar", used)
     if isinstance(tree, (ast.List, ast.Tuple)):
-        out = []
-        cols = [_scalar(df, x, out) for x in tree.elts]
-        return Compiled((df.agg(*out) if out else df.sparkSession.range(1)).select(F.array(*[c.cast("double") for c in cols]).alias("result")), "list", used)
+        out, apart = [], []
+        cols = [_scalar(df, x, out, apart) for x in tree.elts]
+        return Compiled(_one_row(df, out, apart).select(F.array(*[c.cast("double") for c in cols]).alias("result")), "list", used)
     raise ValueError("an expression must call an aggregate function")
 
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import collapsed, contains_any
 from siltstone.schemas import NOT_MENTIONED, Catalog, FieldSpec
 
-SCHEMA_VERSION = "silver.rlm.v1"
+SCHEMA_VERSION = "siltstone.silver.v1"
 LEAST_COVERAGE = 0.75
 
 # Keywords of list fields, and ordered rules of enum fields.
@@ -96,17 +96,34 @@ ENUM_VALUES = {
 FIELD_ORDER = ("topic", "pain_point", "product_area", "urgency", "implementation_blocker", "renewal_risk", "integration_request", "security_review_requested", "data_gap", "complaint_theme", "next_action")
 
 
+#: What each built-in field is for: description and use cases, which catalogs show and search texts match.
+ABOUT = {
+    "topic": ("Themes that a call is about", ("filter calls by theme", "count calls by theme")),
+    "pain_point": ("Problems that a customer describes", ("rank problems", "find calls with a problem")),
+    "product_area": ("Parts of a product that a call touches", ("count calls by product area",)),
+    "urgency": ("How urgent a customer's need is", ("find urgent calls", "count calls by urgency")),
+    "implementation_blocker": ("What keeps an implementation from going on", ("find blocked calls", "count blockers")),
+    "renewal_risk": ("Why a renewal may fail", ("find calls at risk", "count risks")),
+    "integration_request": ("Systems that a customer wants connected", ("count requested integrations",)),
+    "security_review_requested": ("Whether a security review is asked for", ("find security reviews", "share of calls with a review")),
+    "data_gap": ("Data that is missing or unreliable", ("find data gaps",)),
+    "complaint_theme": ("What a complaint is about", ("count complaints by theme",)),
+    "next_action": ("The next step that was agreed", ("list next steps",)),
+}
+
+
 def builtin_specs() -> list[FieldSpec]:
     out = []
     for name in FIELD_ORDER:
+        about = dict(zip(("description", "downstream_use_cases"), ABOUT[name]))
         if name in LIST_RULES:
-            out.append(FieldSpec(name, "list", allowed_values=tuple(LIST_RULES[name])))
+            out.append(FieldSpec(name, "list", allowed_values=tuple(LIST_RULES[name]), **about))
         elif name in ENUM_RULES:
-            out.append(FieldSpec(name, "enum", allowed_values=ENUM_VALUES[name]))
+            out.append(FieldSpec(name, "enum", allowed_values=ENUM_VALUES[name], **about))
         elif name in BOOLEAN_RULES:
-            out.append(FieldSpec(name, "boolean"))
+            out.append(FieldSpec(name, "boolean", **about))
         else:
-            out.append(FieldSpec(name, "string", facetable=False, aggregatable=False))
+            out.append(FieldSpec(name, "string", facetable=False, aggregatable=False, **about))
     return out
 
 
@@ -169,15 +186,74 @@ def action_row(name: str, at: int) -> Column:
     return _row(name, at, turn.isNotNull(), refs, text=F.coalesce(collapsed(turn), F.lit(NOT_MENTIONED)))
 
 
+def refs_for_label(label: str, limit: int = 2) -> Column:
+    """Refs of the first ``limit`` chunks that hold the label as a phrase, or all of its words of three letters or more."""
+    phrase = label.replace("_", " ")
+    words = [w for w in phrase.split() if len(w) > 2]
+
+    def has(c: Column) -> Column:
+        every = F.lit(bool(words))
+        for w in words:
+            every = every & c["low"].contains(w)
+        return c["low"].contains(phrase) | every
+
+    return F.transform(F.slice(F.filter("chunks", has), 1, limit), lambda c: F.concat(F.lit("chunk:"), c["chunk_id"]))
+
+
+def generic_row(spec: FieldSpec, at: int) -> Column:
+    """A row for a field that no built-in rule knows, by its name, type and allowed values; hits are of medium confidence."""
+    if spec.name == "urgency":
+        return enum_row(spec.name, at, ENUM_RULES["urgency"])
+    if "action" in spec.name:
+        return action_row(spec.name, at)
+    none = F.array().cast("array<string>")
+    if spec.type == "list" and spec.allowed_values:
+        per = F.array(*[F.struct(F.lit(v).alias("v"), refs_for_label(v).alias("r")) for v in dict.fromkeys(spec.allowed_values)])
+        hit = F.filter(per, lambda x: F.size(x["r"]) > 0)
+        values, refs = F.transform(hit, lambda x: x["v"]), F.slice(F.array_distinct(F.flatten(F.transform(hit, lambda x: x["r"]))), 1, 4)
+        row = _row(spec.name, at, F.size(values) > 0, refs, items=values, kind="list")
+    elif spec.type == "list":
+        row = _row(spec.name, at, F.lit(False), none, items=none, kind="list")
+    elif spec.type == "enum":
+        value, refs = F.lit(NOT_MENTIONED if NOT_MENTIONED in spec.allowed_values or not spec.allowed_values else spec.allowed_values[0]), none
+        supported = F.lit(False)
+        for v in reversed([v for v in spec.allowed_values if v != NOT_MENTIONED]):
+            found = refs_for_label(v)
+            value, refs, supported = F.when(F.size(found) > 0, v).otherwise(value), F.when(F.size(found) > 0, found).otherwise(refs), (F.size(found) > 0) | supported
+        row = _row(spec.name, at, supported, refs, text=value, kind="enum")
+    elif spec.type == "boolean":
+        refs = refs_for_label(spec.name)
+        row = _row(spec.name, at, F.size(refs) > 0, refs, flag=F.size(refs) > 0, kind="boolean")
+    else:
+        return _row(spec.name, at, F.lit(False), none, text=F.lit(NOT_MENTIONED))
+    return row.withField("confidence", F.when(F.size(row["evidence_refs"]) > 0, "medium").otherwise("low"))
+
+
+def rows_for(specs: Sequence[FieldSpec]) -> list[Column]:
+    """Rules for any schema: the built-in ones where a built-in field's type and values are meant, else generic ones."""
+    known = {s.name: s for s in builtin_specs()}
+    built = dict(zip(FIELD_ORDER, builtin_rows()))
+    same = lambda s: s.name in known and s.type == known[s.name].type and set(s.allowed_values) == set(known[s.name].allowed_values)
+    return [built[s.name].withField("field_ordinal", F.lit(at)) if same(s) else generic_row(s, at) for at, s in enumerate(specs)]
+
+
+def builtin_rows() -> list[Column]:
+    rule = lambda at, name: list_row(name, at, LIST_RULES[name]) if name in LIST_RULES else enum_row(name, at, ENUM_RULES[name]) if name in ENUM_RULES else boolean_row(name, at, BOOLEAN_RULES[name]) if name in BOOLEAN_RULES else action_row(name, at)
+    return [rule(at, name) for at, name in enumerate(FIELD_ORDER)]
+
+
 def extract(calls: DataFrame, chunks: DataFrame, rows: list[Column] | None = None) -> DataFrame:
-    """Long extractions, one row per (call, field). ``rows``: as built by the *_row functions; by default the built-in fields."""
-    if rows is None:
-        rows = []
-        for at, name in enumerate(FIELD_ORDER):
-            rows.append(list_row(name, at, LIST_RULES[name]) if name in LIST_RULES else enum_row(name, at, ENUM_RULES[name]) if name in ENUM_RULES else boolean_row(name, at, BOOLEAN_RULES[name]) if name in BOOLEAN_RULES else action_row(name, at))
+    """Long extractions, one row per (call, field). ``rows``: as built by the *_row functions or ``rows_for``; by default the built-in fields."""
+    rows = builtin_rows() if rows is None else rows
     return with_chunks(calls, chunks).select("call_id", "ordinal", F.explode(F.array(*rows)).alias("x")).select("call_id", "ordinal", "x.*")
 
 
+def whitelisted(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(call_id, field_name, pos, ref) with ``known``: whether the ref names a chunk of that call. Others are what validation flags."""
+    shown = chunks.select("call_id", F.concat(F.lit("chunk:"), "chunk_id").alias("ref")).distinct().withColumn("known", F.lit(True))
+    return refs.join(shown, ["call_id", "ref"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def quality(extractions: DataFrame, total_calls: DataFrame) -> DataFrame:
     """Per field: support, fill rate over all calls, coverage over supported ones, and the gate on the unrounded coverage."""
     n = total_calls.agg(F.count(F.lit(1)).alias("n"))
@@ -194,15 +270,29 @@ def pivot(calls: DataFrame, extractions: DataFrame, specs: list[FieldSpec]) -> D
     wanted = extractions.where(F.col("field_name").isin([s.name for s in specs]))
     typed = {"list": "value_list", "boolean": "value_bool"}
     aggs = [F.max_by(F.when(F.col("field_name") == s.name, F.col(typed.get(s.type, "value_str"))), F.when(F.col("field_name") == s.name, seq)).alias(s.name) for s in specs]
-    has = [F.max(F.when(F.col("field_name") == s.name, F.when(~F.col("abstained") & (F.size("evidence_refs") == 0), 2).otherwise(1))).alias(f"_{s.name}") for s in specs]
+    wrong = F.col("validation_errors") if "validation_errors" in extractions.columns else F.array().cast("array<string>")
+    own = F.concat(F.coalesce(wrong, F.array().cast("array<string>")), F.when(~F.col("abstained") & (F.size("evidence_refs") == 0), F.array(F.lit("missing_evidence"))).otherwise(F.array().cast("array<string>")))
+    has = [F.max_by(F.when(F.col("field_name") == s.name, own), F.when(F.col("field_name") == s.name, seq)).alias(f"_{s.name}") for s in specs]
     refs = F.map_from_entries(F.filter(F.collect_list(F.struct("field_name", "evidence_refs")), lambda e: F.size(e["evidence_refs"]) > 0)).alias("evidence_refs")
     wide = wanted.groupBy("call_id").agg(*aggs, *has, refs)
-    flags = F.array(*[F.when(F.col(f"_{s.name}").isNull(), f"{s.name}:missing_extraction").when(F.col(f"_{s.name}") == 2, f"{s.name}:missing_evidence") for s in specs])
+    told = lambda s: F.coalesce(F.transform(f"_{s.name}", lambda e: F.concat(F.lit(f"{s.name}:"), e)), F.array(F.lit(f"{s.name}:missing_extraction")))
+    flags = F.concat(*[told(s) for s in specs]) if specs else F.array().cast("array<string>")
     keep = [c for c in calls.columns if c not in ("turns", "transcript", "metadata")]
-    return calls.select(*keep).join(wide, "call_id", "left").select(*keep, *[s.name for s in specs], "evidence_refs", F.array_compact(flags).alias("quality_flags"), F.lit(SCHEMA_VERSION).alias("schema_version"))
+    return calls.select(*keep).join(wide, "call_id", "left").select(*keep, *[s.name for s in specs], "evidence_refs", flags.alias("quality_flags"), F.lit(SCHEMA_VERSION).alias("schema_version"))
 
 
 def catalog_of(specs: list[FieldSpec], report: DataFrame) -> Catalog:
     """The catalog of promoted fields: a report has one row per field, so it may be collected."""
     good = {r["field_name"] for r in report.where("status = 'promote'").select("field_name").collect()}
     return Catalog.of(*[s for s in specs if s.name in good])
+
+
+def catalog_table(spark: SparkSession, specs: list[FieldSpec], report: DataFrame, feedback: DataFrame | None = None) -> DataFrame:
+    """Specs left joined with their quality and, by name, with what feedback asks of them: one row per field with how it may be
+    searched, where its evidence is and what it is good for."""
+    rows = [(s.name, at, s.type, s.description, list(s.allowed_values), s.filterable, s.facetable, s.aggregatable, f"silver_calls.{s.name}", f"evidence_refs.{s.name}", list(s.downstream_use_cases)) for at, s in enumerate(specs)]
+    kinds = "field_name string, field_ordinal int, type string, description string, allowed_values array<string>, filterable boolean, facetable boolean, aggregatable boolean, path string, evidence_path string, good_for array<string>"
+    out = spark.createDataFrame(rows, kinds).join(report, "field_name", "left")
+    if feedback is not None:
+        out = out.join(feedback.select("field_name", F.col("priority").alias("requested_priority"), F.col("action").alias("requested_action"), F.col("count").alias("requests")), "field_name", "left")
+    return out.orderBy("field_ordinal")
