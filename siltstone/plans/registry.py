@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
-from siltstone.operators import aggregates, chunking, feedback, filters, inference, retrieval, tasks
+from siltstone.operators import aggregates, chunking, feedback, filters, inference, negotiation, retrieval, tasks
 from siltstone.operators import silver as sv
-from siltstone.plans import views
+from siltstone.plans import agent, loop, planner, views
 from siltstone.plans.views import CHUNKS_SQL, SILVER, SILVER_SQL, tokens_sql
+from siltstone.schemas import Catalog, FieldSpec
+from siltstone.sources import calls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,12 +105,12 @@ def _text(name: str, column, sql: str) -> None:
 
 
 _SCHEMA_STOP = "(" + ", ".join(f"'{w}'" for w in tx.SCHEMA_STOPWORDS) + ")"
+_QUERY_STOP = "(" + ", ".join(f"'{w}'" for w in tx.QUERY_STOPWORDS) + ")"
 _SEARCH_STOP = "(" + ", ".join(f"'{w}'" for w in tx.SEARCH_STOPWORDS) + ")"
 _LABEL_SQL = "regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _CONTENT_SQL = "list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{2,}'), lambda w: " + _LABEL_SQL.replace("{0}", "w") + f"), lambda w: length(w) >= 3 AND w NOT IN {_SCHEMA_STOP})"
 _text("tokenize", lambda: F.array_join(tx.english_tokens("text"), " "), f"array_to_string({tokens_sql('text')}, ' ')")
-_text("normalize_label", lambda: tx.normalize_label(F.substring("text", 1, 60)), _LABEL_SQL.replace("{0}", "substring(text, 1, 60)"))
-_text("normalize_label_whole", lambda: tx.normalize_label("text"), _LABEL_SQL.replace("{0}", "text"))
+_text("normalize_label", lambda: tx.normalize_label("text"), _LABEL_SQL.replace("{0}", "text"))
 _text("normalize_identifier", lambda: tx.normalize_identifier(F.concat(F.col("ordinal").cast("string"), F.lit(" - "), F.col("lang"))), "'field_' || " + _LABEL_SQL.replace("{0}", "CAST(doc_id AS VARCHAR) || ' - ' || lang"))
 _text("content_tokens", lambda: F.array_join(tx.content_tokens("text"), " "), f"array_to_string({_CONTENT_SQL}, ' ')")
 _text("lexical_terms", lambda: F.array_join(F.array_sort(tx.lexical_terms("text")), " "), f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN {_SEARCH_STOP}))), ' ')")
@@ -177,11 +180,11 @@ add("cosine_filtered", lambda s, d: retrieval.embedding(_vectors(s, d), _vector(
 
 def _zip(spark: SparkSession, d: str) -> DataFrame:
     a = retrieval.bm25(views.documents(spark, d), _queries(spark).where("query_id = 0"), 10)
-    b = retrieval.lexical(views.documents(spark, d), spark.createDataFrame([(0, " ".join(_LEX))], "query_id int, query string"), 10)
+    b = retrieval.embedding(_vectors(spark, d), _vector(spark, d), 10)
     return retrieval.zipper(a, b, 12).select("chunk_id", F.col("position").cast("bigint").alias("position"))
 
 
-add("hybrid_zipper", _zip, f"WITH a AS ({_bm25_sql(_Q[:1], 10)}), b AS (SELECT * FROM (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY {_LEX_SQL} DESC, doc_id) AS rank FROM documents WHERE {_LEX_SQL} > 0) WHERE rank <= 10), u AS (SELECT chunk_id, rank, 0 AS src FROM a UNION ALL SELECT chunk_id, rank, 1 FROM b), m AS (SELECT chunk_id, min(rank * 2 + src) AS place FROM u GROUP BY 1) SELECT chunk_id, row_number() OVER (ORDER BY place) AS position FROM m ORDER BY place LIMIT 12")
+add("hybrid_zipper", _zip, f"WITH a AS ({_bm25_sql(_Q[:1], 10)}), b AS ({_cosine_sql()}), u AS (SELECT chunk_id, rank, 0 AS src FROM a UNION ALL SELECT chunk_id, rank, 1 FROM b), m AS (SELECT chunk_id, min(rank * 2 + src) AS place FROM u GROUP BY 1) SELECT chunk_id, row_number() OVER (ORDER BY place) AS position FROM m ORDER BY place LIMIT 12")
 add("bm25_explain", lambda s, d: retrieval.explain(views.documents(s, d), _queries(s).where("query_id = 2"), retrieval.bm25(views.documents(s, d), _queries(s).where("query_id = 2"), 10)).select("chunk_id", "term", F.col("tf").cast("bigint").alias("tf"), F.col("df").cast("bigint").alias("df"), "contribution"), f"WITH h AS ({_bm25_sql(_Q[2:], 10)}), d AS (SELECT doc_id AS chunk_id, {tokens_sql('text')} AS tokens FROM documents), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d), q AS (SELECT DISTINCT unnest({tokens_sql(repr(_Q[2]))}) AS term), f AS (SELECT term, (SELECT count(*) FROM d WHERE list_contains(tokens, q.term)) AS df FROM q) SELECT h.chunk_id, term, CAST(len(list_filter(tokens, lambda x: x = term)) AS BIGINT) AS tf, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * len(list_filter(tokens, lambda x: x = term)) * 2.2 / (len(list_filter(tokens, lambda x: x = term)) + 1.2 * (0.25 + 0.75 * len(tokens) / greatest(avgdl, 1.0))), 6) AS contribution FROM h JOIN d USING (chunk_id), f, s")
 add("fetch_chunks_ordered", lambda s, d: retrieval.fetch(views.documents(s, d).select("chunk_id", tx.snippet("text", 40).alias("snip")), s.createDataFrame([(0, "chunk:7"), (1, "chunk:3"), (2, "chunk:7"), (3, "chunk:-1")], "pos int, ref string").select("pos", "ref")).select("pos", F.col("chunk_id").cast("bigint").alias("chunk_id")), "SELECT CAST(pos AS INTEGER) AS pos, chunk_id FROM (VALUES (0, 7), (1, 3), (2, 7), (3, -1)) v(pos, chunk_id) JOIN documents ON doc_id = chunk_id")
 
@@ -213,8 +216,6 @@ add("quality_report", lambda s, d: sv.quality(_extracted(s, d), views.documents(
 
 
 def _pivoted(spark: SparkSession, d: str) -> DataFrame:
-    from siltstone.schemas import FieldSpec
-
     specs = [FieldSpec("theme", "list"), FieldSpec("level", "enum"), FieldSpec("secret", "boolean")]
     return sv.pivot(views.documents(spark, d).select("call_id", "ordinal"), _extracted(spark, d), specs).select("call_id", F.array_join("theme", ",").alias("theme"), "level", "secret", F.array_join("quality_flags", ",").alias("flags"))
 
@@ -225,13 +226,17 @@ add("refs_first_k", lambda s, d: sv.with_chunks(views.calls(s, d).select("call_i
 # ---- sets, joins, operations -------------------------------------------------------------------
 
 add("union_distinct_first_wins", lambda s, d: feedback.first_wins([views.documents(s, d).where("lang = 'en'").select("call_id", "ordinal", F.lit("en").alias("src")), views.documents(s, d).select("call_id", "ordinal", F.lit("all").alias("src"))], "call_id", "ordinal").select("call_id", "src"), "SELECT CAST(doc_id AS VARCHAR) AS call_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'all' END AS src FROM documents")
-add("dedupe_tasks", lambda s, d: views.documents(s, d).select(feedback.task_key("text").alias("task"), "ordinal").groupBy("task").agg(F.min("ordinal").alias("first_row")).select(tx.short_hash("task", 16).alias("task_id"), "first_row"), r"SELECT left(sha256(k), 16) AS task_id, min(doc_id) AS first_row FROM (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k, doc_id FROM documents) GROUP BY k")
-add("semi_anti_refs", lambda s, d: views.table(s, d, "labels").select("doc_id").join(views.table(s, d, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi").withColumn("known", F.lit(True)).unionByName(views.table(s, d, "labels").select("doc_id").join(views.table(s, d, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_anti").withColumn("known", F.lit(False))), "SELECT doc_id, doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AS known FROM labels")
+add("dedupe_tasks", lambda s, d: tasks.normalized(views.documents(s, d).select("ordinal", F.col("text").alias("query"))).select("task_id", F.col("ordinal").alias("first_row")), r"SELECT 'task-' || left(sha256(k), 16) AS task_id, min(doc_id) AS first_row FROM (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k, doc_id FROM documents) WHERE k <> '' GROUP BY k")
+add("semi_anti_refs", lambda s, d: sv.whitelisted(views.table(s, d, "labels").select(F.col("doc_id").alias("call_id"), F.concat(F.lit("chunk:"), "doc_id").alias("ref")), views.table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("call_id"), F.col("doc_id").alias("chunk_id"))).select(F.col("call_id").alias("doc_id"), "known"), "SELECT doc_id, doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AS known FROM labels")
 add("left_join_default", lambda s, d: views.table(s, d, "documents").select("doc_id").join(views.table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("toxic").isNull().alias("missing_field")), "SELECT doc_id, coalesce(quality, -1) AS quality, toxic IS NULL AS missing_field FROM documents LEFT JOIN labels USING (doc_id)")
 add("error_histogram", lambda s, d: feedback.error_histogram(views.table(s, d, "events").select(F.array("event_type", F.concat(F.lit("user_"), (F.col("user_id") % 7).cast("string"))).alias("validation_errors"))), "SELECT error, count(*) AS count FROM (SELECT event_type AS error FROM events UNION ALL SELECT 'user_' || CAST(user_id % 7 AS VARCHAR) FROM events) GROUP BY 1")
-add("usage_rollup", lambda s, d: feedback.usage_rollup(views.table(s, d, "events").select(F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("user_id") % 100).alias("output_tokens")), {"click": (2.0, 8.0), "view": (1.0, 4.0)}).drop("cost_usd"), "SELECT event_type AS model, count(*) AS calls, CAST(sum(event_id % 1000) AS BIGINT) AS input_tokens, CAST(sum(user_id % 100) AS BIGINT) AS output_tokens FROM events GROUP BY 1")
+add("usage_rollup", lambda s, d: feedback.usage_rollup(views.table(s, d, "events").select(F.col("event_type").alias("model"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("user_id") % 100).alias("output_tokens")), {"click": (2.0, 8.0), "view": (1.0, 4.0)}), "SELECT event_type AS model, count(*) AS calls, CAST(sum(event_id % 1000) AS BIGINT) AS input_tokens, CAST(sum(user_id % 100) AS BIGINT) AS output_tokens, round(CASE event_type WHEN 'click' THEN (2 * sum(event_id % 1000) + 8 * sum(user_id % 100)) / 1000000.0 WHEN 'view' THEN (sum(event_id % 1000) + 4 * sum(user_id % 100)) / 1000000.0 END, 10) AS cost_usd FROM events GROUP BY 1")
 add("redact_replay", lambda s, d: feedback.redacted(views.table(s, d, "documents").select("doc_id", "text", "source")), "SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN text ELSE '[redacted]' END AS text, source FROM documents")
-add("eval_subset_pass", lambda s, d: views.silver(s, d, flags=True).select("call_id", (F.size(F.array_except(F.array(F.lit("N"), F.lit("R")), F.coalesce("flags", F.array().cast("array<string>")))) == 0).alias("passed")), f"WITH {SILVER_SQL} SELECT call_id, coalesce(list_has_all(flags, ['N', 'R']), false) AS passed FROM silver")
+add("eval_subset_pass", lambda s, d: tasks.scored(_expected(s, d)).select(F.col("task_id").alias("call_id"), "passed"), f"WITH {SILVER_SQL} SELECT call_id, coalesce(list_has_all(flags, ['N', 'R']), false) AS passed FROM silver")
+
+
+def _expected(spark: SparkSession, d: str) -> DataFrame:
+    return views.silver(spark, d, flags=True).select(F.col("call_id").alias("task_id"), F.array(F.lit("N"), F.lit("R")).alias("expected_call_ids"), F.col("flags").alias("call_ids"))
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
@@ -254,7 +259,7 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
 add("negotiation_decision", _decided, "SELECT p_partkey, CASE WHEN p_size < 5 AND p_name IS NOT NULL THEN 'merge' WHEN p_size > 45 THEN 'human_review' WHEN p_retailprice > 1500 THEN 'promote' WHEN p_size % 3 > 0 THEN 'retrieval_only' ELSE 'defer' END AS decision FROM part")
 
 add("source_counts", lambda s, d: tasks.source_counts(views.table(s, d, "documents").withColumnRenamed("source", "source_type")), "SELECT source AS source_type, count(*) AS count FROM documents GROUP BY 1")
-add("pass_rate", lambda s, d: tasks.pass_rate(views.silver(s, d, flags=True).select(F.col("call_id").alias("task_id"), F.array(F.lit("N"), F.lit("R")).alias("expected_call_ids"), F.col("flags").alias("call_ids"))), f"WITH {SILVER_SQL}, p AS (SELECT coalesce(list_has_all(flags, ['N', 'R']), false) AS passed FROM silver) SELECT count(*) AS tasks, count(*) FILTER (passed) AS passed, round(avg(CAST(passed AS DOUBLE)), 4) AS pass_rate FROM p")
+add("pass_rate", lambda s, d: tasks.pass_rate(_expected(s, d)), f"WITH {SILVER_SQL}, p AS (SELECT coalesce(list_has_all(flags, ['N', 'R']), false) AS passed FROM silver) SELECT count(*) AS tasks, count(*) FILTER (passed) AS passed, round(avg(CAST(passed AS DOUBLE)), 4) AS pass_rate FROM p")
 
 
 def _loop(spark: SparkSession, d: str) -> DataFrame:
@@ -265,3 +270,112 @@ def _loop(spark: SparkSession, d: str) -> DataFrame:
 
 add("loop_summary", _loop, "WITH b AS (SELECT p_size % 3 = 0 AS s0, p_size > 30 AS f0, p_partkey % 7 > 0 AND p_size % 2 = 0 AS s1, p_partkey % 7 > 0 AND p_size > 20 AS f1 FROM part) SELECT count(*) AS tasks, count(*) FILTER (s0) AS success_before, count(*) FILTER (s1) AS success_after, count(*) FILTER (s1) - count(*) FILTER (s0) AS success_delta, count(*) FILTER (f1) - count(*) FILTER (f0) AS filter_delta FROM b")
 add("records_for_chunks", lambda s, d: retrieval.records_for(chunking.pack(views.calls(s, d)).where("chunk_index % 2 = 1").select("chunk_id", F.col("chunk_index").alias("rank")), chunking.pack(views.calls(s, d)), views.calls(s, d).select("call_id")).select("call_id", "rank"), f"WITH RECURSIVE {CHUNKS_SQL} SELECT call_id, min(chunk_index) AS rank FROM chunks WHERE chunk_index % 2 = 1 GROUP BY 1")
+
+# ---- schema on read, summaries, catalog, differences -------------------------------------------
+
+
+def _aliased(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and orders under other names than a call's own."""
+    o = views.table(spark, d, "orders")
+    raw = o.select(F.col("o_orderkey").alias("ordinal"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey")).alias("call_id"), F.concat(F.lit("log-"), "o_orderkey").alias("calllog_id"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise("").alias("customer_id"), F.concat(F.lit("client-"), "o_custkey").alias("client_id"), F.col("o_orderpriority").alias("company_name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("call_date"), F.col("o_orderstatus").alias("body"))
+    return calls.normalize_calls(raw).select("ordinal", "call_id", "customer_id", "account_name", "date", "transcript", F.size("turns").cast("bigint").alias("turns"), F.element_at("metadata", "source_record_id").alias("record"))
+
+
+_CALL_SQL = "CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'log-' || o_orderkey END"
+add("calls_coalesce_alias", _aliased, f"SELECT o_orderkey AS ordinal, {_CALL_SQL} AS call_id, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'client-' || o_custkey END AS customer_id, o_orderpriority AS account_name, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus AS transcript, CAST(1 AS BIGINT) AS turns, {_CALL_SQL} AS record FROM orders")
+_LEX_SET_SQL = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN {_SEARCH_STOP}))"
+
+
+def _alike(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the next one of its language, by their terms."""
+    docs = views.documents(spark, d).select("call_id", "ordinal", "lang", tx.lexical_terms("text").alias("terms"))
+    pairs = docs.withColumn("other", F.lead(F.struct("call_id", "terms")).over(Window.partitionBy("lang").orderBy("ordinal"))).where("other is not null")
+    return pairs.select("call_id", F.col("other.call_id").alias("other_id"), F.round(tx.jaccard(F.col("terms"), F.col("other.terms")), 9).alias("score"))
+
+
+add("jaccard_pairs", _alike, f"WITH t AS (SELECT doc_id, lang, {_LEX_SET_SQL} AS terms FROM documents), p AS (SELECT doc_id, terms, lead(doc_id) OVER w AS o, lead(terms) OVER w AS ot FROM t WINDOW w AS (PARTITION BY lang ORDER BY doc_id)) SELECT CAST(doc_id AS VARCHAR) AS call_id, CAST(o AS VARCHAR) AS other_id, round(CASE WHEN len(list_distinct(list_concat(terms, ot))) > 0 THEN CAST(len(list_intersect(terms, ot)) AS DOUBLE) / len(list_distinct(list_concat(terms, ot))) ELSE 0 END, 9) AS score FROM p WHERE o IS NOT NULL")
+
+
+def _all_queries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([*enumerate(_Q), (len(_Q), "zzqqxx unheard"), (len(_Q) + 1, "apache zzqqxx")], "query_id int, query string")
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    got = retrieval.search_summary(_all_queries(spark), retrieval.bm25(views.documents(spark, d), _all_queries(spark), 15))
+    return got.select("query_id", F.array_join("matched_terms", " ").alias("matched"), F.array_join("missing_terms", " ").alias("missing"), F.col("chunk_count").cast("bigint").alias("chunk_count"), "failure_reason", F.array_join("top", ",").alias("top"))
+
+
+_ALL_Q = (*_Q, "zzqqxx unheard", "apache zzqqxx")
+_HITS_SQL = f"h AS ({_bm25_sql(_ALL_Q, 15)}), qq AS ({' UNION ALL '.join(f'SELECT CAST({i} AS INTEGER) AS query_id, {q!r} AS query' for i, q in enumerate(_ALL_Q))}), qt AS (SELECT DISTINCT query_id, unnest({tokens_sql('query')}) AS term FROM qq), hm AS (SELECT DISTINCT query_id, unnest(string_split(matched, ' ')) AS term FROM h)"
+add("search_call_summary", _summary, f"WITH {_HITS_SQL} SELECT query_id, coalesce((SELECT string_agg(term, ' ' ORDER BY term) FROM hm WHERE hm.query_id = qq.query_id), '') AS matched, coalesce((SELECT string_agg(term, ' ' ORDER BY term) FROM qt WHERE qt.query_id = qq.query_id AND (query_id, term) NOT IN (SELECT (query_id, term) FROM hm)), '') AS missing, (SELECT count(*) FROM h WHERE h.query_id = qq.query_id) AS chunk_count, CASE WHEN (SELECT count(*) FROM h WHERE h.query_id = qq.query_id) = 0 THEN 'no_chunks' END AS failure_reason, coalesce((SELECT string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) FROM h WHERE h.query_id = qq.query_id AND rank <= 5), '') AS top FROM qq")
+add("missing_terms_except", lambda s, d: retrieval.missing_terms(_all_queries(s), retrieval.bm25(views.documents(s, d), _all_queries(s), 15)), f"WITH {_HITS_SQL} SELECT query_id, term FROM qt EXCEPT SELECT query_id, term FROM hm")
+add("promotion_gate", lambda s, d: sv.quality(_extracted(s, d), views.documents(s, d)).where("status = 'promote'").select("field_name"), f"SELECT field_name FROM ({_QUALITY_SQL}) WHERE s > 0")
+
+
+def _flagged(spark: SparkSession, d: str) -> DataFrame:
+    """Extractions of which some are missing, some have errors and some no evidence."""
+    got = _extracted(spark, d).where("ordinal % 5 > 0 or field_name <> 'level'")
+    got = got.withColumn("evidence_refs", F.when(F.col("ordinal") % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("evidence_refs"))).withColumn("validation_errors", F.when((F.col("ordinal") % 7 == 0) & (F.col("field_name") == "theme"), F.array(F.lit("list_item_not_string"))).otherwise(F.array().cast("array<string>")))
+    return sv.pivot(views.documents(spark, d).select("call_id", "ordinal"), got, [FieldSpec("theme", "list"), FieldSpec("level", "enum")]).select("call_id", F.array_join("quality_flags", ",").alias("flags"))
+
+
+add("quality_flags", _flagged, f"SELECT CAST(doc_id AS VARCHAR) AS call_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'theme:list_item_not_string' END, CASE WHEN doc_id % 4 = 0 AND len({_THEME_SQL}) > 0 THEN 'theme:missing_evidence' END, CASE WHEN doc_id % 5 = 0 THEN 'level:missing_extraction' WHEN doc_id % 4 = 0 AND {_LEVEL_SQL} <> 'not_mentioned' THEN 'level:missing_evidence' END], lambda x: x IS NOT NULL), ',') AS flags FROM documents")
+add("evidence_whitelist", lambda s, d: sv.whitelisted(_extracted(s, d).select(F.col("call_id"), F.explode("evidence_refs").alias("ref")).withColumn("ref", F.when(F.col("call_id").cast("bigint") % 3 == 0, F.concat("ref", F.lit("x"))).otherwise(F.col("ref"))), views.documents(s, d)).groupBy("call_id").agg(F.count_if("known").alias("kept"), F.count_if(~F.col("known")).alias("refused")), f"SELECT CAST(doc_id AS VARCHAR) AS call_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n END AS kept, CASE WHEN doc_id % 3 = 0 THEN n ELSE 0 END AS refused FROM (SELECT doc_id, CAST(least(len({_THEME_SQL}), 1) + CAST({_LEVEL_SQL} <> 'not_mentioned' AS INTEGER) + CAST({_SECRET_SQL} AS INTEGER) AS BIGINT) AS n FROM documents) WHERE n > 0")
+_SPECS = (FieldSpec("theme", "list", "Themes", tuple(_RULES)), FieldSpec("level", "enum", "Level", ("not_mentioned", "medium", "high")), FieldSpec("secret", "boolean", "Secret", facetable=False))
+add("catalog_fields", lambda s, d: sv.catalog_table(s, list(_SPECS), sv.quality(_extracted(s, d), views.documents(s, d))).select("field_name", F.col("field_ordinal").cast("bigint").alias("field_ordinal"), "type", "path", "facetable", F.array_join("allowed_values", ",").alias("allowed"), "support_call_count", "status"), f"SELECT field_name, field_ordinal, type, 'silver_calls.' || field_name AS path, facetable, allowed, CAST(s AS BIGINT) AS support_call_count, CASE WHEN s > 0 THEN 'promote' ELSE 'hold' END AS status FROM (VALUES ('theme', CAST(0 AS BIGINT), 'list', true, '{','.join(_RULES)}'), ('level', 1, 'enum', true, 'not_mentioned,medium,high'), ('secret', 2, 'boolean', false, '')) v(field_name, field_ordinal, type, facetable, allowed) JOIN ({_QUALITY_SQL}) USING (field_name)")
+add("schema_delta_except", lambda s, d: feedback.schema_delta(views.table(s, d, "part").where("p_size <= 25").select(F.col("p_name").alias("field_name")), views.table(s, d, "part").where("p_size % 2 = 0").select(F.col("p_name").alias("field_name"))), "SELECT 'added' AS change, p_name AS field_name FROM (SELECT p_name FROM part WHERE p_size % 2 = 0 EXCEPT SELECT p_name FROM part WHERE p_size <= 25) UNION ALL SELECT 'removed', p_name FROM (SELECT p_name FROM part WHERE p_size <= 25 EXCEPT SELECT p_name FROM part WHERE p_size % 2 = 0)")
+add("value_counts", lambda s, d: feedback.value_counts(views.silver(s, d, flags=True), "flags"), f"WITH {SILVER_SQL} SELECT key, count(*) AS count FROM (SELECT unnest(flags) AS key FROM silver) GROUP BY 1")
+add("usage_deltas", lambda s, d: feedback.usage_deltas(views.table(s, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ordinal"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("user_id") % 100).alias("output_tokens"))).select("run_id", "ordinal", "input_delta", "output_delta"), "SELECT user_id AS run_id, event_id AS ordinal, event_id % 1000 - coalesce(lag(event_id % 1000) OVER w, 0) AS input_delta, user_id % 100 - coalesce(lag(user_id % 100) OVER w, 0) AS output_delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+add("last_entries", lambda s, d: feedback.last_entries(views.table(s, d, "events").select("user_id", "event_id"), "user_id", "event_id", 6), "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 6")
+add("failures_by_reason", lambda s, d: feedback.distinct_failures(views.table(s, d, "events").select(F.col("event_id").alias("ordinal"), F.when(F.col("user_id") % 5 > 0, F.concat("event_type", F.lit(" "), F.col("user_id") % 5)).otherwise(" ").alias("reason"))).select("reason", "ordinal"), "SELECT event_type || ' ' || (user_id % 5) AS reason, min(event_id) AS ordinal FROM events WHERE user_id % 5 > 0 GROUP BY 1")
+add("field_candidates", lambda s, d: negotiation.candidates(_reports(s, d), _wishes(s, d)).select("field_name", "source", "support", "uncertain", "decision"), "WITH r AS (SELECT p_name AS field_name, max(p_size) % 7 AS s FROM part WHERE p_size > 10 GROUP BY 1), w AS (SELECT p_name AS field_name, count(*) AS n FROM part WHERE p_size % 3 = 0 GROUP BY 1) SELECT field_name, CASE WHEN r.s IS NULL THEN 'feedback' WHEN n IS NULL THEN 'schema' ELSE 'schema+feedback' END AS source, CAST(coalesce(r.s, 0) AS BIGINT) AS support, r.s IS NULL OR r.s = 0 AS uncertain, CASE WHEN r.s IS NULL OR r.s = 0 THEN 'human_review' WHEN r.s >= 3 THEN 'promote' ELSE 'retrieval_only' END AS decision FROM r FULL JOIN w USING (field_name)")
+add("candidate_tasks", lambda s, d: negotiation.matching_tasks(views.table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("field_name"), F.slice(tx.query_terms("text"), 1, 3).alias("terms")), views.table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("ordinal"), F.col("text").alias("query"))).select("field_name", F.array_join(F.transform("tasks", lambda x: x.cast("string")), ",").alias("tasks")), f"WITH c AS (SELECT CAST(item_id AS VARCHAR) AS field_name, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN {_QUERY_STOP})[1:3]) AS term FROM benchmark), d AS (SELECT doc_id, lower(text) AS low FROM documents WHERE lang = 'en'), h AS (SELECT DISTINCT field_name, doc_id FROM c JOIN d ON contains(low, term)), k AS (SELECT *, row_number() OVER (PARTITION BY field_name ORDER BY doc_id) AS k FROM h) SELECT field_name, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS tasks FROM k WHERE k <= 6 GROUP BY 1")
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    p = views.table(spark, d, "part").where("p_size > 10").groupBy(F.col("p_name").alias("field_name")).agg((F.max("p_size") % 7).cast("bigint").alias("support_call_count"))
+    return p.withColumn("status", F.when(F.col("support_call_count") >= 3, "promote").otherwise("hold"))
+
+
+def _wishes(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "part").where("p_size % 3 = 0").groupBy(F.col("p_name").alias("field_name")).agg(F.count(F.lit(1)).alias("count"))
+
+
+# ---- questions answered end to end: control flow, so rows only ---------------------------------
+
+
+def _corpus(spark: SparkSession, d: str) -> agent.Corpus:
+    """Conversations packed, their built-in and inferred-like fields extracted and pivoted."""
+    made = views.calls(spark, d).withColumn("transcript", F.array_join(F.transform("turns", lambda t: t["text"]), "\n")).withColumn("account_name", F.concat(F.lit("account "), "call_id"))
+    chunks = chunking.pack(made)
+    specs = [FieldSpec("topic", "list", "Words of a call", ("the", "and", "with")), FieldSpec("urgency", "enum", allowed_values=("not_mentioned", "medium", "high")), FieldSpec("next_action", "string", aggregatable=False)]
+    got = sv.extract(made, chunks, sv.rows_for(specs))
+    return agent.Corpus(sv.pivot(made, got, specs), chunks, Catalog.of(*specs))
+
+
+def _answer(spark: SparkSession, d: str, plan: planner.Plan) -> DataFrame:
+    class Given:
+        def plan(self, query: str, catalog: Catalog) -> planner.Plan:
+            return plan
+
+    got = agent.Agent(_corpus(spark, d), Given()).answer(plan.query)
+    rows = [("record", str(r["call_id"]), 0) for r in got["records"]] + [("group", str(k), int(n)) for k, n in got["aggregation"].items()] + [("evidence", str(e["chunk_id"]), 0) for e in got["evidence"]]
+    return spark.createDataFrame([*rows, ("success", str(got["judgement"]["success"]), 0)], "kind string, value string, count int")
+
+
+def _planned(operation: str, **more) -> planner.Plan:
+    p = planner.Plan(operation, query="the call with the need", **more)
+    return replace(p, steps=planner.default_steps(p))
+
+
+add("agent_answer_filter", lambda s, d: _answer(s, d, _planned("filter", filters={"topic": "the"})))
+add("agent_answer_aggregate", lambda s, d: _answer(s, d, _planned("aggregate", group_by="topic")))
+add("agent_answer_search", lambda s, d: _answer(s, d, _planned("search")))
+
+
+def _demo(spark: SparkSession, d: str) -> DataFrame:
+    """Questions before and after a schema takes up what the judge asked for."""
+    return loop.run(_corpus(spark, d), ["calls with the and that", "how many calls by topic"]).select("phase", "task_id", "success", "used_filter")
+
+
+add("loop_demo", _demo)

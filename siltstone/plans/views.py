@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import ENGLISH_STOPWORDS
 from siltstone.schemas import Catalog, FieldSpec
 from siltstone.sources.calls import gathered, turns_table
 
@@ -58,7 +59,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("call_id"), "text", F.col("text").alias("bm25_text"), "lang")
 
 
-STOP_SQL = "(" + ", ".join(f"'{w}'" for w in "a an and are as at be by call calls find for from have how in is it mention mentions of on or show that the this to was we what which with".split()) + ")"
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in ENGLISH_STOPWORDS) + ")"
 #: Tokens of a text in SQL: lower case, possessives cut, one letter and stop words out.
 TOKENS_SQL = f"list_filter(list_transform(regexp_extract_all(replace(lower({{0}}), '_', ' '), '[a-z0-9]+(?:''[a-z]+)?'), lambda t: regexp_replace(t, '''s$', '')), lambda t: length(t) >= 2 AND t NOT IN {STOP_SQL})"
 

@@ -37,7 +37,7 @@ def test_matches_sql(spark, sf_dir, duck, name):
 
 def test_labels_are_those_of_whole_texts(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r["chunk_id"]: r["value"] for r in registry.QUERIES["normalize_label_whole"](spark, sf_dir).collect()}
+    got = {r["chunk_id"]: r["value"] for r in registry.QUERIES["normalize_label"](spark, sf_dir).collect()}
     assert got == {i: re.sub("[^a-z0-9]+", "_", t.strip(" ").lower()).strip("_") for i, t in texts.items()}
     assert max(map(len, got.values())) > 1000
 
