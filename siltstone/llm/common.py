@@ -8,14 +8,15 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is hinted for broadcast only after a count shows at most so many narrow rows.
-BROADCAST_ROWS = 500_000
+#: A side of a join is hinted for broadcast only after a count shows at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
 def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there,
     and losing an executor costs nothing that was stashed."""
@@ -40,9 +44,23 @@ def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    for scope in _SCOPES[-1:]:
+        scope.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is stashed within is deleted when it ends: for callers who have written or collected an operator's result by then."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        unstash(*made)
+
+
 def unstash(*frames: DataFrame) -> None:
     """Deletes stashed tables that nothing reads any more."""
     for df in frames:
@@ -53,10 +71,13 @@ def unstash(*frames: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; else as it is,
-    and the join that reads it shuffles. Give it stashed, narrow tables: it counts them."""
-    return F.broadcast(df) if df.count() <= limit else df
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most so many rows and bytes (texts are measured, other values taken as 16 bytes each); else as it is,
+    and the join that reads it shuffles. Give it stashed tables: it counts them."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    found = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.octet_length(F.col(f"`{c}`"))).alias(f"t{k}") for k, c in enumerate(texts)]).first()
+    held = 16 * len(df.columns) * found["n"] + sum(found[f"t{k}"] or 0 for k in range(len(texts)))
+    return F.broadcast(df) if found["n"] <= rows and held <= size else df
 
 
 #: A key with more than one in so many rows is joined by broadcast; there can't be more of these.

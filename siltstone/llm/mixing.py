@@ -174,6 +174,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     return out.select("_row.*", "probability", "weight", F.coalesce(F.col("_u") < F.col("probability"), F.lit(False)).alias("selected"))
 
 
-def sample(docs: DataFrame, **how) -> DataFrame:
-    """The documents that ``mix`` selects without weights, columns as they were: their own tokens have the target shares."""
-    return mix(docs, **how, weighted=False).where("selected").select(*docs.columns)
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that ``mix`` selects without weights, columns as they were, whatever their names: their own tokens have the target shares."""
+    needed = dict.fromkeys([id_col, text_col, "source", "lang"])
+    src = docs.select(F.struct(*docs.columns).alias("_doc"), *needed)
+    return mix(src, id_col=id_col, text_col=text_col, **how, weighted=False).where("selected").select("_doc.*")

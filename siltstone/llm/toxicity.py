@@ -257,11 +257,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` columns ``keep`` and id, with score (0..1) and predicted (score >= 0.5).
+    """``docs`` columns ``keep`` and id, with score (0..1) and predicted (score >= 0.5); columns kept under these two names are replaced.
 
     Null and empty texts score as clean; rows keep their number and
     repeated rows score alike."""
-    cols = list(dict.fromkeys([id_col, *keep]))
+    cols = list(dict.fromkeys([id_col, *(c for c in keep if c not in ("score", "predicted"))]))
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
     src = docs.select(*cols, F.col(text_col).alias("_scored"))
 
