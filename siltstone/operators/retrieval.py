@@ -60,8 +60,8 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int | None = 10, allowed: D
     told = docs.select(id_col, english_tokens(text).alias("tokens")).select(id_col, F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("said"))
     df_of = [F.count_if(F.array_contains("said", t)) for t in terms]
     stats = told.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.array(*df_of).cast("array<bigint>").alias("df"))
-    hits = told.where(F.size("said") > 0)
-    hits = (hits if allowed is None else hits.join(allowed, id_col, "left_semi")).crossJoin(F.broadcast(stats))
+    # no filter on what is said: it would be pushed below, and tokens be taken twice
+    hits = (told if allowed is None else told.join(allowed, id_col, "left_semi")).crossJoin(F.broadcast(stats))
 
     def part(t: str) -> Column:
         df, tf = F.get("df", F.lit(terms.index(t))), F.size(F.filter("said", lambda x: x == t))
@@ -75,7 +75,7 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int | None = 10, allowed: D
     per = F.array(*[scored(i, ts) for i, ts in asked if ts])
     if not terms:
         per = F.array().cast(f"array<struct<query_id:{queries.schema['query_id'].dataType.simpleString()},raw:double,matched_terms:array<string>>>")
-    each = hits.select(id_col, F.explode(F.filter(per, lambda x: x["raw"] > 0)).alias("x")).select("x.query_id", id_col, "x.raw", "x.matched_terms")
+    each = hits.select(id_col, F.explode(F.when(F.size("said") > 0, F.filter(per, lambda x: x["raw"] > 0))).alias("x")).select("x.query_id", id_col, "x.raw", "x.matched_terms")
     return ranked(each, limit, id_col)
 
 
