@@ -70,9 +70,8 @@ def _dealt(src: DataFrame, rows: int) -> DataFrame:
     spark = src.sparkSession
     n, lost = src.agg(F.count("id"), F.count_if(F.col("id").isNull())).first()
     m = min(_FAN**3, n // rows) + 1
-    shares = F.array(*[F.lit(k / m) for k in range(1, m)])
-    cuts = (src.agg(F.percentile_approx("id", shares, F.lit(max(10_000, 4 * m))).alias("q")).first()["q"] or []) if m > 1 else []
-    listed = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>") if some else F.array().cast("array<bigint>")
+    listed = lambda some, kind="bigint": F.split(F.lit(",".join(map(repr, some))), ",").cast(f"array<{kind}>") if some else F.array().cast(f"array<{kind}>")
+    cuts = (src.agg(F.percentile_approx("id", listed([k / m for k in range(1, m)], "double"), F.lit(max(10_000, 4 * m))).alias("q")).first()["q"] or []) if m > 1 else []
     top, mid, low = (listed(cuts[::step]) for step in (_FAN**2, _FAN, 1))
     less = lambda some: F.size(F.filter(some, lambda c: F.coalesce(c < F.col("id"), F.lit(False))))
     part = lambda some, k: F.slice(some, (F.col(k) * _FAN + 1).cast("int"), F.lit(_FAN))
