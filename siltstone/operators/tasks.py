@@ -25,7 +25,7 @@ def normalized(tasks: DataFrame) -> DataFrame:
     kind = text("source_type", "manual")
     out = t.select(
         (F.col("ordinal") if "ordinal" in have else F.monotonically_increasing_id()).alias("ordinal"), key.alias("key"), text("task_id", "").alias("task_id"), "query", text("intent", "unspecified").alias("intent"), F.when(kind.isin(*SOURCE_TYPES), kind).otherwise("manual").alias("source_type"),
-        text("label_status", "unlabeled").alias("label_status"), text("split", "dev").alias("split"), (F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in have else F.lit(1.0)).alias("weight"), (F.col("expected_operation") if "expected_operation" in have else F.lit(None).cast("string")).alias("expected_operation"),
+        text("label_status", "unlabeled").alias("label_status"), text("split", "dev").alias("split"), text("provenance", "unknown").alias("provenance"), text("generation_id", "").alias("generation_id"), (F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in have else F.lit(1.0)).alias("weight"), (F.col("expected_operation") if "expected_operation" in have else F.lit(None).cast("string")).alias("expected_operation"),
     )
     best = out.groupBy("key").agg(F.min_by(F.struct(*[c for c in out.columns if c != "key"]), "ordinal").alias("r"))
     return best.select("key", "r.*").withColumn("task_id", F.when(F.col("task_id") == "", F.concat(F.lit("task-"), short_hash("key", 16))).otherwise(F.col("task_id"))).drop("key")
@@ -79,8 +79,8 @@ def rerank(hits: DataFrame, ranking: list[dict[str, Any]], id_col: str = "chunk_
 
 
 def loop_summary(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(task_id, success, used_filter) before and after a refinement -> totals and gains."""
-    both = before.select("task_id", F.col("success").alias("s0"), F.col("used_filter").alias("f0")).join(after.select("task_id", F.col("success").alias("s1"), F.col("used_filter").alias("f1")), "task_id", "left")
+    """(task_id, success, used_filter) before and after a refinement -> totals and gains; a task of either side counts."""
+    both = before.select("task_id", F.col("success").alias("s0"), F.col("used_filter").alias("f0")).join(after.select("task_id", F.col("success").alias("s1"), F.col("used_filter").alias("f1")), "task_id", "full")
     n = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
     return both.agg(F.count(F.lit(1)).alias("tasks"), n("s0").alias("success_before"), n("s1").alias("success_after"), (n("s1") - n("s0")).alias("success_delta"), (n("f1") - n("f0")).alias("filter_delta"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any, Protocol
 
@@ -35,6 +36,7 @@ class Corpus:
     catalog: Catalog
     vectors: DataFrame | None = None
     client: EmbeddingClient | None = None
+    controller: Callable[[dict[str, Any]], str] | None = None
     _docs: DataFrame | None = None
 
     @property
@@ -171,7 +173,7 @@ class Agent:
         if step.tool in ("search_chunks", "bm25_search_chunks", "embedding_search_chunks"):
             return self._search(step, query, state)
         if step.tool == "fetch_chunks":
-            return self._fetch(retrieval.bounded_limit(a.get("limit"), 8), state)
+            return self._fetch(retrieval.bounded_limit(a.get("limit"), 8), state, list(a.get("refs") or ()), plan)
         if step.tool == "review_schema_gaps":
             state.requests = list({(r.action, r.field_name): r for r in (*plan.requests, *state.requests, *gaps(query, plan, state, c.catalog))}.values())
             return f"{len(state.requests)} requests"
@@ -183,6 +185,8 @@ class Agent:
         limit = retrieval.bounded_limit(a.get("limit"), 10)
         asked = retrieval.diverse(list(a.get("queries") or [a.get("query") or query]))
         allowed = c.documents.join(self._matching(a["filters"]).select("call_id"), "call_id", "left_semi").select("chunk_id") if a.get("filters") else None
+        if a.get("mode") == "agentic":
+            asked = self._searched(asked[0])
         q = c.silver.sparkSession.createDataFrame(list(enumerate(asked)), "query_id int, query string")
         if step.tool == "embedding_search_chunks" or a.get("mode") in ("embedding", "hybrid"):
             if c.client is None or c.vectors is None:
@@ -206,15 +210,27 @@ class Agent:
                 state.records.setdefault(r["call_id"], r.asDict(recursive=True))
         return f"{len(rows)} chunks for {len(asked)} queries"
 
-    def _fetch(self, limit: int, state: State) -> str:
-        refs = [x for r in state.records.values() for xs in (r.get("evidence_refs") or {}).values() for x in xs] or [f"chunk:{i}" for i in state.chunks]
-        refs = list(dict.fromkeys(refs))[:limit]
+    def _searched(self, query: str) -> list[str]:
+        """The queries that a retrieval agent asks, led by the corpus' controller where it has one."""
+        from siltstone.plans.model import RetrievalAgent
+
+        one = lambda text: self.corpus.silver.sparkSession.createDataFrame([(0, text)], "query_id int, query string")
+        look = lambda tool, text: retrieval.bm25(self.corpus.documents, one(text), 10)
+        return retrieval.diverse([call.query for call in RetrievalAgent(look, self.corpus.controller, least=2).run(query)])
+
+    def _fetch(self, limit: int, state: State, given: list[str], plan: Plan) -> str:
+        """Chunks by the refs given, else those of the records, else of the rows that were aggregated, else of the chunks found."""
+        refs = given or [x for r in state.records.values() for xs in (r.get("evidence_refs") or {}).values() for x in xs]
+        if not refs and state.used_fields:
+            refs = [r["ref"] for r in aggregates.evidence_refs(self._matching(plan.filters), state.used_fields, limit).collect()]
+        refs = list(dict.fromkeys(refs or [f"chunk:{i}" for i in state.chunks]))[:limit]
         if not refs:
             return "nothing to fetch"
         frame = self.corpus.silver.sparkSession.createDataFrame(list(enumerate(refs)), "pos int, ref string")
         got = retrieval.fetch(self.corpus.chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "call_id", snippet("text").alias("snippet")), frame).collect()
         known = {e["chunk_id"] for e in state.evidence}
-        state.evidence += [{"chunk_id": r["chunk_id"], "call_id": r["call_id"], "snippet": r["snippet"]} for r in got if r["chunk_id"] not in known]
+        scores = lambda i: {k: v for k, v in state.chunks.get(i, {}).items() if k in ("score", "rank") and v is not None}
+        state.evidence += [{"chunk_id": r["chunk_id"], "call_id": r["call_id"], "snippet": r["snippet"], **scores(r["chunk_id"])} for r in got if r["chunk_id"] not in known]
         return f"{len(got)} chunks"
 
 

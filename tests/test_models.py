@@ -107,6 +107,19 @@ def test_retrieval_agent(spark, corpus):
         model.branches(model.RetrievalAgent(strange), ["x"], corpus.chunks)
 
 
+def test_agentic_search_and_fetched_refs(corpus):
+    plan = pl.Plan("search", query="founder unheard refund", steps=(pl.Step("search_chunks", {"query": "founder unheard refund", "mode": "agentic"}), pl.Step("fetch_chunks", {"refs": ["chunk:c1:chunk-001", "chunk:zz"]})))
+
+    class Given:
+        def plan(self, query, catalog):
+            return plan
+
+    got = Agent(corpus, Given()).answer(plan.query)
+    assert [e["chunk_id"] for e in got["evidence"]] == ["c1:chunk-001"] and got["trace"][0]["result"] == "2 chunks for 2 queries"
+    plan = pl.Plan("aggregate", group_by="complaint_theme", steps=(pl.Step("aggregate_silver", {"group_by": "complaint_theme"}), pl.Step("fetch_chunks")))
+    assert [e["chunk_id"] for e in Agent(corpus, Given()).answer("x")["evidence"]] == ["c2:chunk-001"]
+
+
 def test_usage_and_budget():
     u = usage.Usage(usage.prices_from("m=2/8, n=1"))
     u.saw("m", 1000, 100)
