@@ -144,11 +144,12 @@ def block_pairs(members: DataFrame, key: str, member: str, weight: str, budget:
     return split.withColumn("_o", other).withColumn("i", F.least("blk", "_o").cast("int")).withColumn("j", F.greatest("blk", "_o").cast("int")).drop("_total", "_n", "_o")
 
 
-def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, giving back what it held when a task ends: Python workers stay on for other tasks, and would keep it."""
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow in little memory: batches come in slices of ``rows``, and what was held is given back when a task ends, since Python
+    workers stay on for other tasks and would keep it."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows))
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
