@@ -323,7 +323,7 @@ add("quality_flags", _flagged, f"SELECT CAST(doc_id AS VARCHAR) AS call_id, arra
 add("evidence_whitelist", lambda s, d: sv.whitelisted(_extracted(s, d).select(F.col("call_id"), F.explode("evidence_refs").alias("ref")).withColumn("ref", F.when(F.col("call_id").cast("bigint") % 3 == 0, F.concat("ref", F.lit("x"))).otherwise(F.col("ref"))), views.documents(s, d)).groupBy("call_id").agg(F.count_if("known").alias("kept"), F.count_if(~F.col("known")).alias("refused")), f"SELECT CAST(doc_id AS VARCHAR) AS call_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n END AS kept, CASE WHEN doc_id % 3 = 0 THEN n ELSE 0 END AS refused FROM (SELECT doc_id, CAST(least(len({_THEME_SQL}), 1) + CAST({_LEVEL_SQL} <> 'not_mentioned' AS INTEGER) + CAST({_SECRET_SQL} AS INTEGER) AS BIGINT) AS n FROM documents) WHERE n > 0")
 _SPECS = (FieldSpec("theme", "list", "Themes", tuple(_RULES)), FieldSpec("level", "enum", "Level", ("not_mentioned", "medium", "high")), FieldSpec("secret", "boolean", "Secret", facetable=False))
 add("catalog_fields", lambda s, d: sv.catalog_table(s, list(_SPECS), sv.quality(_extracted(s, d), views.documents(s, d))).select("field_name", F.col("field_ordinal").cast("bigint").alias("field_ordinal"), "type", "path", "facetable", F.array_join("allowed_values", ",").alias("allowed"), "support_call_count", "status"), f"SELECT field_name, field_ordinal, type, 'silver_calls.' || field_name AS path, facetable, allowed, CAST(s AS BIGINT) AS support_call_count, CASE WHEN s > 0 THEN 'promote' ELSE 'hold' END AS status FROM (VALUES ('theme', CAST(0 AS BIGINT), 'list', true, '{','.join(_RULES)}'), ('level', 1, 'enum', true, 'not_mentioned,medium,high'), ('secret', 2, 'boolean', false, '')) v(field_name, field_ordinal, type, facetable, allowed) JOIN ({_QUALITY_SQL}) USING (field_name)")
-add("schema_delta_except", lambda s, d: feedback.schema_delta(views.table(s, d, "part").where("p_size <= 25").select(F.col("p_name").alias("field_name")), views.table(s, d, "part").where("p_size % 2 = 0").select(F.col("p_name").alias("field_name"))), "SELECT 'added' AS change, p_name AS field_name FROM (SELECT p_name FROM part WHERE p_size % 2 = 0 EXCEPT SELECT p_name FROM part WHERE p_size <= 25) UNION ALL SELECT 'removed', p_name FROM (SELECT p_name FROM part WHERE p_size <= 25 EXCEPT SELECT p_name FROM part WHERE p_size % 2 = 0)")
+add("schema_delta_except", lambda s, d: feedback.schema_delta(*[views.table(s, d, "part").where(w).select(F.concat("p_name", F.lit("_"), F.col("p_size").cast("string")).alias("field_name")) for w in ("p_size <= 25", "p_size % 2 = 0")]), "WITH p AS (SELECT p_name || '_' || p_size AS field_name, p_size FROM part) SELECT 'added' AS change, field_name FROM (SELECT field_name FROM p WHERE p_size % 2 = 0 EXCEPT SELECT field_name FROM p WHERE p_size <= 25) UNION ALL SELECT 'removed', field_name FROM (SELECT field_name FROM p WHERE p_size <= 25 EXCEPT SELECT field_name FROM p WHERE p_size % 2 = 0)")
 add("value_counts", lambda s, d: feedback.value_counts(views.silver(s, d, flags=True), "flags"), f"WITH {SILVER_SQL} SELECT key, count(*) AS count FROM (SELECT unnest(flags) AS key FROM silver) GROUP BY 1")
 add("usage_deltas", lambda s, d: feedback.usage_deltas(views.table(s, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ordinal"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("user_id") % 100).alias("output_tokens"))).select("run_id", "ordinal", "input_delta", "output_delta"), "SELECT user_id AS run_id, event_id AS ordinal, event_id % 1000 - coalesce(lag(event_id % 1000) OVER w, 0) AS input_delta, user_id % 100 - coalesce(lag(user_id % 100) OVER w, 0) AS output_delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 add("last_entries", lambda s, d: feedback.last_entries(views.table(s, d, "events").select("user_id", "event_id"), "user_id", "event_id", 6), "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 6")
