@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, fingerprint, mixing, ngram_join, pii, secret_scan, toxicity, url_filter, warc
+from . import bpe, centroids, embed_dedup, fingerprint, mixing, ngram_join, pii, secret_scan, token_counts, toxicity, url_filter, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,62 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_codec, op3_url_filter, op4_secret_scan, op5_warc, op6_mixture, op7_e8_dedup, op8_pii_surrogates, op9_fingerprint, op10_toxicity)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed="3")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents"), limit=4096)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.compress(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+#: floor(sum / count) of whole numbers; the division of SQL goes towards zero.
+_FLOOR = "((s - ((s % n) + n) % n) // n)"
+_GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _centroids_sql(k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024) -> str:
+    """Each round is a pair of tables: assignments, each the least (distance, number), and the centroids they make."""
+    sql = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {_GOOD} AND len(embedding) = {dim})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, q FROM v QUALIFY c < {k})",
+    ]
+    for r in range(rounds + 1):
+        sql.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v.q AS q, min([list_sum(list_transform(list_zip(v.q, c{r}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c]) AS m FROM v, c{r} GROUP BY vec_id, v.q)")
+        if r < rounds:
+            sql.append(f"s{r} AS (SELECT m[2] AS c, p, sum(x) AS s, count(*) AS n FROM (SELECT m, unnest(q) AS x, generate_subscripts(q, 1) AS p FROM a{r}) GROUP BY 1, 2)")
+            sql.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c AS c, coalesce(f, q) AS q FROM c{r} LEFT JOIN (SELECT c, list(CAST({_FLOOR} AS BIGINT) ORDER BY p) AS f FROM s{r} GROUP BY c) USING (c))")
+    return "WITH " + ", ".join(sql) + f"""
+        SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, CAST(m[1] AS BIGINT) AS distance, CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia,
+               CAST(sum(m[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON c = m[2]"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, dim: int = 64, scale: int = 4096) -> str:
+    """As above, with a codebook for each part position."""
+    size = dim // parts
+    sql = [
+        f"w AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {_GOOD})",
+        f"v AS MATERIALIZED (SELECT vec_id, part, q[part * {size} + 1 : part * {size} + {size}] AS q FROM w, (SELECT unnest(range({parts})) AS part))",
+        f"c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS c, q FROM v QUALIFY c < {entries})",
+    ]
+    for r in range(rounds + 1):
+        sql.append(f"a{r} AS MATERIALIZED (SELECT vec_id, part, v.q AS q, min([list_sum(list_transform(list_zip(v.q, c{r}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c]) AS m FROM v JOIN c{r} USING (part) GROUP BY vec_id, part, v.q)")
+        if r < rounds:
+            sql.append(f"s{r} AS (SELECT part, m[2] AS c, p, sum(x) AS s, count(*) AS n FROM (SELECT part, m, unnest(q) AS x, generate_subscripts(q, 1) AS p FROM a{r}) GROUP BY 1, 2, 3)")
+            sql.append(f"c{r + 1} AS MATERIALIZED (SELECT part, c{r}.c AS c, coalesce(f, q) AS q FROM c{r} LEFT JOIN (SELECT part, c, list(CAST({_FLOOR} AS BIGINT) ORDER BY p) AS f FROM s{r} GROUP BY part, c) USING (part, c))")
+    sql.append(f"e AS MATERIALIZED (SELECT vec_id, string_agg(printf('%02x', m[2]), '' ORDER BY part) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)")
+    return "WITH " + ", ".join(sql) + f"""
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, c)) FROM c{rounds}) AS codebooks_sha256
+        FROM w JOIN e USING (vec_id)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe_codec, op3_url_filter, op4_secret_scan, op5_warc, op6_mixture, op7_e8_dedup, op8_pii_surrogates, op9_fingerprint, op10_toxicity, op11_centroid_clusters, op12_token_counts, op13_vector_codes)}
 SQL = {
     "op1_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (
@@ -93,4 +148,6 @@ SQL = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op11_centroid_clusters": _centroids_sql(),
+    "op13_vector_codes": _codes_sql(),
 }
