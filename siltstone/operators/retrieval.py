@@ -39,10 +39,10 @@ def search_documents(chunks: DataFrame, silver: DataFrame | None = None, fields:
 
 def corpus_stats(docs: DataFrame, text: str = "bm25_text") -> DataFrame:
     """(n, avgdl) over all documents, empty ones too."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(english_tokens(text))).alias("avgdl"))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size(english_tokens(text)), F.lit(0))).alias("avgdl"))
 
 
-def _terms(queries: DataFrame, terms: Column) -> list[tuple[Any, list[str]]]:
+def query_term_lists(queries: DataFrame, terms: Column) -> list[tuple[Any, list[str]]]:
     """(query_id, sorted distinct terms) of the queries, which a fan-out bounds."""
     rows = queries.select("query_id", F.array_sort(F.array_distinct(terms)).alias("terms")).limit(MAX_FANOUT + 1).collect()
     if len(rows) > MAX_FANOUT:
@@ -55,9 +55,9 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int | None = 10, allowed: D
 
     Each term's contribution is rounded to six places, then summed; ranked by that sum and the id. A document is one row with the tokens that
     any query asks for, so all queries are scored where it is read: only the statistics (one row) and the best hits move."""
-    asked = _terms(queries, english_tokens("query"))
+    asked = query_term_lists(queries, english_tokens("query"))
     terms = sorted({t for _, ts in asked for t in ts})
-    told = docs.select(id_col, english_tokens(text).alias("tokens")).select(id_col, F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("said"))
+    told = docs.select(id_col, english_tokens(text).alias("tokens")).select(id_col, F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("said"))
     df_of = [F.count_if(F.array_contains("said", t)) for t in terms]
     stats = told.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.array(*df_of).cast("array<bigint>").alias("df"))
     # no filter on what is said: it would be pushed below, and tokens be taken twice
@@ -115,7 +115,7 @@ def lexical(docs: DataFrame, queries: DataFrame, limit: int | None = 5, id_col:
     """Batch of queries by the number of distinct terms found as substrings. The queries' terms are bound as literals
     of one scan (at most MAX_FANOUT queries), so no pair of query and document without a hit leaves the scan. ``terms``: how a query's terms are
     taken, if not as ``lexical_terms`` (ingest searches without a stop list: ``lexical_terms("query", ())``)."""
-    asked = _terms(queries, lexical_terms("query") if terms is None else terms)
+    asked = query_term_lists(queries, lexical_terms("query") if terms is None else terms)
     per = F.array(*[F.struct(F.lit(i).alias("query_id"), lexical_score(text, ts).alias("raw")) for i, ts in asked])
     each = docs.select(id_col, F.explode(F.filter(per, lambda x: x["raw"] > 0)).alias("x")).select("x.query_id", id_col, F.col("x.raw").cast("double").alias("raw"))
     return ranked(each, limit, id_col)

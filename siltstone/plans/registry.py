@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as tx
 from siltstone.operators import aggregates, chunking, feedback, filters, inference, negotiation, retrieval, tasks
 from siltstone.operators import silver as sv
+from siltstone.operators.search_index import SearchIndex
 from siltstone.plans import agent, loop, planner, views
 from siltstone.plans.views import CHUNKS_SQL, SILVER, SILVER_SQL, tokens_sql
 from siltstone.schemas import Catalog, FieldSpec
 from siltstone.sources import calls
+from siltstone.sources.shared import shared_folder, state_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,6 +159,30 @@ add("bm25_stats", lambda s, d: retrieval.corpus_stats(views.documents(s, d)).sel
 add("bm25_search", lambda s, d: _hits(retrieval.bm25(views.documents(s, d), _queries(s).where("query_id = 0"), 20)), _bm25_sql(_Q[:1], 20))
 add("bm25_filtered", lambda s, d: _hits(retrieval.bm25(views.documents(s, d), _queries(s).where("query_id = 0"), 20, views.documents(s, d).where("lang = 'en'").select("chunk_id"))), _bm25_sql(_Q[:1], 20, "tf.lang = 'en'"))
 add("bm25_batch_fanout", lambda s, d: _hits(retrieval.bm25(views.documents(s, d), _queries(s), 15)), _bm25_sql(_Q, 15))
+
+
+def _indexed(spark: SparkSession, d: str) -> SearchIndex:
+    """The index of the documents, stored in the shared folder for as long as their files are the same."""
+    docs = views.documents(spark, d)
+    index = SearchIndex(spark, f"{shared_folder(spark)}/index-{state_of(docs)}")
+    index.add(docs, "all")
+    return index
+
+
+def _in_batches(spark: SparkSession, d: str) -> SearchIndex:
+    """The same documents in three deliveries, one of them twice and one with documents of another, then merged."""
+    docs = views.documents(spark, d)
+    index = SearchIndex(spark, f"{shared_folder(spark)}/batches-{state_of(docs)}")
+    for name, part in (("b0", "ordinal % 3 = 0"), ("b1", "ordinal % 3 < 2"), ("b0", "ordinal % 3 = 2"), ("b2", "ordinal % 3 > 0")):
+        index.add_new(docs.where(part), name)
+    index.compact("merged")
+    return index
+
+
+add("bm25_indexed", lambda s, d: _hits(_indexed(s, d).search(_queries(s), 15)), _bm25_sql(_Q, 15))
+add("bm25_indexed_filtered", lambda s, d: _hits(_indexed(s, d).search(_queries(s), 20, views.documents(s, d).where("lang = 'en'").select("chunk_id"))), _bm25_sql(_Q, 20, "tf.lang = 'en'"))
+add("bm25_incremental", lambda s, d: _hits(_in_batches(s, d).search(_queries(s), 15)), _bm25_sql(_Q, 15))
+add("index_frequencies", lambda s, d: _in_batches(s, d).frequencies(), f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY 1")
 _LEX = ("there", "ation", "lic")
 _LEX_SQL = " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in _LEX)
 add("search_lexical", lambda s, d: retrieval.lexical(views.documents(s, d), s.createDataFrame([(0, " ".join(_LEX))], "query_id int, query string"), 25).select("chunk_id", "score", F.col("rank").cast("bigint").alias("rank")), f"SELECT * FROM (SELECT doc_id AS chunk_id, CAST({_LEX_SQL} AS DOUBLE) AS score, row_number() OVER (ORDER BY {_LEX_SQL} DESC, doc_id) AS rank FROM documents WHERE {_LEX_SQL} > 0) WHERE rank <= 25")
