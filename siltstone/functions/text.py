@@ -36,6 +36,48 @@ def english_tokens(text: str | Column) -> Column:
     return _without(found, ENGLISH_STOPWORDS, 2)
 
 
+#: Scripts that are written without spaces: Han, kana with its marks for length and repetition, and Hangul.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\u30fc\u3005"
+
+
+def script_tokens(text: str | Column) -> Column:
+    """``english_tokens``, and of every run in a script without spaces its overlapping pairs of characters (a run of one is itself), all in the order of the text. Texts
+    without such runs have the tokens that ``english_tokens`` gives."""
+    found = F.regexp_extract_all(F.translate(F.lower(_col(text)), "_", " "), F.lit(f"[{_UNSPACED}]+|{_BARE_TOKEN.replace('(', '(?:', 1)}"), F.lit(0))
+
+    def cut(run: Column) -> Column:
+        letters = F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))
+        pairs = F.zip_with(F.slice(letters, 1, F.size(letters) - 1), F.slice(letters, 2, F.size(letters) - 1), lambda a, b: F.concat(a, b))
+        return F.when(F.size(letters) < 2, letters).otherwise(pairs)
+
+    unspaced = lambda t: t.rlike(f"^[{_UNSPACED}]")
+    latin = lambda t: F.regexp_replace(t, "'s$", "")
+    whole = F.flatten(F.transform(found, lambda t: F.when(unspaced(t), cut(t)).otherwise(F.array(latin(t)))))
+    return F.filter(whole, lambda t: unspaced(t) | ((F.length(t) >= 2) & ~t.isin(*ENGLISH_STOPWORDS)))
+
+
+def normalized_query(text: str | Column) -> Column:
+    """The tokens of a query, one space between."""
+    return F.array_join(english_tokens(text), " ")
+
+
+def suggested_values(text: str | Column, most: int = 8) -> Column:
+    """The first distinct words of a query that could be values of a field: punctuation off, letters, digits and _ only, over two characters, no stop word."""
+    words = F.split(F.regexp_replace(F.lower(_col(text)), "[-/]", " "), r"\s+")
+    return F.slice(F.array_distinct(_without(F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")), QUERY_STOPWORDS, 3)), 1, most)
+
+
+def first_text(*texts: str | Column) -> Column:
+    """The first that isn't blank, white space collapsed; empty if there is none."""
+    return F.coalesce(*[F.nullif(collapsed(t), F.lit("")) for t in texts], F.lit(""))
+
+
+def choice(text: str | Column, allowed: tuple[str, ...], fallback: str) -> Column:
+    """The trimmed lower-case text where it is allowed."""
+    c = F.lower(F.trim(_col(text)))
+    return F.when(c.isin(*allowed), c).otherwise(fallback)
+
+
 def normalize_label(text: str | Column) -> Column:
     c = F.lower(F.trim(_col(text)))
     return F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9]+", "_"), r"^_+|_+$", "")

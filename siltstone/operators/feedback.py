@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.text import collapsed, normalize_identifier, normalize_label, query_terms
+from siltstone.functions.text import collapsed, normalize_identifier, normalize_label, suggested_values
 
 # Ranks by which merged requests are decided, and keys hidden in replays.
 PRIORITY = {"low": 1, "medium": 2, "high": 3}
@@ -155,18 +155,17 @@ def synthesized(answers: DataFrame) -> DataFrame:
     by the plan or the judge; else one request from the failed searches; else one from a judgement that isn't satisfied."""
     none = F.array().cast(dict(answers.dtypes)["column_requests"])
     asked = F.concat(F.coalesce("column_requests", none), F.coalesce("judge_requests", none))
-    words = F.slice(query_terms("query"), 1, 3)
+    values = suggested_values("query")
     kind = answers.schema["column_requests"].dataType.elementType
-    told = {"action": F.lit("add_field"), "field_name": F.concat_ws("_", words), "field_type": F.lit("list"), "priority": F.lit("medium"), "suggested_allowed_values": F.slice(F.array_distinct(query_terms("query")), 1, 8), "example_queries": F.array("query")}
+    told = {"action": F.lit("add_field"), "field_name": F.coalesce(F.nullif(F.array_join(F.slice(values, 1, 3), "_"), F.lit("")), F.lit("query_signal")), "field_type": F.lit("list"), "priority": F.lit("medium"), "suggested_allowed_values": values, "example_queries": F.array("query")}
 
     def made(reason: Column, priority: str) -> Column:
         own = told | {"reason": reason, "description": F.concat(F.lit("Signal that makes downstream queries expressible: "), "query"), "priority": F.lit(priority)}
         return F.array(F.struct(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])).cast(answers.schema["column_requests"].dataType)
 
     failed = F.size(F.coalesce("failures", F.array().cast("array<string>"))) > 0
-    named = F.size(words) > 0
-    from_failures = F.when(failed & named, made(F.concat(F.lit("searches failed: "), F.array_join(F.array_distinct("failures"), "; ")), "high"))
-    from_judge = F.when(F.coalesce("needs_cu_feedback", F.lit(False)) & named, made(F.lit("the judge asks for feedback"), "medium"))
+    from_failures = F.when(failed, made(F.concat(F.lit("searches failed: "), F.array_join(F.array_distinct("failures"), "; ")), "high"))
+    from_judge = F.when(F.coalesce("needs_cu_feedback", F.lit(False)), made(F.lit("the judge asks for feedback"), "medium"))
     source = F.when(F.size(asked) > 0, "asked").when(from_failures.isNotNull(), "search_failures").when(from_judge.isNotNull(), "judgement")
     rows = answers.select("ordinal", source.alias("source"), F.coalesce(F.when(F.size(asked) > 0, asked), from_failures, from_judge, none).alias("_r"))
     return rows.select("ordinal", "source", F.explode("_r").alias("_r")).select("ordinal", "source", "_r.*")

@@ -46,14 +46,29 @@ def candidate_details(spec: FieldSpec) -> dict[str, Any]:
     }
 
 
+#: A term is looked for by its first letters, so many at most.
+PIECE = 3
+
+
 def matching_tasks(wanted: DataFrame, tasks: DataFrame, most: int = 6) -> DataFrame:
     """wanted (field_name, terms) and tasks (ordinal, query) -> (field_name, tasks): the first ``most`` tasks whose query holds any of the terms as a
-    substring. A term is looked for in the tasks' distinct three-letter pieces first, so no candidate meets every task."""
-    pieces = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
-    terms = wanted.select("field_name", F.explode("terms").alias("term")).where(F.length("term") > 2).distinct().withColumn("piece", F.substring("term", 1, 3))
-    low = tasks.select("ordinal", F.lower("query").alias("low"))
-    met = low.select("ordinal", "low", F.explode(pieces(F.col("low"))).alias("piece")).join(terms, "piece").where(F.col("low").contains(F.col("term")))
-    hits = met.select("field_name", "ordinal").distinct()
+    substring.
+
+    A term's first three letters are looked for among the distinct three-letter pieces of a query, which stand beside the task's place alone. The terms that
+    meet there are gathered per task (candidates' terms are few, whatever the number of tasks), and the query is read once for all of them: no text is copied, cutting one up is linear
+    in its length, and no candidate meets every task. Terms of under three letters are left out; rows that repeat a place are one task."""
+    letters = F.col("letters")
+    # characters, not places: cutting a piece out of a long text walks to its place
+    shifted = lambda k: F.slice(letters, k + 1, F.greatest(F.size(letters) - (PIECE - 1), F.lit(0)))
+    both = lambda a, b: F.concat(a, b)
+    pieces = F.array_distinct(F.zip_with(F.zip_with(shifted(0), shifted(1), both), shifted(2), both))
+    terms = wanted.select("field_name", F.explode("terms").alias("term")).where(F.length("term") >= PIECE).distinct()
+    low = tasks.where("ordinal is not null and query is not null").select("ordinal", F.lower("query").alias("low"))
+    cut = low.select("ordinal", F.regexp_extract_all("low", F.lit("(?s)."), F.lit(0)).alias("letters")).select("ordinal", F.explode(pieces).alias("piece"))
+    own = terms.select("term").distinct().withColumn("piece", F.substring("term", 1, PIECE))
+    met = cut.join(own, "piece").groupBy("ordinal").agg(F.collect_set("term").alias("may"))
+    said = low.join(met, "ordinal").select("ordinal", F.explode(F.filter("may", lambda t: F.contains("low", t))).alias("term"))
+    hits = said.join(terms, "term").select("field_name", "ordinal").distinct()
     kept = hits.withColumn("_k", F.row_number().over(Window.partitionBy("field_name").orderBy("ordinal"))).where(F.col("_k") <= most)
     return kept.groupBy("field_name").agg(F.array_sort(F.collect_list("ordinal")).alias("tasks"))
 

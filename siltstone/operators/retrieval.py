@@ -7,6 +7,7 @@ matching postings are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,14 +51,15 @@ def query_term_lists(queries: DataFrame, terms: Column) -> list[tuple[Any, list[
     return [(r["query_id"], r["terms"] or []) for r in rows]
 
 
-def bm25(docs: DataFrame, queries: DataFrame, limit: int | None = 10, allowed: DataFrame | None = None, id_col: str = "chunk_id", text: str = "bm25_text") -> DataFrame:
-    """queries (query_id, query; at most MAX_FANOUT) -> (query_id, id, score, matched_terms, rank), scores > 0 only.
+def bm25(docs: DataFrame, queries: DataFrame, limit: int | None = 10, allowed: DataFrame | None = None, id_col: str = "chunk_id", text: str = "bm25_text", tokens: Callable[[str | Column], Column] = english_tokens) -> DataFrame:
+    """queries (query_id, query; at most MAX_FANOUT) -> (query_id, id, score, matched_terms, rank), scores > 0 only. ``tokens`` cuts
+    texts and queries alike.
 
     Each term's contribution is rounded to six places, then summed; ranked by that sum and the id. A document is one row with the tokens that
     any query asks for, so all queries are scored where it is read: only the statistics (one row) and the best hits move."""
-    asked = query_term_lists(queries, english_tokens("query"))
+    asked = query_term_lists(queries, tokens("query"))
     terms = sorted({t for _, ts in asked for t in ts})
-    told = docs.select(id_col, english_tokens(text).alias("tokens")).select(id_col, F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("said"))
+    told = docs.select(id_col, tokens(text).alias("tokens")).select(id_col, F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), F.filter("tokens", lambda t: t.isin(*terms)).alias("said"))
     df_of = [F.count_if(F.array_contains("said", t)) for t in terms]
     stats = told.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.array(*df_of).cast("array<bigint>").alias("df"))
     # no filter on what is said: it would be pushed below, and tokens be taken twice
@@ -128,6 +130,23 @@ def embedding(docs: DataFrame, vector: list[float], limit: int = 10, allowed: Da
     return ranked(scored.withColumn("query_id", F.lit(0)), None, id_col).drop("query_id")
 
 
+def embedding_batch(docs: DataFrame, vectors: list[tuple[Any, list[float]]], limit: int | None = 10, allowed: DataFrame | None = None, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """Cosine of several queries' vectors [(query_id, vector)] with every candidate, in one scan: (query_id, id, rank, score). The queries are one broadcast row."""
+    if len(vectors) > MAX_FANOUT:
+        raise ValueError(f"at most {MAX_FANOUT} queries")
+    one = docs.sparkSession.createDataFrame([([(i, [float(x) for x in v]) for i, v in vectors],)], "_asked array<struct<query_id:int,vector:array<double>>>")
+    out = docs if allowed is None else docs.join(allowed, id_col, "left_semi")
+    each = out.select(id_col, vector_col).crossJoin(F.broadcast(one)).select(id_col, vector_col, F.explode("_asked").alias("q"))
+    return ranked(each.select("q.query_id", id_col, cosine(vector_col, F.col("q.vector")).alias("raw")), limit, id_col)
+
+
+def zipped(first: DataFrame, second: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
+    """Per query, two ranked lists interleaved by rank, the first list ahead, each id once: (query_id, id, rank)."""
+    both = first.select("query_id", id_col, "rank", F.lit(0).alias("src")).unionByName(second.select("query_id", id_col, "rank", F.lit(1).alias("src")))
+    best = both.groupBy("query_id", id_col).agg(F.min(F.struct("rank", "src")).alias("at"))
+    return best.select("query_id", id_col, F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("rank")).where(F.col("rank") <= limit)
+
+
 def zipper(first: DataFrame, second: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
     """Two ranked lists interleaved by rank, the first list ahead; each id once: (id, position)."""
     both = first.select(id_col, "rank", F.lit(0).alias("src")).unionByName(second.select(id_col, "rank", F.lit(1).alias("src")))

@@ -7,16 +7,22 @@ import re
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
-from typing import Any, Protocol
+from functools import partial
+from typing import TYPE_CHECKING, Any, Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import snippet
 from siltstone.operators import aggregates, filters, retrieval
-from siltstone.plans.planner import HeuristicPlanner, Plan, Planner, Request, Step, terms_of
+from siltstone.operators.search_index import SearchIndex
+from siltstone.plans.concurrent import together
+from siltstone.plans.planner import HeuristicPlanner, Plan, Planner, Request, Step, terms_of, values_of
 from siltstone.schemas import Catalog
 
+if TYPE_CHECKING:
+    from siltstone.plans.model import SearchCall
+
 
 class EmbeddingClient(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
@@ -29,7 +35,8 @@ class Judge(Protocol):
 @dataclass
 class Corpus:
     """Silver rows (call_id, ordinal, account_name, fields, evidence_refs), chunks (chunk_id, call_id, text) and the catalog.
-    Search documents are built once; ``vectors`` (chunk_id, embedding) and a client are needed for embedding search only."""
+    Search documents are built once; ``vectors`` (chunk_id, embedding) and a client are needed for embedding search only. ``mode`` is how
+    the general search tools search where a step doesn't say; ``index`` answers BM25 in place of a scan of the documents."""
 
     silver: DataFrame
     chunks: DataFrame
@@ -37,6 +44,8 @@ class Corpus:
     vectors: DataFrame | None = None
     client: EmbeddingClient | None = None
     controller: Callable[[dict[str, Any]], str] | None = None
+    mode: str = "bm25"
+    index: SearchIndex | None = None
     _docs: DataFrame | None = None
 
     @property
@@ -46,6 +55,36 @@ class Corpus:
             self._docs = retrieval.search_documents(self.chunks, self.silver, names).cache()
         return self._docs
 
+    def hits(self, tool: str, mode: str | None, asked: list[str], limit: int, allowed: DataFrame | None = None) -> DataFrame:
+        """(query_id, chunk_id, rank, score, matched_terms) of all queries in one job, by the tool that was asked for; query_id is the place in ``asked``. What isn't
+        scored by terms has no matched_terms, and a hybrid list has no score."""
+        q = self.silver.sparkSession.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+        how = routed(tool, mode or self.mode)
+        if how == "lexical":
+            out = retrieval.lexical(self.chunks if allowed is None else self.chunks.join(allowed, "chunk_id", "left_semi"), q, limit)
+        elif how == "bm25":
+            out = self._bm25(q, limit, allowed)
+        else:
+            if self.client is None or self.vectors is None:
+                raise ValueError("no embeddings in this corpus")
+            out = retrieval.embedding_batch(self.vectors, list(enumerate(self.client.embed(asked))), limit, allowed)
+            if how == "hybrid":
+                out = retrieval.zipped(self._bm25(q, limit, allowed), out, limit)
+        have = lambda c, kind: F.col(c) if c in out.columns else F.lit(None).cast(kind)
+        return out.select("query_id", "chunk_id", "rank", have("score", "double").alias("score"), have("matched_terms", "array<string>").alias("matched_terms"))
+
+    def _bm25(self, q: DataFrame, limit: int, allowed: DataFrame | None) -> DataFrame:
+        return retrieval.bm25(self.documents, q, limit, allowed) if self.index is None else self.index.search(q, limit, allowed)
+
+
+def routed(tool: str, mode: str | None) -> str:
+    """How a search tool searches: the embedding tool always by vectors, BM25 unless the mode asks for vectors, the plain one in the mode's way."""
+    if tool == "embedding_search_chunks" or mode == "embedding":
+        return "embedding"
+    if mode == "hybrid":
+        return "hybrid"
+    return "lexical" if mode == "lexical" and tool == "search_chunks" else "bm25"
+
 
 @dataclass
 class State:
@@ -61,7 +100,7 @@ class State:
 
 @dataclass
 class Guard:
-    """Stops a run after consecutive errors or seconds; the first reason sticks."""
+    """Stops a run after consecutive errors (0: any number) or seconds; the first reason sticks."""
 
     max_errors: int = 3
     max_seconds: float | None = None
@@ -71,11 +110,11 @@ class Guard:
 
     def saw(self, ok: bool) -> None:
         self.errors = 0 if ok else self.errors + 1
-        if self.reason is None and self.errors >= self.max_errors:
+        if self.reason is None and 0 < self.max_errors <= self.errors:
             self.reason = "max_errors"
 
     def stopped(self) -> bool:
-        if self.reason is None and self.max_seconds is not None and time.monotonic() - self.began > self.max_seconds:
+        if self.reason is None and self.max_seconds is not None and time.monotonic() - self.began >= self.max_seconds:
             self.reason = "timeout"
         return self.reason is not None
 
@@ -141,7 +180,7 @@ class Agent:
             verdict = self.judge.judge(plan, state)
             if verdict["success"] or self.guard.stopped() or k + 1 == self.max_iterations or not hasattr(self.planner, "replan"):
                 break
-            plan = self.planner.replan(query, catalog, {"judgement": verdict, "records": list(state.records)[:10], "chunks": list(state.chunks)[:8]})
+            plan = self.planner.replan(query, catalog, {"judgement": verdict, "records": list(state.records)[:10], "chunks": list(state.chunks)[:8], "failures": state.failures})
         if self.guard.reason:
             verdict = verdict | {"success": False, "needs_cu_feedback": True, "failure_modes": [*verdict["failure_modes"], f"guardrail:{self.guard.reason}"]}
         return {"query": query, "plan": plan, "answer": self._text(plan, state), "records": list(state.records.values()), "aggregation": state.aggregation, "evidence": state.evidence, "column_requests": state.requests, "judgement": verdict, "trace": state.trace}
@@ -162,16 +201,16 @@ class Agent:
     def _step(self, step: Step, query: str, plan: Plan, state: State) -> str:
         a, c = step.arguments, self.corpus
         if step.tool == "query_silver":
-            rows = [r.asDict(recursive=True) for r in self._matching(a.get("filters"), retrieval.bounded_limit(a.get("limit"), 50)).collect()]
+            rows = [r.asDict(recursive=True) for r in self._matching(a.get("filters", plan.filters), retrieval.bounded_limit(a.get("limit"), 50)).collect()]
             for r in rows:
                 state.records.setdefault(r["call_id"], r)
             return f"{len(rows)} records"
         if step.tool == "aggregate_silver":
-            got = aggregates.aggregate_silver(self._matching(a.get("filters")), c.catalog, a.get("group_by"), a.get("expression"))
+            got = aggregates.aggregate_silver(self._matching(a.get("filters", plan.filters)), c.catalog, a.get("group_by"), a.get("expression"))
             state.aggregation, state.used_fields = as_result(got), got.used_fields
             return f"{len(state.aggregation)} groups"
         if step.tool in ("search_chunks", "bm25_search_chunks", "embedding_search_chunks"):
-            return self._search(step, query, state)
+            return self._search(step, query, plan, state)
         if step.tool == "fetch_chunks":
             return self._fetch(retrieval.bounded_limit(a.get("limit"), 8), state, list(a.get("refs") or ()), plan)
         if step.tool == "review_schema_gaps":
@@ -179,44 +218,41 @@ class Agent:
             return f"{len(state.requests)} requests"
         raise ValueError(f"tool not allowed: {step.tool}")
 
-    def _search(self, step: Step, query: str, state: State) -> str:
-        """One query or a fan-out: always one batched job."""
+    def _search(self, step: Step, query: str, plan: Plan, state: State) -> str:
+        """One query or a fan-out, one job a tool: every query is searched by the tool that was asked for, among the calls that the filters leave."""
         a, c = step.arguments, self.corpus
         limit = retrieval.bounded_limit(a.get("limit"), 10)
-        asked = retrieval.diverse(list(a.get("queries") or [a.get("query") or query]))
-        allowed = c.documents.join(self._matching(a["filters"]).select("call_id"), "call_id", "left_semi").select("chunk_id") if a.get("filters") else None
-        if a.get("mode") == "agentic":
-            asked = self._searched(asked[0])
-        q = c.silver.sparkSession.createDataFrame(list(enumerate(asked)), "query_id int, query string")
-        if step.tool == "embedding_search_chunks" or a.get("mode") in ("embedding", "hybrid"):
-            if c.client is None or c.vectors is None:
-                raise ValueError("no embeddings in this corpus")
-            hits = retrieval.embedding(c.vectors, c.client.embed([asked[0]])[0], limit, allowed).withColumn("query_id", F.lit(0))
-            if a.get("mode") == "hybrid":
-                first = retrieval.bm25(c.documents, q.where("query_id = 0"), limit, allowed)
-                hits = retrieval.zipper(first, hits, limit).withColumnRenamed("position", "rank").withColumn("query_id", F.lit(0)).withColumn("score", F.lit(None).cast("double"))
-        elif a.get("mode") == "lexical":
-            hits = retrieval.lexical(c.chunks if allowed is None else c.chunks.join(allowed, "chunk_id", "left_semi"), q, limit)
+        asked = retrieval.diverse([str(q) for q in a.get("queries") or () if str(q).strip()] or [a.get("query") or query])
+        given = a.get("filters", plan.filters)
+        allowed = c.documents.join(self._matching(given).select("call_id"), "call_id", "left_semi").select("chunk_id") if given else None
+        if a.get("mode", c.mode) == "agentic":
+            calls = self._searched(asked, limit, allowed)
+            asked = [call.query for call in calls]
+            told = [(k, str(h["chunk_id"]), h["rank"], h["score"]) for k, call in enumerate(calls) for h in call.hits]
+            hits = c.silver.sparkSession.createDataFrame(told, "query_id int, chunk_id string, rank int, score double").withColumn("chunk_id", F.col("chunk_id").cast(c.chunks.schema["chunk_id"].dataType))
         else:
-            hits = retrieval.bm25(c.documents, q, limit, allowed)
+            hits = c.hits(step.tool, a.get("mode"), asked, limit, allowed)
         rows = hits.join(c.chunks.select("chunk_id", "call_id", snippet("text").alias("snippet")), "chunk_id").orderBy("query_id", "rank").select("query_id", "chunk_id", "call_id", "snippet", "score", "rank").collect()
         for k, text in enumerate(asked):
             if not any(r["query_id"] == k for r in rows):
                 state.failures.append({"tool": step.tool, "query": text, "query_terms": terms_of(text), "failure_reason": "no chunks matched"})
         for r in rows:
             state.chunks.setdefault(r["chunk_id"], r.asDict())
-        if a.get("promote_records") and rows:
+        if (a.get("promote_records") or plan.operation == "search") and rows:
             for r in retrieval.records_for(hits, c.chunks, c.silver).limit(limit).collect():
                 state.records.setdefault(r["call_id"], r.asDict(recursive=True))
         return f"{len(rows)} chunks for {len(asked)} queries"
 
-    def _searched(self, query: str) -> list[str]:
-        """The queries that a retrieval agent asks, led by the corpus' controller where it has one."""
+    def _searched(self, asked: list[str], limit: int, allowed: DataFrame | None) -> list[SearchCall]:
+        """The searches of a retrieval agent per question, led by the corpus' controller where it has one, each by the tool that it names. Questions
+        run side by side and come back in their order."""
         from siltstone.plans.model import RetrievalAgent
 
-        one = lambda text: self.corpus.silver.sparkSession.createDataFrame([(0, text)], "query_id int, query string")
-        look = lambda tool, text: retrieval.bm25(self.corpus.documents, one(text), 10)
-        return retrieval.diverse([call.query for call in RetrievalAgent(look, self.corpus.controller, least=2).run(query)])
+        mode = "lexical"  # for the plain tool: the other two name their own way
+        look = lambda tool, text: self.corpus.hits(tool, mode, [text], limit, allowed)
+        tools = ("bm25_search_chunks", "search_chunks", *(["embedding_search_chunks"] if self.corpus.client is not None else []))
+        run = lambda text: RetrievalAgent(look, self.corpus.controller, least=2, tools=tools).run(text)
+        return [call for calls in together(self.corpus.silver.sparkSession, [partial(run, text) for text in asked]) for call in calls]
 
     def _fetch(self, limit: int, state: State, given: list[str], plan: Plan) -> str:
         """Chunks by the refs given, else those of the records, else of the rows that were aggregated, else of the chunks found."""
@@ -245,7 +281,7 @@ def gaps(query: str, plan: Plan, state: State, catalog: Catalog) -> list[Request
     )
     if why is None:
         return []
-    words = list(dict.fromkeys(terms_of(query)))
-    name = re.sub("[^a-z0-9]+", "_", "_".join(words[:3])) or "requested_signal"
+    words = values_of(query, state.failures)
+    name = re.sub("[^a-z0-9]+", "_", "_".join(words[:3])).strip("_") or "query_signal"
     action = "improve_extraction" if empty_filter or name in catalog.fields else "add_field"
-    return [Request(action, name, "list", f"Signal that makes downstream queries expressible: {query}", why, "high" if state.chunks else "medium", tuple(words[:8]), (query,), tuple(f"chunk:{c}" for c in list(state.chunks)[:3]))]
+    return [Request(action, name, "list", f"Signal that makes downstream queries expressible: {query}", why, "high" if state.chunks else "medium", tuple(words), (query,), tuple(f"chunk:{c}" for c in list(state.chunks)[:3]))]

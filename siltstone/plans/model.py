@@ -8,6 +8,7 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -18,10 +19,13 @@ from siltstone.operators.tasks import bootstrap
 from siltstone.operators.validation import parse_object
 from siltstone.plans import planner as pl
 from siltstone.plans.agent import HeuristicJudge, State
+from siltstone.plans.concurrent import together
 from siltstone.schemas import Catalog, FieldSpec, validate_specs
 
 Client = Callable[[dict[str, Any]], str]
 CONFIDENCE = ("low", "medium", "high")
+#: What a record has besides its fields.
+RECORD_KEYS = ("call_id", "ordinal", "account_name", "customer_id", "date", "metadata", "evidence_refs", "quality_flags")
 
 # ---- prompts ---------------------------------------------------------------------------------------------
 
@@ -102,7 +106,7 @@ class ModelPlanner:
         return self._ask(query, catalog)
 
     def replan(self, query: str, catalog: Catalog, observation: dict[str, Any]) -> pl.Plan:
-        return self._ask(query, catalog, observation=compacted(observation))
+        return self._ask(query, catalog, observation=compacted(replan_view(observation)))
 
 
 def compacted(value: Any, items: int = 8, chars: int = 400) -> Any:
@@ -114,6 +118,41 @@ def compacted(value: Any, items: int = 8, chars: int = 400) -> Any:
     return value if not isinstance(value, str) or len(value) <= chars else value[: chars - 3] + "..."
 
 
+# What a model is shown of each kind of thing: fixed sets of keys, and how many of them.
+
+
+def _keys(items: list[dict[str, Any]], keys: tuple[str, ...]) -> list[dict[str, Any]]:
+    return [{k: i.get(k) for k in keys} for i in items]
+
+
+def record_view(records: list[dict[str, Any]], fields: tuple[str, ...], most: int = 12) -> list[dict[str, Any]]:
+    """Records with their fields together, the first ``most``."""
+    return [{**{k: r.get(k) for k in ("call_id", "account_name", "date")}, "fields": {f: r[f] for f in fields if f in r}, "quality_flags": r.get("quality_flags") or []} for r in records[:most]]
+
+
+def evidence_view(evidence: list[dict[str, Any]], most: int = 8) -> list[dict[str, Any]]:
+    return [e | {"matched_terms": e["matched_terms"] or []} for e in _keys(evidence[:most], ("chunk_id", "call_id", "snippet", "matched_terms"))]
+
+
+def field_view(catalog: Catalog, most_values: int = 16) -> list[dict[str, Any]]:
+    return [{"name": s.name, "type": s.type, "description": s.description, "allowed_values": list(s.allowed_values[:most_values]), "filterable": s.filterable, "aggregatable": s.aggregatable} for s in catalog.fields.values()]
+
+
+def search_view(calls: list[dict[str, Any]], most: int = 6, shown: int = 3) -> list[dict[str, Any]]:
+    """The last ``most`` searches, each with its first chunks."""
+    return [{"tool": c.get("tool"), "query": c.get("query"), "result_count": len(c.get("chunks") or ()), "missing_terms": list(c.get("missing") or ()), "failure_reason": c.get("failure_reason") or "", "top_chunks": list(c.get("chunks") or ())[:shown]} for c in calls[-most:]]
+
+
+def judgement_view(judgement: dict[str, Any]) -> dict[str, Any]:
+    return {k: judgement.get(k) for k in ("judge", "answerable", "evidence_sufficient", "success", "needs_cu_feedback", "confidence", "failure_modes", "metrics")}
+
+
+def replan_view(observation: dict[str, Any], most: int = 4) -> dict[str, Any]:
+    """What a planner that plans again is shown: how the last plan was judged, how much it found, and some of what failed and of what was asked for."""
+    told = judgement_view(observation.get("judgement") or {})
+    return {"failure_modes": told["failure_modes"] or [], "success": told["success"], "counts": {k: len(observation.get(k) or ()) for k in ("records", "chunks")}, "column_requests": list((observation.get("judgement") or {}).get("missing_field_requests") or ())[:most], "search_failures": list(observation.get("failures") or ())[:most]}
+
+
 class NoopJudge:
     """Says that nothing was judged."""
 
@@ -130,7 +169,7 @@ class ModelJudge:
     def judge(self, plan: pl.Plan, state: State) -> dict[str, Any]:
         ruled = self.fallback.judge(plan, state)
         try:
-            said = parse_object(response_text(self.client({"prompt": PROMPTS["judge"].render(query=plan.query), **PROMPTS["judge"].metadata(), "plan": asdict(plan), "state": compacted({"records": list(state.records.values()), "evidence": state.evidence, "aggregation": state.aggregation, "failures": state.failures})})))
+            said = parse_object(response_text(self.client({"prompt": PROMPTS["judge"].render(query=plan.query), **PROMPTS["judge"].metadata(), "plan": asdict(plan), "state": compacted({"records": record_view(list(state.records.values()), tuple({k: None for r in state.records.values() for k in r if k not in RECORD_KEYS})), "evidence": evidence_view(state.evidence), "aggregation": state.aggregation, "failures": state.failures[-8:]}, items=12)})))
         except Exception:  # noqa: BLE001
             return ruled | {"judge": f"{self.name}->fallback:heuristic"}
         flags = {k: said[k] if isinstance(said.get(k), bool) else ruled[k] for k in ("answerable", "evidence_sufficient", "success")}
@@ -180,14 +219,15 @@ class SearchCall:
     query: str
     chunks: list[str]
     missing: list[str] = field(default_factory=list)
+    hits: list[dict[str, Any]] = field(default_factory=list, repr=False)
 
 
 class RetrievalAgent:
     """Searches until a controller is content, at least ``least`` and at most ``most`` times. A search that says what an earlier one of the same tool said is
     refused; below ``least`` it is replaced by one for the terms that nothing has matched yet."""
 
-    def __init__(self, search: Callable[[str, str], DataFrame], client: Client | None = None, least: int = 1, most: int = 4, alike: float = 0.8):
-        self.search, self.client, self.least, self.most, self.alike = search, client, least, most, alike
+    def __init__(self, search: Callable[[str, str], DataFrame], client: Client | None = None, least: int = 1, most: int = 4, alike: float = 0.8, tools: tuple[str, ...] = pl.SEARCH_TOOLS):
+        self.search, self.client, self.least, self.most, self.alike, self.tools = search, client, least, most, alike, tools
 
     def _diverse(self, calls: list[SearchCall], tool: str, query: str) -> bool:
         return bool(query.strip()) and len(retrieval.diverse([*(c.query for c in calls if c.tool == tool), query], most=len(calls) + 2, alike=self.alike)) > len([c for c in calls if c.tool == tool])
@@ -196,11 +236,11 @@ class RetrievalAgent:
         if self.client is None:
             return None
         try:
-            said = parse_object(response_text(self.client({"prompt": PROMPTS["search"].render(query=query), **PROMPTS["search"].metadata(), "query": query, "calls": compacted([asdict(c) for c in calls], 6)})))
+            said = parse_object(response_text(self.client({"prompt": PROMPTS["search"].render(query=query), **PROMPTS["search"].metadata(), "query": query, "tools": list(self.tools), "calls": search_view([asdict(c) for c in calls])})))
         except Exception:  # noqa: BLE001
             return None
         tool = said.get("tool", "bm25_search_chunks")
-        return None if said.get("done") or tool not in pl.SEARCH_TOOLS else (tool, str(said.get("query", "")))
+        return None if said.get("done") or tool not in self.tools else (tool, str(said.get("query", "")))
 
     def run(self, query: str) -> list[SearchCall]:
         calls: list[SearchCall] = []
@@ -209,13 +249,13 @@ class RetrievalAgent:
             tool, text = asked
             hits = [r.asDict() for r in self.search(tool, text).collect()]
             matched = {t for h in hits for t in h.get("matched_terms") or ()}
-            calls.append(SearchCall(tool, text, [str(h["chunk_id"]) for h in hits], [t for t in pl.terms_of(text) if t not in matched][:8]))
+            calls.append(SearchCall(tool, text, [str(h["chunk_id"]) for h in hits], [t for t in pl.terms_of(text) if t not in matched][:8], hits))
             asked = self._proposed(query, calls)
             if asked and not self._diverse(calls, *asked):
                 asked = None
             if asked is None and len(calls) < self.least:
                 rest = " ".join(dict.fromkeys(t for c in calls for t in c.missing))
-                asked = next(((t, rest) for t in pl.SEARCH_TOOLS[1::-1] if self._diverse(calls, t, rest)), None)
+                asked = next(((t, rest) for t in ("bm25_search_chunks", "search_chunks") if self._diverse(calls, t, rest)), None)
         return calls
 
 
@@ -223,15 +263,15 @@ def branch_id(tool: str, query: str) -> str:
     return f"branch-{hashlib.sha256(f'{tool}|{" ".join(query.lower().split())}'.encode()).hexdigest()[:12]}"
 
 
-def branches(agent: RetrievalAgent, queries: list[str], chunks: DataFrame) -> dict[str, list[str]]:
-    """One branch per diverse query: its stable id and the chunks it found, by first hit. A branch that names a chunk the corpus doesn't have is an error."""
-    out: dict[str, list[str]] = {}
-    for q in retrieval.diverse(queries):
-        found = list(dict.fromkeys(i for c in agent.run(q) for i in c.chunks))
-        spark = chunks.sparkSession
-        if found and (strange := [r[0] for r in retrieval.unknown_chunks(spark.createDataFrame([(i,) for i in found], "chunk_id string"), chunks.selectExpr("cast(chunk_id as string) as chunk_id")).collect()]):
-            raise ValueError(f"a branch names unknown chunks: {sorted(strange)}")
-        out[branch_id("bm25_search_chunks", q)] = found
+def branches(agent: RetrievalAgent, queries: list[str], chunks: DataFrame, at_once: int = 8) -> dict[str, list[str]]:
+    """One branch per diverse query, up to ``at_once`` side by side, in the queries' order: its stable id and the chunks it found, by first hit. A branch that names a
+    chunk the corpus doesn't have is an error."""
+    asked, spark = retrieval.diverse(queries), chunks.sparkSession
+    runs = together(spark, [partial(agent.run, q) for q in asked], at_once)
+    out = {branch_id("bm25_search_chunks", q): list(dict.fromkeys(i for c in calls for i in c.chunks)) for q, calls in zip(asked, runs)}
+    named = sorted({i for found in out.values() for i in found})
+    if named and (strange := [r[0] for r in retrieval.unknown_chunks(spark.createDataFrame([(i,) for i in named], "chunk_id string"), chunks.selectExpr("cast(chunk_id as string) as chunk_id")).collect()]):
+        raise ValueError(f"a branch names unknown chunks: {sorted(strange)}")
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
@@ -83,6 +84,13 @@ def terms_of(text: str) -> list[str]:
     return [t for t in re.findall("[a-z0-9]+", text.lower().replace("_", " ")) if len(t) > 2 and t not in QUERY_STOPWORDS]
 
 
+def values_of(text: str, failures: Iterable[dict[str, Any]] = (), most: int = 8) -> list[str]:
+    """The rule of ``suggested_values`` on the driver, for a question; terms of failed searches come first."""
+    words = [t for f in failures for t in (*f.get("missing_terms", ()), *f.get("query_terms", ()))] + re.sub("[-/]", " ", text.lower()).split()
+    cleaned = (re.sub(r"[^\w]", "", str(w).lower()) for w in words)
+    return list(dict.fromkeys(w for w in cleaned if len(w) > 2 and w not in QUERY_STOPWORDS))[:most]
+
+
 def default_steps(p: Plan) -> tuple[Step, ...]:
     ends = (Step("fetch_chunks", {"limit": 8}), Step("review_schema_gaps"))
     look = lambda limit, filters=None, **more: Step("bm25_search_chunks", {"query": p.query, "filters": filters or {}, "limit": limit, **more})

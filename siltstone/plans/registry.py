@@ -8,14 +8,17 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import tables
 from siltstone.functions import text as tx
 from siltstone.operators import aggregates, chunking, feedback, filters, inference, negotiation, retrieval, tasks
 from siltstone.operators import silver as sv
 from siltstone.operators.search_index import SearchIndex
 from siltstone.plans import agent, loop, planner, views
+from siltstone.plans.batches import Batches
+from siltstone.plans.tracing import Tracer
 from siltstone.plans.views import CHUNKS_SQL, SILVER, SILVER_SQL, tokens_sql
 from siltstone.schemas import Catalog, FieldSpec
-from siltstone.sources import calls
+from siltstone.sources import calls, variants
 from siltstone.sources.shared import shared_folder, state_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,9 +317,11 @@ _LEX_SET_SQL = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z
 
 def _alike(spark: SparkSession, d: str) -> DataFrame:
     """Each document with the next one of its language, by their terms."""
-    docs = views.documents(spark, d).select("call_id", "ordinal", "lang", tx.lexical_terms("text").alias("terms"))
-    pairs = docs.withColumn("other", F.lead(F.struct("call_id", "terms")).over(Window.partitionBy("lang").orderBy("ordinal"))).where("other is not null")
-    return pairs.select("call_id", F.col("other.call_id").alias("other_id"), F.round(tx.jaccard(F.col("terms"), F.col("other.terms")), 9).alias("score"))
+    docs = views.documents(spark, d)
+    pairs = docs.select("call_id", F.lead("call_id").over(Window.partitionBy("lang").orderBy("ordinal")).alias("other_id")).where("other_id is not null")
+    terms = docs.select("call_id", tx.lexical_terms("text").alias("terms"))
+    both = pairs.join(terms, "call_id").join(terms.select(F.col("call_id").alias("other_id"), F.col("terms").alias("other")), "other_id")
+    return both.select("call_id", "other_id", F.round(tx.jaccard(F.col("terms"), F.col("other")), 9).alias("score"))
 
 
 add("jaccard_pairs", _alike, f"WITH t AS (SELECT doc_id, lang, {_LEX_SET_SQL} AS terms FROM documents), p AS (SELECT doc_id, terms, lead(doc_id) OVER w AS o, lead(terms) OVER w AS ot FROM t WINDOW w AS (PARTITION BY lang ORDER BY doc_id)) SELECT CAST(doc_id AS VARCHAR) AS call_id, CAST(o AS VARCHAR) AS other_id, round(CASE WHEN len(list_distinct(list_concat(terms, ot))) > 0 THEN CAST(len(list_intersect(terms, ot)) AS DOUBLE) / len(list_distinct(list_concat(terms, ot))) ELSE 0 END, 9) AS score FROM p WHERE o IS NOT NULL")
@@ -355,7 +360,7 @@ add("usage_deltas", lambda s, d: feedback.usage_deltas(views.table(s, d, "events
 add("last_entries", lambda s, d: feedback.last_entries(views.table(s, d, "events").select("user_id", "event_id"), "user_id", "event_id", 6), "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 6")
 add("failures_by_reason", lambda s, d: feedback.distinct_failures(views.table(s, d, "events").select(F.col("event_id").alias("ordinal"), F.when(F.col("user_id") % 5 > 0, F.concat("event_type", F.lit(" "), F.col("user_id") % 5)).otherwise(" ").alias("reason"))).select("reason", "ordinal"), "SELECT event_type || ' ' || (user_id % 5) AS reason, min(event_id) AS ordinal FROM events WHERE user_id % 5 > 0 GROUP BY 1")
 add("field_candidates", lambda s, d: negotiation.candidates(_reports(s, d), _wishes(s, d)).select("field_name", "source", "support", "uncertain", "decision"), "WITH r AS (SELECT p_name AS field_name, max(p_size) % 7 AS s FROM part WHERE p_size > 10 GROUP BY 1), w AS (SELECT p_name AS field_name, count(*) AS n FROM part WHERE p_size % 3 = 0 GROUP BY 1) SELECT field_name, CASE WHEN r.s IS NULL THEN 'feedback' WHEN n IS NULL THEN 'schema' ELSE 'schema+feedback' END AS source, CAST(coalesce(r.s, 0) AS BIGINT) AS support, r.s IS NULL OR r.s = 0 AS uncertain, CASE WHEN r.s IS NULL OR r.s = 0 THEN 'human_review' WHEN r.s >= 3 THEN 'promote' ELSE 'retrieval_only' END AS decision FROM r FULL JOIN w USING (field_name)")
-add("candidate_tasks", lambda s, d: negotiation.matching_tasks(views.table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("field_name"), F.slice(tx.query_terms("text"), 1, 3).alias("terms")), views.table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("ordinal"), F.col("text").alias("query"))).select("field_name", F.array_join(F.transform("tasks", lambda x: x.cast("string")), ",").alias("tasks")), f"WITH c AS (SELECT CAST(item_id AS VARCHAR) AS field_name, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN {_QUERY_STOP})[1:3]) AS term FROM benchmark), d AS (SELECT doc_id, lower(text) AS low FROM documents WHERE lang = 'en'), h AS (SELECT DISTINCT field_name, doc_id FROM c JOIN d ON contains(low, term)), k AS (SELECT *, row_number() OVER (PARTITION BY field_name ORDER BY doc_id) AS k FROM h) SELECT field_name, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS tasks FROM k WHERE k <= 6 GROUP BY 1")
+add("candidate_tasks", lambda s, d: negotiation.matching_tasks(views.table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("field_name"), tx.query_terms("text").alias("terms")), views.table(s, d, "documents").select(F.col("doc_id").alias("ordinal"), F.col("text").alias("query"))).select("field_name", F.array_join(F.transform("tasks", lambda x: x.cast("string")), ",").alias("tasks")), f"WITH c AS (SELECT CAST(item_id AS VARCHAR) AS field_name, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN {_QUERY_STOP})) AS term FROM benchmark), d AS (SELECT doc_id, lower(text) AS low FROM documents), m AS (SELECT DISTINCT doc_id, term FROM (SELECT DISTINCT term FROM c) JOIN d ON contains(low, term)), h AS (SELECT DISTINCT field_name, doc_id FROM c JOIN m USING (term)), k AS (SELECT *, row_number() OVER (PARTITION BY field_name ORDER BY doc_id) AS k FROM h) SELECT field_name, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS tasks FROM k WHERE k <= 6 GROUP BY 1")
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
@@ -405,3 +410,83 @@ def _demo(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("loop_demo", _demo)
+
+# ---- small text rules, scripts without spaces --------------------------------------------------
+
+_text("normalized_query", lambda: tx.normalized_query("text"), f"array_to_string({tokens_sql('text')}, ' ')")
+_WORDS_SQL = r"list_transform(regexp_split_to_array(regexp_replace(lower(text), '[-/]', ' ', 'g'), '\s+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}_]', '', 'g'))"
+add("suggested_values", lambda s, d: views.documents(s, d).select("chunk_id", F.array_join(tx.suggested_values("text"), " ").alias("value")), f"WITH w AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM w), f AS (SELECT doc_id, w, min(p) AS p FROM u WHERE length(w) >= 3 AND w NOT IN {_QUERY_STOP} GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM f) SELECT documents.doc_id AS chunk_id, coalesce(string_agg(w, ' ' ORDER BY p), '') AS value FROM documents LEFT JOIN (SELECT * FROM k WHERE k <= 8) k ON k.doc_id = documents.doc_id GROUP BY 1")
+add("first_text", lambda s, d: views.table(s, d, "events").select("event_id", tx.first_text(F.when(F.col("event_id") % 3 == 0, F.lit("  ")).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" a  "), "event_type")), "props").alias("text"), tx.choice(F.concat(F.lit(" "), F.upper("event_type")), ("click", "view"), "other").alias("choice")), "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'a ' || event_type ELSE props END AS text, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS choice FROM events")
+_KANA = ("aeiou", "あえいおう")
+_UNSPACED_SQL = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー々]"
+_CUT_SQL = f"CASE WHEN NOT regexp_matches(t, '^{_UNSPACED_SQL}') THEN [regexp_replace(t, '''s$', '')] WHEN length(t) < 2 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: t[i:i + 1]) END"
+add(
+    "script_tokens",
+    lambda s, d: views.documents(s, d).select("chunk_id", F.array_join(tx.script_tokens(F.translate(F.lower("text"), *_KANA)), " ").alias("value")),
+    f"SELECT doc_id AS chunk_id, array_to_string(list_filter(flatten(list_transform(regexp_extract_all(replace(translate(lower(text), '{_KANA[0]}', '{_KANA[1]}'), '_', ' '), '{_UNSPACED_SQL}+|[a-z0-9]+(?:''[a-z]+)?'), lambda t: {_CUT_SQL})), lambda t: regexp_matches(t, '^{_UNSPACED_SQL}') OR (length(t) >= 2 AND t NOT IN {views.STOP_SQL})), ' ') AS value FROM documents",
+)
+
+# ---- several queries by vectors, typed JSON, table functions -----------------------------------
+
+
+def _three(spark: SparkSession, d: str) -> list[tuple[int, list[float]]]:
+    return [(r["vec_id"], list(r["embedding"])) for r in views.table(spark, d, "embeddings").where("vec_id < 3").collect()]
+
+
+_BATCH_SQL = "SELECT CAST(query_id AS INTEGER) AS query_id, chunk_id, round(c, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 3) q)) WHERE rank <= 10"
+add("cosine_batch_fanout", lambda s, d: retrieval.embedding_batch(_vectors(s, d), _three(s, d), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank")), _BATCH_SQL)
+add("hybrid_batch_fanout", lambda s, d: retrieval.zipped(retrieval.bm25(views.documents(s, d), _queries(s), 10), retrieval.embedding_batch(_vectors(s, d), _three(s, d), 10), 12).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank")), f"WITH a AS ({_bm25_sql(_Q, 10)}), b AS ({_BATCH_SQL}), u AS (SELECT query_id, chunk_id, rank * 2 AS place FROM a UNION ALL SELECT query_id, chunk_id, rank * 2 + 1 FROM b), m AS (SELECT query_id, chunk_id, min(place) AS place FROM u GROUP BY 1, 2) SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM m) WHERE rank <= 12")
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The events' property as a number, as text, as a list, as null, left out, in what is no JSON, or as a flag."""
+    k = F.get_json_object("props", "$.k")
+    forms = [F.concat(F.lit('{"k": '), k, F.lit("}")), F.concat(F.lit('{"k": "'), k, F.lit('"}')), F.concat(F.lit('{"k": ['), k, F.lit("]}")), F.lit('{"k": null}'), F.lit("{}"), F.concat(F.lit("{k"), k), F.lit('{"k": true}')]
+    rows = views.table(spark, d, "events").select("event_id", variants.parsed(F.element_at(F.array(*forms), (F.col("event_id") % 7 + 1).cast("int"))).alias("v"))
+    return variants.silver_rows(rows, "v", {"k": "$.k"}, ("event_id",))
+
+
+add("variant_fields", lambda s, d: _mixed(s, d).select("event_id", "k.kind", "k.number", "k.string", "k.flag", "k.json", variants.compared("k", ">=", 50).alias("high")), """WITH e AS (SELECT event_id, event_id % 7 AS f, json_extract_string(props, '$.k') AS k FROM events)
+    SELECT event_id, ['number', 'string', 'array', 'null', 'missing', 'missing', 'boolean'][f + 1] AS kind, CASE WHEN f = 0 THEN CAST(k AS DOUBLE) END AS number, CASE WHEN f = 1 THEN k END AS string, CASE WHEN f = 6 THEN true END AS flag, CASE WHEN f = 2 THEN '[' || k || ']' END AS json, f = 0 AND CAST(k AS DOUBLE) >= 50 AS high FROM e""")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    tables.register_all(spark)
+    return spark.sql("SELECT chunk_id, speakers, text FROM pack_turns(TABLE({turns}))", turns=views.turns(spark, d).select("call_id", "turn_index", "speaker", "text"))
+
+
+add("chunk_rows_udtf", _packed, SQL["chunk_rows"])
+
+# ---- runs in batches, traces -------------------------------------------------------------------
+
+
+def _batched(spark: SparkSession, d: str) -> DataFrame:
+    """The themes of ``keyword_extract_list`` in four batches; the run is stopped after the second and taken up again."""
+    docs = views.documents(spark, d)
+    size = -(-docs.count() // 4)
+
+    def work(calls: DataFrame) -> DataFrame:
+        own = calls.select("call_id", "ordinal", F.col("text").alias("transcript"), F.array(F.struct(F.lit(1).alias("turn_index"), F.lit("u").alias("speaker"), "text")).alias("turns"))
+        chunks = calls.select("call_id", F.lit(1).alias("chunk_index"), F.col("call_id").alias("chunk_id"), "text")
+        return sv.extract(own, chunks, [sv.list_row("theme", 0, _RULES)]).select("call_id", F.array_join("value_list", ",").alias("themes"), F.size("evidence_refs").cast("bigint").alias("refs"))
+
+    run = Batches(spark, f"{shared_folder(spark)}/themes-{state_of(docs)}", docs, work, size, {"found": F.count_if(F.col("refs") > 0)}, lambda batch, total: "half" if batch["batch"] == 1 else None)
+    while run.run()["stopped"]:
+        pass
+    return run.result().select("call_id", "themes", "refs")
+
+
+add("extract_in_batches", _batched, SQL["keyword_extract_list"])
+
+
+def _traced(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of two steps over the events, as the jobs that ran them observed."""
+    e = views.table(spark, d, "events")
+    asked = e.select((F.col("event_id") % 1000).alias("input_tokens"), (F.col("user_id") % 100).alias("output_tokens"), F.when(F.col("event_type") == "error", F.lit("failed")).alias("error"))
+    tracer = Tracer((2.0, 8.0))
+    for name, frame in (("all", asked), ("failed", asked.where("error is not null"))):
+        tracer.step(name, frame, lambda f: f.write.format("noop").mode("overwrite").save())
+    return tracer.table(spark).select("step", "name", "rows", "input_tokens", "output_tokens", "errors", "cost_usd")
+
+
+add("trace_figures", _traced, "WITH a AS (SELECT event_id % 1000 AS i, user_id % 100 AS o, event_type = 'error' AS bad FROM events), f AS (SELECT 1 AS step, 'all' AS name, * FROM a UNION ALL SELECT 2, 'failed', * FROM a WHERE bad) SELECT step, name, count(*) AS rows, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, count(*) FILTER (bad) AS errors, round((2 * sum(i) + 8 * sum(o)) / 1000000.0, 10) AS cost_usd FROM f GROUP BY 1, 2")

@@ -71,7 +71,7 @@ class Usage:
 
 @dataclass
 class BudgetGuard(Guard):
-    """A guard that also stops beyond a sum of USD; models without a price can't be counted and are warned of once."""
+    """A guard that also stops at a sum of USD; models without a price can't be counted and are warned of once."""
 
     max_usd: float | None = None
     usage: Usage = field(default_factory=Usage)
@@ -82,6 +82,6 @@ class BudgetGuard(Guard):
             if self.usage.unpriced() and not self.warned:
                 self.warned = True
                 warnings.warn(f"models without a price don't count against the budget: {self.usage.unpriced()}", stacklevel=2)
-            if self.reason is None and (self.usage.totals()["cost_usd"] or 0.0) > self.max_usd:
+            if self.reason is None and (self.usage.totals()["cost_usd"] or 0.0) >= self.max_usd:
                 self.reason = "budget"
         return super().stopped()
