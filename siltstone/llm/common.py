@@ -106,7 +106,7 @@ def join_split(rows: DataFrame, store: DataFrame, key: str, counts: DataFrame, d
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """``edges`` (a long, b long) -> (id, component): the smallest id reachable,
+    """``edges`` (a, b of one type that has an order) -> (id, component): the smallest id reachable,
     for every id with an edge. Null ends and loops are left out.
 
     First, twice: of a vertex's smaller neighbours only the least stays its own, the others are
@@ -137,9 +137,10 @@ def block_pairs(members: DataFrame, key: str, member: str, weight: str, budget:
     repeats each member for every pair (i <= j) of blocks that holds its own block
     ``blk``: together the pairs of blocks see every pair of members, none sees more
     than two blocks, and a group of any size spreads over many tasks."""
-    total = members.groupBy(key).agg(F.sum(weight).alias("_total"))
+    # only groups that are split need their total, and there are at most weight / budget of them: no group is gathered to be told its size
+    total = stash(members.groupBy(key).agg(F.sum(weight).alias("_total")).where(F.col("_total") > budget))
     n = F.ceil(F.col("_total") / F.lit(budget)).cast("int")
-    split = members.join(total, key).withColumn("_n", F.greatest(F.lit(1), n)).withColumn("blk", F.pmod(F.xxhash64(member, F.lit(17)), F.col("_n")).cast("int"))
+    split = members.join(sized(total), key, "left").withColumn("_n", F.coalesce(n, F.lit(1))).withColumn("blk", F.pmod(F.xxhash64(member, F.lit(17)), F.col("_n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     return split.withColumn("_o", other).withColumn("i", F.least("blk", "_o").cast("int")).withColumn("j", F.greatest("blk", "_o").cast("int")).drop("_total", "_n", "_o")
 

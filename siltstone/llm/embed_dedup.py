@@ -96,24 +96,24 @@ def _units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, unit): equal unit vectors have equal keys."""
+    """(id, key, unit): equal unit vectors have equal keys, of 128 bits."""
     for batch in batches:
         for ids, unit in _units(batch):
             raw = [u.tobytes() for u in unit]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array(raw, pa.binary())], ["id", "key", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["id", "key", "unit"])
 
 
 def _hashed(tables: int, probes: int, width: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, raw = batch.column("key").to_numpy(), batch.column("unit")
+            keys, raw = batch.column("key"), batch.column("unit")
             size = pc.binary_length(raw).to_numpy()
             for dim in np.unique(size).tolist():
                 some = np.flatnonzero(size == dim)
                 for lo in range(0, len(some), 2000):
                     part = some[lo : lo + 2000]
                     key, own = cells(np.array([np.frombuffer(raw[k].as_py()) for k in part]), tables, probes, width, seed)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[part], key.shape[1])), pa.array(key.ravel()), pa.array(own.ravel())], ["key", "cell", "own"])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(part, key.shape[1]))), pa.array(key.ravel()), pa.array(own.ravel())], ["key", "cell", "own"])
 
     return run
 
@@ -125,7 +125,9 @@ def _linked(group: str, least: float, probing: bool):
         for g in grouped(batches, [group, "i", "j"]):
             if g.num_rows < 2:
                 continue
-            keys, blk, copies, raw = g.column("key").to_numpy(), g.column("blk").to_numpy(), g.column("copies").to_numpy(), g.column("unit").to_pylist()
+            blk, copies, raw = g.column("blk").to_numpy(), g.column("copies").to_numpy(), g.column("unit").to_pylist()
+            # numbers in the keys' order stand for them here
+            names, keys = np.unique(np.array(g.column("key").to_pylist(), object), return_inverse=True)
             apart = g.column("i")[0].as_py() != g.column("j")[0].as_py()
             own_of = g.column("own").to_numpy(zero_copy_only=False) if probing else None
             for size in {len(r) for r in raw}:  # vectors of different length only meet where hashes collide
@@ -141,7 +143,7 @@ def _linked(group: str, least: float, probing: bool):
                 some = np.flatnonzero(linked.any(1))
                 if len(some):
                     root = forest(linked)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[order][some]), pa.array(keys[order][root[some]]), pa.array((linked @ copies[order])[some].astype(np.int64))], ["a", "b", "links"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[keys[order][some]], pa.binary()), pa.array(names[keys[order][root[some]]], pa.binary()), pa.array((linked @ copies[order])[some].astype(np.int64))], ["a", "b", "links"])
 
     return run
 
@@ -158,17 +160,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, tables: int = TABLE
     """
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     one = src.where("id is not null").groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-    unit = stash(one.mapInArrow(_united, "id long, key long, unit binary"))
+    unit = stash(one.mapInArrow(_united, "id long, key binary, unit binary"))
     classes = stash(unit.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("unit").alias("unit")))
-    placed = stash(classes.select("key", "unit").mapInArrow(_hashed(tables, probes, width, seed), "key long, cell long, own boolean"))
+    placed = stash(classes.select("key", "unit").mapInArrow(_hashed(tables, probes, width, seed), "key binary, cell long, own boolean"))
     company = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("o")).where("n > 1 and o > 0").select("cell")
     met = placed.join(company, "cell").withColumn("w", F.lit(1))
     in_cells = block_pairs(met, "cell", "key", "w", BLOCK).join(classes, "key").select("cell", "i", "j", "key", "blk", "own", "copies", "unit")
-    found = stash(in_cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_linked("cell", least, True), "a long, b long, links long").select("a", "b").where("a <> b").distinct())
+    found = stash(in_cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_linked("cell", least, True), "a binary, b binary, links long").select("a", "b").where("a <> b").distinct())
     comp = stash(connected_components(found).select(F.col("id").alias("key"), F.col("component").alias("root")))
     unstash(placed, found)
     members = block_pairs(comp.withColumn("w", F.lit(1)), "root", "key", "w", BLOCK).join(classes, "key").select("root", "i", "j", "key", "blk", "copies", "unit")
-    counts = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_linked("root", least, False), "a long, b long, links long")
+    counts = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_linked("root", least, False), "a binary, b binary, links long")
     degree = counts.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     tied = comp.join(classes.select("key", "least"), "key")
     component = tied.groupBy("root").agg(F.min("least").alias("component"))

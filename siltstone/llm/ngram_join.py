@@ -26,7 +26,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import block_pairs, connected_components, forest, freeing, grouped, join_known, mix64, sized, stash, unstash
@@ -137,8 +137,14 @@ def signatures(features: np.ndarray, percent: int) -> list[tuple[int, int, np.nd
     return out
 
 
-def _set_key(f: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_128(f.tobytes()).digest()[:8], "big", signed=True)
+def _set_key(f: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return xxhash.xxh3_128(f.tobytes()).digest()
+
+
+def _half(key: bytes) -> int:
+    """Half of them, where sets only become candidates: those that share it by chance are compared like any others."""
+    return int.from_bytes(key[:8], "big", signed=True)
 
 
 def _sets_of(batch: pa.RecordBatch, n: int, words: _Words) -> list[np.ndarray]:
@@ -153,7 +159,7 @@ def _keyed(n: int):
         for batch in batches:
             sets = _sets_of(batch, n, words)
             rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(map(len, sets), pa.int64()), pa.array(map(_set_key, sets), pa.int64())], [*rest, "n", "key"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(map(len, sets), pa.int64()), pa.array(map(_set_key, sets), pa.binary())], [*rest, "n", "key"])
 
     return run
 
@@ -194,7 +200,7 @@ def _signed(n: int, percent: int):
                     seen.clear()
                 seen.add(key)
                 for band, need, sig in signatures(f, percent):
-                    keys.append(key)
+                    keys.append(_half(key))
                     metas.append((band << 40) + need)
                     sigs.append(sig)
                     held += len(sig)
@@ -216,7 +222,7 @@ def _sets(n: int):
             new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
             if len(seen) > SEEN:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in new], pa.int64()), pa.array([sets[k].tobytes() for k in new], pa.binary())], ["key", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in new], pa.binary()), pa.array([sets[k].tobytes() for k in new], pa.binary())], ["key", "features"])
 
     return run
 
@@ -254,9 +260,9 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, ["cluster", "i", "j"]):
-            ids, blk, copies = (g.column(c).to_numpy() for c in ("key", "blk", "copies"))
-            raw = g.column("features").to_pylist()
-            once = {i: k for k, i in enumerate(ids.tolist())}
+            blk, copies = (g.column(c).to_numpy() for c in ("blk", "copies"))
+            ids, raw = np.array(g.column("key").to_pylist(), object), g.column("features").to_pylist()
+            once = {i: k for k, i in enumerate(ids)}
             if len(once) < 2:
                 continue
             order = np.array([once[k] for k in sorted(once)])
@@ -272,13 +278,13 @@ def _verified(percent: int):
             if not len(some):
                 continue
             root = forest(linked)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array((linked @ copies)[some].astype(np.int64))], ["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.binary()), pa.array(ids[root[some]], pa.binary()), pa.array((linked @ copies)[some].astype(np.int64))], ["a", "b", "links"])
 
     return run
 
 
 def _candidates(src: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, cluster): sets that may have partners, and the component of shared signatures that holds them.
+    """(half, cluster): halves of the keys of sets that may have partners, and the component of shared signatures that holds them.
 
     Partners share as many signatures as either needs; a set with fewer that anyone shares is out. Of need shared ones each
     partner can do without half: so every set leaves out those (need - 1) // 2 of its own that are shared most, licence lines and the like, and
@@ -291,25 +297,27 @@ def _candidates(src: DataFrame, n: int, percent: int) -> DataFrame:
     own = Window.partitionBy("key", "meta")
     ranked = met.withColumn("all", F.count(F.lit(1)).over(own)).where(F.col("all") >= need).withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "sig")))
     rows = stash(ranked.where(F.col("rank") > F.floor((need - 1) / 2)).select("key", "sig").distinct())
-    hubs = rows.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top")
-    edges = rows.join(hubs, "sig").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    near = stash(connected_components(edges).select(F.col("id").alias("key"), F.col("component").alias("cluster")))
-    unstash(rows)
+    hubs = stash(rows.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top"), F.count(F.lit(1)).alias("copies")).where("hub <> top").drop("top"))
+    # a signature that very many sets share is tied to its hub where its rows are
+    edges = join_known(rows, hubs, "sig", "copies").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    near = stash(connected_components(edges).select(F.col("id").alias("half"), F.col("component").alias("cluster")))
+    unstash(rows, hubs)
     return near
 
 
 def _linked(src: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``src`` (id, text, ...) -> its rows with n and key instead of text; and (key, n, copies, root, component, links), one row per
     set of rows with an id: root names the component, component is its smallest id."""
-    keyed = stash(src.mapInArrow(freeing(_keyed(n)), src.drop("text").schema.add("n", "long").add("key", "long")))
+    keyed = stash(src.mapInArrow(freeing(_keyed(n)), src.drop("text").schema.add("n", "long").add("key", "binary")))
     near = _candidates(src.where("id is not null"), n, percent)
     classes = stash(keyed.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")))
-    members = stash(near.join(classes, "key").select("key", "cluster", "copies", "least", (F.col("n") + 800).alias("weight")))
+    half = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+    members = stash(near.join(classes.withColumn("half", half), "half").select("key", "cluster", "copies", "least", (F.col("n") + 800).alias("weight")))
     texts = src.join(sized(members.select(F.col("least").alias("id")).distinct()), "id", "left_semi")
     blocks = block_pairs(members, "cluster", "key", "weight", BLOCK).select("key", "cluster", "copies", "blk", "i", "j")
-    sets = texts.select("text").mapInArrow(freeing(_sets(n)), "key long, features binary")
+    sets = texts.select("text").mapInArrow(freeing(_sets(n)), "key binary, features binary")
     pairs = blocks.join(sets, "key").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    found = stash(pairs.mapInArrow(freeing(_verified(percent)), "a long, b long, links long"))
+    found = stash(pairs.mapInArrow(freeing(_verified(percent)), "a binary, b binary, links long"))
     comp = connected_components(found.select("a", "b")).select(F.col("id").alias("key"), F.col("component").alias("root"))
     degree = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     tied = stash(comp.join(degree, "key", "left").join(classes.select("key", "least"), "key"))
@@ -349,19 +357,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near copies: that of the smallest
     doc_id. Documents without words and rows without an id are no copies and stay. Of rows that repeat an id, those
-    of one group stay once (the least of the row's other columns), those of different groups all stay."""
+    of one group stay once (the least by its columns in their order), those of different groups all stay."""
     cols = docs.columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
     own = dict(zip(cols, plain.columns))
     src = plain.select(F.col(own["doc_id"]).cast("long").alias("id"), F.col(own["text"]).cast("string").alias("text"))
     keyed, known = _linked(src, n, percent)
-    gone = keyed.where("n > 0 and id is not null").join(known.select("key", "root", "component"), "key").select("id", "root", (F.col("id") == F.col("component")).alias("stays"))
+    gone = join_known(keyed.where("n > 0 and id is not null"), known.select("key", "root", "component", "copies"), "key", "copies").select("id", "root", (F.col("id") == F.col("component")).alias("stays"))
     by_id = stash(gone.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays"), F.count_if("stays").alias("kept")).where("not stays or rows > 1"))
     row_id = F.col(own["doc_id"]).cast("long")
     once = plain.join(by_id.select(F.col("id").alias("_drop")), row_id == F.col("_drop"), "left_anti")
-    more = plain.join(sized(by_id.where("rows > 1").select(F.col("id").alias("_id"))), row_id == F.col("_id"))
-    told = more.select("_id", F.struct(*plain.columns).alias("_row"), F.col(own["text"]).cast("string").alias("text")).mapInArrow(_keyed(n), more.select("_id", F.struct(*plain.columns).alias("_row")).schema.add("n", "long").add("key", "long"))
+    more = stash(plain.join(sized(by_id.where("rows > 1").select(F.col("id").alias("_id"))), row_id == F.col("_id")).withColumn("_row", F.monotonically_increasing_id()))
+    # only a row's number goes through Python, whatever other columns there are
+    told = more.select("_id", "_row", F.col(own["text"]).cast("string").alias("text")).mapInArrow(freeing(_keyed(n)), more.select("_id", "_row").schema.add("n", "long").add("key", "binary"))
     told = told.join(known.select("key", "root", "component"), "key", "left")
-    blank = told.where("n = 0").select("_row.*")
-    one = told.where("n > 0 and component = _id").groupBy("_id", "root").agg(F.min("_row").alias("_row")).select("_row.*")
+    told = told.where("n = 0 or component = _id").select("_row", "n", "root").join(more, "_row")
+    blank = told.where("n = 0").select(*plain.columns)
+    least = F.struct(*[ordered(plain, c) for c in plain.columns])
+    one = told.where("n > 0").groupBy("_id", "root").agg(F.min_by(F.struct(*plain.columns), least).alias("_kept")).select("_kept.*")
     return once.unionByName(blank).unionByName(one).toDF(*cols)
+
+
+def ordered(df: DataFrame, column: str) -> Column:
+    """The column, or its JSON where its type has no order (maps, variants and what holds them)."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else F.col(column)
