@@ -30,7 +30,7 @@ from .common import freeing, mix64
 
 BITS = 18
 DIM = 8
-WINDOW = 16
+WINDOW = 4
 MIN_GRAM, MAX_GRAM = 3, 5
 #: n-grams found in fewer training texts keep no vector: they could only be learnt by heart.
 MIN_TEXTS = 4
@@ -189,25 +189,25 @@ def fit(rows: Iterable[tuple[str | None, int]], epochs: int = EPOCHS, rate: floa
         return Model(np.zeros(1 << BITS, np.float32), BIAS)
     word_at, win_at = np.frombuffer(word_at, np.int32), np.frombuffer(win_at, np.int32)
     n_win, first = wins[-1], np.array([0, *wins[:-1]])
-    win_doc = np.repeat(np.arange(len(y)), np.diff([0, *wins]))
+    win_doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff([0, *wins]))
     name, sub, of_word, grams = _kept_grams(list(vocab), np.bincount(np.frombuffer(in_texts, np.int32)).astype(np.float32))
     del vocab, in_texts
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.02, (len(name), DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))[win_doc]
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)[win_doc]
     clean = y[win_doc] == 0
 
     def windows(delta: np.ndarray) -> np.ndarray:
         word = _sums(of_word, emb @ delta, sub, len(grams)) / grams
-        return _sums(win_at, word, word_at, n_win) / WINDOW + bias[1] - bias[0]
+        return (_sums(win_at, word, word_at, n_win) / WINDOW + bias[1] - bias[0]).astype(np.float32)
 
     for epoch in range(epochs):
         delta = soft[:, 1] - soft[:, 0]
         z = windows(delta)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        sharp = np.exp(np.minimum((z - np.maximum.reduceat(z, first)[win_doc]) * (8.0 * epoch / epochs), 0))
+        sharp = np.exp(np.minimum((z - np.maximum.reduceat(z, first)[win_doc]) * np.float32(8.0 * epoch / epochs), 0))
         dealt = sharp / np.add.reduceat(sharp, first)[win_doc]
         g = np.where(clean, p, p - 1) * share * dealt
         g_word = _sums(word_at, g, win_at, len(grams)) / WINDOW
@@ -226,7 +226,7 @@ def fit(rows: Iterable[tuple[str | None, int]], epochs: int = EPOCHS, rate: floa
     model = Model(weight, float(bias[1] - bias[0]))
     # the softmax was fitted to balanced classes; its zero moves to where the fewest texts are wrong. The
     # words' weights move with it, so that a text that tells nothing stays clean
-    z = np.maximum.reduceat(windows(delta), first)
+    z = np.maximum.reduceat(windows(delta), first).astype(np.float64)
     order = np.argsort(z)
     wrong = np.concatenate(([0], np.cumsum(np.where(y[order] == 1, 1, -1)))) + (y == 0).sum()
     best = np.flatnonzero(wrong == wrong.min())
