@@ -7,7 +7,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,19 +377,13 @@ def test_registered_queries_run(spark, sf_dir):
     assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
 
 
-def test_toxicity_on_held_out_rows_of_the_given_table():
-    """The figures that the README gives, from what ``train`` would fit on: all labelled rows that aren't held out."""
+def test_toxicity_on_held_out_rows_of_the_given_table(spark):
+    """The figures that the README gives (85 of 97 and 1 of 728), with some room for another machine's rounding."""
     where = "/root/testdata/sf0.1"
     if not os.path.isdir(where):
         pytest.skip("no test data")
-    text = dict(zip(*pq.read_table(f"{where}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
-    labels = pq.read_table(f"{where}/labels.parquet", columns=["doc_id", "toxic"]).to_pydict()
-    rows = [(zlib.crc32(str(i).encode()) % 5 == 0, text[i], y) for i, y in sorted(zip(labels["doc_id"], labels["toxic"])) if y is not None and i in text]
-    assert len(rows) < toxicity.MAX_ROWS
-    model = toxicity.fit([(t, y) for held, t, y in rows if not held])
-    table = toxicity._Logits(model.weight)
-    said = [(y, model.score(*table.look(toxicity.words_of(t))) >= 0.5) for held, t, y in rows if held]
-    found, toxic = sum(p for y, p in said if y), sum(y for y, _ in said)
-    false, clean = sum(p for y, p in said if not y), sum(not y for y, _ in said)
-    print(found, toxic, false, clean)
-    assert (toxic, clean) == (97, 728) and found >= 83 and false <= 4
+    labels = spark.read.parquet(f"{where}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    said = queries.op10_toxicity(spark, where).where("held_out").join(labels, "doc_id")
+    found = {(r["toxic"], r["predicted"]): r["count"] for r in said.groupBy("toxic", "predicted").count().collect()}
+    assert found[1, 1] + found.get((1, 0), 0) == 97 and found[0, 0] + found.get((0, 1), 0) == 728
+    assert found[1, 1] >= 80 and found.get((0, 1), 0) <= 5
