@@ -84,7 +84,7 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 HOT = 10_000
 
 
-def join_known(rows: DataFrame, known: DataFrame, key: str, copies: str) -> DataFrame:
+def join_known(rows: DataFrame, known: DataFrame, key: str | list[str], copies: str) -> DataFrame:
     """Left join of ``rows`` with ``known`` (one row per key, ``copies`` saying how many rows have it). Keys that many rows share, at most
     HOT of them, come to the rows by broadcast, so that no task gets all rows of one."""
     total = known.agg(F.sum(copies)).first()[0] or 0
@@ -94,15 +94,29 @@ def join_known(rows: DataFrame, known: DataFrame, key: str, copies: str) -> Data
     return hot.unionByName(rest.select(*hot.columns))
 
 
-def join_split(rows: DataFrame, store: DataFrame, key: str, counts: DataFrame, deal: Column, pieces: int = 200) -> DataFrame:
+def pieces_of(counts: DataFrame, key: list[str], pieces: int = 200) -> DataFrame:
+    """(key, _n): into how many parts the rows of a key are dealt, for keys that more than one in ``pieces`` rows has as ``counts`` (key, copies)
+    tells. There are at most ``pieces`` of them, and as many parts more than keys."""
+    total = counts.agg(F.sum("copies")).first()[0] or 1
+    return counts.select(*key, (F.floor(F.col("copies") * pieces / total) + 1).cast("int").alias("_n")).where("_n > 1")
+
+
+def dealt(rows: DataFrame, often: DataFrame, key: list[str], deal: Column) -> DataFrame:
+    """``rows`` with the part of their key (``_part``) that the number ``deal`` puts them in."""
+    return rows.join(F.broadcast(often), key, "left").withColumn("_part", F.pmod(deal, F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+
+
+def repeated(store: DataFrame, often: DataFrame, key: list[str]) -> DataFrame:
+    """``store`` (one row per key) with its row for every part (``_part``) of the key."""
+    return store.join(F.broadcast(often), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+
+
+def join_split(rows: DataFrame, store: DataFrame, key: str | list[str], counts: DataFrame, deal: Column, pieces: int = 200) -> DataFrame:
     """Inner join of ``rows`` with ``store`` (one row per key). A key that more than one in ``pieces`` rows has, as ``counts`` (key, copies) tells, is dealt to
     several tasks by the number ``deal``, and its row of ``store`` repeated for them: ``pieces`` more rows at most, for all keys together."""
-    total = counts.agg(F.sum("copies")).first()[0] or 1
-    often = F.broadcast(counts.select(key, (F.floor(F.col("copies") * pieces / total) + 1).cast("int").alias("_n")).where("_n > 1"))
-    n = F.coalesce("_n", F.lit(1))
-    left = rows.join(often, key, "left").withColumn("_part", F.pmod(deal, n).cast("int")).drop("_n")
-    right = store.join(often, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
-    return left.join(right, [key, "_part"]).drop("_part")
+    keys = [key] if isinstance(key, str) else key
+    often = pieces_of(counts, keys, pieces)
+    return dealt(rows, often, keys, deal).join(repeated(store, often, keys), [*keys, "_part"]).drop("_part")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:

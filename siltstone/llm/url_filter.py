@@ -6,7 +6,8 @@ trusted. A host is blocked where its distrust exceeds ``threshold`` times its tr
 A url that a rule fits has the rule's verdict, any other has its host's.
 
 DataFrame operations only. Links are counted per pair of hosts before anything is
-joined; the rank steps run over hosts, not pages, each stashed.
+joined; the rank steps run over hosts, not pages, each stashed. The links of a hub, a host
+that very many link to (distrust runs against links), are dealt to several tasks, and only its one rank is repeated for them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stash, unstash
+from .common import dealt, pieces_of, repeated, sized, stash, unstash
 
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -59,15 +60,19 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     rank = (1 - damping) seed + damping * what comes over the edges, trust forwards and distrust
     backwards; a host without such edges hands its share to nobody. Stops when no
     host moves by more than ``error``; what still moves after n rounds is at most damping^n, so the rounds given always get there."""
+    links = stash(links)
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "pages").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "pages"))
-    out_of = both.groupBy("kind", "a").agg(F.sum("pages").alias("all"))
-    edges = stash(both.join(out_of, ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("pages") / F.col("all")).alias("share")))
+    key = ["kind", "host"]
+    both = both.select("kind", F.col("a").alias("host"), "b", "pages")
+    out_of = stash(both.groupBy(*key).agg(F.sum("pages").alias("all"), F.count(F.lit(1)).alias("copies")))
+    hubs = stash(pieces_of(out_of, key))
+    edges = stash(dealt(both, hubs, key, F.xxhash64("b")).join(repeated(out_of.drop("copies"), hubs, key), [*key, "_part"]).select(*key, "_part", "b", (F.col("pages") / F.col("all")).alias("share")))
     start = stash(seeds.select("host", F.expr("stack(2, 'trust', double(trust), 'distrust', double(distrust)) as (kind, seed)")).where("seed > 0"))
     whole = start.groupBy("kind").agg(F.sum("seed").alias("whole"))
     raw, start = start, stash(start.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("seed") / F.col("whole")).alias("seed")))
     rank = stash(start.select("kind", "host", F.col("seed").alias("rank"), F.lit(0.0).alias("off")))
     for _ in range(rounds):
-        came = rank.join(edges, ["kind", "host"]).select("kind", F.col("b").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("old"))
+        came = repeated(rank, hubs, key).join(edges, [*key, "_part"]).select("kind", F.col("b").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("old"))
         base = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), F.lit(0.0).alias("old"))
         was = rank.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old"))
         step = came.unionByName(base).unionByName(was).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"))
@@ -76,7 +81,7 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
         rank = new
         if (rank.agg(F.max("off")).first()[0] or 0.0) <= error:
             break
-    unstash(raw, edges, start)
+    unstash(links, raw, edges, start, out_of, hubs)
     side = lambda k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k)
     return rank.groupBy("host").agg(side("trust"), side("distrust"))
 

@@ -6,7 +6,9 @@ import random
 import duckdb
 import pytest
 
-from siltstone.llm import queries, url_filter, warc
+from pyspark.sql import functions as F
+
+from siltstone.llm import common, queries, url_filter, warc
 
 
 def brute_rule(url):
@@ -56,6 +58,38 @@ def test_spread_is_personalised_pagerank(spark):
             assert got.get(h, (0, 0))[side] == pytest.approx(rank[h], abs=1e-6)
 
 
+def test_a_hub_is_dealt_to_several_tasks(spark):
+    """Half of all links go to one blocked host: its distrust reaches all of them, in parts of bounded size."""
+    n = 4000
+    links = [(f"h{k}", "hub", 1 + k % 3) for k in range(n)] + [(f"h{k}", f"h{(k * 7 + 1) % n}", 1) for k in range(n)]
+    df = spark.createDataFrame([e for e in links if e[0] != e[1]], "src string, dst string, pages long")
+    got = {r["host"]: r["distrust"] for r in url_filter.spread(df, spark.createDataFrame([("hub", 0.0, 1.0), ("h1", 1.0, 0.0)], "host string, trust double, distrust double"), error=1e-5).collect()}
+    way = [(d, s, w) for s, d, w in df.collect()]
+    out = {}
+    for a, _, w in way:
+        out[a] = out.get(a, 0) + w
+    rank = {"hub": 1.0}
+    for _ in range(200):
+        new = {"hub": 0.15}
+        for a, b, w in way:
+            new[b] = new.get(b, 0) + 0.85 * rank.get(a, 0) * w / out[a]
+        rank = new
+    assert max(abs(got.get(h, 0) - v) for h, v in rank.items()) < 1e-4 and min(got.values()) > 1e-4 and len(got) >= n - 1
+    both = df.selectExpr("dst as host", "src as b")
+    often = common.pieces_of(both.groupBy("host").agg(F.count(F.lit(1)).alias("copies")), ["host"])
+    assert [r["host"] for r in often.collect()] == ["hub"]
+    parts = common.dealt(both, often, ["host"], F.xxhash64("b")).where("host = 'hub'").groupBy("_part").count().collect()
+    assert len(parts) > 50 and max(r["count"] for r in parts) < n / 20
+
+
+def test_a_very_long_page(spark):
+    """Links at the end of a page of some 8 MB count, and so do those of its other pages."""
+    html = "<p>" + "x y " * 2_000_000 + '<a href="http://c.org/es/1">'
+    df = spark.createDataFrame([(1, "http://fan.io/" + "p" * 100_000, html), (2, "http://c.org/es/1", ""), (3, "http://fan.io/other", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], len(r["path"])) for r in url_filter.judge(df).collect()}
+    assert got == {1: ("block", 100_001), 2: ("block", 5), 3: ("block", 6)}
+
+
 def test_verdicts_on_a_graph_of_hosts(spark):
     """Hundreds of hosts linked by full and scheme-less addresses, against ranks computed one by one."""
     rng = random.Random(17)
