@@ -3,7 +3,9 @@
 E-mail addresses, telephone numbers, IPv4 addresses, payment cards, US social security numbers,
 IBANs and names after a form of address are found by one pattern. Each distinct entity
 gets a surrogate drawn from a keyed digest of what it is: of the same type and format,
-with names of the same gender and script. The same entity has the same surrogate wherever it
+with names of the same gender and script. A full name takes the last name's own surrogate,
+so "Mr. Smith" stays the same person as "Mr. John Smith". Addresses stay of their kind (private, loopback,
+link-local, multicast). The same entity has the same surrogate wherever it
 stands and however it is spaced; two entities never share one, and no surrogate is an entity that occurs:
 those that would are drawn again. Only where entities fill a format (a whole private network) so that nothing
 is free do they get each other's values.
@@ -20,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized, stash, unstash
+from .common import join_known, sized, stash, unstash
 
 # First and last names by script and gender, and forms of address by gender.
 LATIN_MALE = "Adrian Bernard Conrad Damian Edgar Fabian Gaspard Henrik Ivo Jonas Klaus Leandro Marius Norbert Oscar Pascal Quentin Rainer Silvan Tobias Ulrich Valentin Walter Xavier Yannick Zeno".split()
@@ -112,11 +114,15 @@ def _card(value: Column, digest: Column) -> Column:
     return F.when(valid, F.concat(body, fix)).otherwise(draft)
 
 
+#: What addresses that aren't public start with (private, loopback, this network, link-local, multicast and reserved), which they keep.
+_SPECIAL = r"^(10|127|0|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|2(?:2[4-9]|[34][0-9]|5[0-5]))\."
+
+
 def _ip(value: Column, digest: Column) -> Column:
     octet = lambda k, low, span: (F.pmod(F.conv(F.substring(digest, 1 + 4 * k, 4), 16, 10).cast("long"), F.lit(span)) + low).cast("string")
-    private = F.regexp_extract(value, r"^(10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.", 1)
+    private = F.regexp_extract(value, _SPECIAL, 1)
     n = F.when(private == "", 4).otherwise(4 - F.size(F.split(private, r"\.")))
-    tail = F.array(octet(0, 11, 100), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
+    tail = F.array(octet(0, 11, 89), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
     return F.when(private == "", F.array_join(tail, ".")).otherwise(F.concat(private, F.lit("."), F.array_join(F.slice(tail, 5 - n, n), ".")))
 
 
@@ -132,21 +138,25 @@ def _pick(names: list[str], digest: Column, at: int) -> Column:
     return F.get(F.array(*[F.lit(x) for x in names]), n)
 
 
-def _name(value: Column, gender: Column, digest: Column, attempt: Column) -> Column:
-    """A first name of the same gender if two names were given, and a last name of the same script; after
-    eight attempts with a second last name, so that there are always enough."""
+def _name(value: Column, gender: Column, digest: Column, attempt: int, last: Column) -> Column:
+    """A last name of the same script, or, if two names were given, a first name of the same gender before ``last``, the last name's
+    surrogate. After the first attempt with a second name, after eight with a made-up one, so that there are always enough."""
     g = F.coalesce(gender, F.when(F.substring(digest, 60, 1) < "8", "m").otherwise("f"))
     cyrillic = value.rlike(r"\p{IsCyrillic}")
-    first = F.when(cyrillic, F.when(g == "m", _pick(CYRILLIC_MALE, digest, 1)).otherwise(_pick(CYRILLIC_FEMALE, digest, 1))).otherwise(F.when(g == "m", _pick(LATIN_MALE, digest, 1)).otherwise(_pick(LATIN_FEMALE, digest, 1)))
-    last = F.when(cyrillic, _pick(CYRILLIC_LAST, digest, 9)).otherwise(_pick(LATIN_LAST, digest, 9))
-    more = F.when(cyrillic, _pick(CYRILLIC_LAST, digest, 17)).otherwise(_pick(LATIN_LAST, digest, 17))
-    tail = F.when(attempt == 0, last).otherwise(F.concat(last, F.lit("-"), more, F.when(attempt > 8, F.concat(F.lit("-"), _shaped(F.lit("Aaaaaa"), digest))).otherwise("")))
-    return F.when(value.contains(" "), F.concat(first, F.lit(" "), tail)).otherwise(tail)
+
+    def first(at: int) -> Column:
+        of = lambda male, female: F.when(g == "m", _pick(male, digest, at)).otherwise(_pick(female, digest, at))
+        return F.when(cyrillic, of(CYRILLIC_MALE, CYRILLIC_FEMALE)).otherwise(of(LATIN_MALE, LATIN_FEMALE))
+
+    surname = lambda at: F.when(cyrillic, _pick(CYRILLIC_LAST, digest, at)).otherwise(_pick(LATIN_LAST, digest, at))
+    made = F.concat(F.lit("-"), _shaped(F.lit("Aaaaaa"), digest)) if attempt > 8 else F.lit("")
+    more = lambda name: F.concat(name(1), F.lit("-"), name(17), made) if attempt else name(1)
+    return F.when(value.contains(" "), F.concat(more(first), F.lit(" "), last)).otherwise(more(surname))
 
 
 def _draw(key: str, attempt: int) -> Column:
     kind, v, d = F.col("kind"), F.col("entity"), _digest(key, F.col("kind"), F.col("entity"), F.lit(attempt))
-    by_kind = F.when(kind == "email", _email(v, d, f"{key}|{max(0, attempt - 3)}")).when(kind == "ip", _ip(v, d)).when(kind == "card", _card(v, d)).when(kind == "name", _name(v, F.col("gender"), d, F.lit(attempt)))
+    by_kind = F.when(kind == "email", _email(v, d, f"{key}|{max(0, attempt - 3)}")).when(kind == "ip", _ip(v, d)).when(kind == "card", _card(v, d)).when(kind == "name", _name(v, F.col("gender"), d, attempt, F.col("last")))
     return by_kind.when(kind == "iban", _shaped(v, d, 2)).when((kind == "phone") & v.startswith("+"), _shaped(v, d, 2)).otherwise(_shaped(v, d))
 
 
@@ -156,7 +166,7 @@ def _format() -> Column:
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
     head = F.when(kind == "card", F.concat(F.substring(v, 1, 1), (F.pmod(_luhn_sum(v), F.lit(10)) == 0).cast("string"))).when((kind == "iban") | (kind == "phone") & v.startswith("+"), F.substring(v, 1, 2))
     of_name = F.concat_ws(" ", v.rlike(r"\p{IsCyrillic}").cast("string"), F.col("gender"), v.contains(" ").cast("string"))
-    private = F.regexp_extract(v, r"^(10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.", 1)
+    private = F.regexp_extract(v, _SPECIAL, 1)
     tail = F.when(kind == "email", F.substring_index(v, ".", -1)).otherwise(F.lit(""))
     return F.when(kind == "name", of_name).when(kind == "ip", private).otherwise(F.concat(F.coalesce(head, F.lit("")), F.lit(":"), shape, F.lit(":"), tail))
 
@@ -180,24 +190,23 @@ def _permuted(left: DataFrame, given: DataFrame, key: str, group: int = 1000) ->
     return turned.unionByName(swapped).unionByName(blotted)
 
 
-def surrogates(entities: DataFrame, key: str, most_attempts: int = 24) -> DataFrame:
-    """(kind, entity, gender) -> (kind, entity, surrogate): one for each distinct (kind, entity), all distinct within a kind.
+def _settled(known: DataFrame, key: str, most_attempts: int) -> DataFrame:
+    """(kind, entity, gender, last) distinct by (kind, entity) -> (kind, entity, surrogate).
 
     All are drawn; a surrogate that is an entity itself, or that an entity holds already, is drawn again: of several that drew the same in one
     attempt, the least keeps it. An attempt reads what is settled, but shuffles only what isn't. What is still without one after
     ``most_attempts``, as its format has hardly a free value, is ``_permuted``."""
-    known = stash(entities.where("kind is not null and entity is not null").groupBy("kind", "entity").agg(F.min("gender").alias("gender")))
     real = known.select("kind", F.col("entity").alias("surrogate"))
     settled, left, old = [], known, []
     for attempt in range(most_attempts):
-        drawn = stash(left.select("kind", "entity", "gender", _draw(key, attempt).alias("surrogate")))
+        drawn = stash(left.select("kind", "entity", "gender", "last", _draw(key, attempt).alias("surrogate")))
         best = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         taken = reduce(DataFrame.unionByName, [real, *[s.select("kind", "surrogate") for s in settled]])
         few = sized(drawn.select("kind", "surrogate"))
         taken = taken.join(few, ["kind", "surrogate"], "left_semi")
         settled.append(stash(best.join(taken, ["kind", "surrogate"], "left_anti").join(known, ["kind", "entity"]).select("kind", "entity", "gender", "surrogate")))
         unstash(*old)
-        left = stash(drawn.join(settled[-1], ["kind", "entity"], "left_anti").select("kind", "entity", "gender"))
+        left = stash(drawn.join(settled[-1], ["kind", "entity"], "left_anti").select("kind", "entity", "gender", "last"))
         old = [drawn, left]
         if not left.take(1):
             break
@@ -208,6 +217,26 @@ def surrogates(entities: DataFrame, key: str, most_attempts: int = 24) -> DataFr
     return given.select("kind", "entity", "surrogate")
 
 
+def surrogates(entities: DataFrame, key: str, most_attempts: int = 24) -> DataFrame:
+    """(kind, entity, gender) -> (kind, entity, surrogate): one for each distinct (kind, entity), all distinct within a kind, and none an entity.
+
+    A full name is a first name and the surrogate of its last name, whether that occurs alone or not: those are settled first."""
+    known = stash(entities.where("kind is not null and entity is not null").groupBy("kind", "entity").agg(F.min("gender").alias("gender")))
+    full = (F.col("kind") == "name") & F.col("entity").contains(" ")
+    surname = F.substring_index("entity", " ", -1)
+    named = known.where(full).withColumn("surname", surname)
+    alone = known.where(~full).withColumn("asked", F.lit(True)).unionByName(named.select("kind", F.col("surname").alias("entity"), F.lit(None).cast("string").alias("gender"), F.lit(False).alias("asked")))
+    alone = stash(alone.groupBy("kind", "entity").agg(F.min("gender").alias("gender"), F.max("asked").alias("asked"), F.lit(None).cast("string").alias("last")))
+    short = stash(_settled(alone.drop("asked"), key, most_attempts))
+    if not named.take(1):
+        return short
+    lasts = stash(short.where("kind = 'name'").select(F.col("entity").alias("surname"), F.col("surrogate").alias("last")))
+    copies = stash(named.groupBy("surname").agg(F.count(F.lit(1)).alias("copies")).join(lasts, "surname"))
+    whole = stash(join_known(named, copies, "surname", "copies").select("kind", "entity", "gender", "last"))
+    asked = short.join(sized(alone.where("not asked").select("kind", "entity")), ["kind", "entity"], "left_anti")
+    return asked.unionByName(_settled(whole, key, most_attempts))
+
+
 def _rendered(kind: Column, surface: Column, surrogate: Column) -> Column:
     """A surrogate written as its mention was: spacing, punctuation, capitals, form of address."""
     chars = F.filter(F.split(surface, ""), lambda c: c != "")
@@ -239,8 +268,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     each = parts.select("_key", F.posexplode("_found").alias("_pos", "surface")).withColumn("kind", type_of(F.col("surface")))
     each = each.withColumn("entity", canonical(F.col("kind"), F.col("surface"))).withColumn("gender", F.when(F.col("kind") == "name", _gender(F.col("surface"))))
     each = stash(each)
-    table = stash(surrogates(each.select("kind", "entity", "gender"), key))
-    new = each.join(table, ["kind", "entity"]).select("_key", "_pos", _rendered(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("_new"))
+    what = ["kind", "entity"]
+    # an address in very many texts is one key: its surrogate comes to its mentions by broadcast
+    counted = stash(each.groupBy(*what).agg(F.min("gender").alias("gender"), F.count(F.lit(1)).alias("copies")))
+    table = stash(surrogates(counted.drop("copies"), key).join(counted.select(*what, "copies"), what))
+    new = join_known(each, table, what, "copies").select("_key", "_pos", _rendered(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("_new"))
     new = new.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_new"))).alias("_new"))
     joined = F.array_join(F.zip_with("_parts", F.transform("_new", lambda x: x["_new"]), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
     changed = parts.join(new, "_key").select(*[F.col(f"_row.`{c}`").alias(c) if c != text_col else joined.alias(c) for c in cols], F.size("_found").cast("long").alias("n_entities"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import bpe, fingerprint, mixing, pii, queries, secret_scan, toxicity
+from siltstone.llm.common import join_known
 
 ODD = ["", " \n\t", "Hello WORLD's it'll <|endoftext|> we've 12345 ½ Ⅷ", "ΑΣ ΣΑΣ İstanbul ß ﬁ e\u0301 \x1c\x1d a\x85b\u200bz", "🙂👩‍👩‍👧 中文字 ไทย", "a" * 3000, "rr" * 501, "thethe" * 300, "<|startoftext|>x<|endoftext|>", "don't DON'T 're", "\x00\x01", "ab" * 400 + "!?" * 300]
 
@@ -212,6 +213,41 @@ def test_surrogates_are_distinct_when_draws_collide(spark):
     assert len(got) == len(set(got)) == 200
 
 
+def test_short_and_full_names_stay_one_person(spark):
+    """Last names have one surrogate each, alone and in full names; first names are distinct within a last name."""
+    rows = [(0, "Mr. John Smith came. Mr. Smith left with Dr. Smith."), (1, "Mr. Jones and Mrs. Mary Smith"), (2, "Господин Иван Петров, Господин Петров")]
+    rows += [(10 + k, f"Mr. F{chr(97 + k % 26)}{chr(97 + k // 26)} Smith") for k in range(300)]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    john, smith, again = re.fullmatch(r"Mr\. (\S+ \S+) came\. Mr\. (\S+) left with Dr\. (\S+)\.", got[0]).groups()
+    jones, mary = re.fullmatch(r"Mr\. (\S+) and Mrs\. (\S+ \S+)", got[1]).groups()
+    assert john.split()[1] == smith == again == mary.split()[1] != jones and john.split()[0].split("-")[0] in pii.LATIN_MALE
+    assert mary.split()[0].split("-")[0] in pii.LATIN_FEMALE
+    ivan, petrov = re.fullmatch(r"Господин (\S+ \S+), Господин (\S+)", got[2]).groups()
+    assert ivan.split()[1] == petrov != smith
+    many = [got[10 + k].removeprefix("Mr. ") for k in range(300)]
+    assert len({*many, john, mary}) == 302 and {m.split()[1] for m in many} == {smith} and not {*many} & {t.removeprefix("Mr. ") for _, t in rows}
+
+
+def test_addresses_stay_of_their_kind(spark):
+    starts = {"10.1.2.3": "10.", "127.0.0.1": "127.", "192.168.1.9": "192.168.", "169.254.3.4": "169.254.", "172.20.1.1": "172.20.", "224.0.0.251": "224.", "255.255.255.0": "255.", "0.0.0.0": "0."}
+    rows = [("ip", x, None) for x in [*starts, "8.8.4.4", "172.40.1.1", "100.2.3.4"]]
+    got = {r["entity"]: r["surrogate"] for r in pii.surrogates(spark.createDataFrame(rows, "kind string, entity string, gender string"), "k").collect()}
+    assert all(got[x].startswith(to) and got[x] != x for x, to in starts.items())
+    assert all(11 <= int(got[x].split(".")[0]) < 100 for x in ("8.8.4.4", "172.40.1.1", "100.2.3.4"))
+
+
+def test_an_address_in_most_texts_is_no_single_task(spark):
+    """Half of all mentions are one address: no task that joins mentions with surrogates gets them all."""
+    rows = spark.range(40_000).selectExpr("id as doc_id", "concat('write to ', if(id % 2 = 0, 'info@site.org', concat('u', id, '@mail.com'))) as text").repartition(8)
+    out = pii.pseudonymise(rows, "k")
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert len(texts) == 40_000 and len({texts[k] for k in range(0, 40_000, 2)}) == 1 and len(set(texts.values())) == 20_001
+    known = spark.createDataFrame([("email", "info@site.org", 20_000)], "kind string, entity string, copies long")
+    mentions = rows.selectExpr("'email' as kind", "'info@site.org' as entity", "doc_id").where("doc_id % 2 = 0")
+    spread = join_known(mentions, known, ["kind", "entity"], "copies").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in spread) == 20_000 and max(r["count"] for r in spread) < 10_000
+
+
 def test_a_full_format_is_permuted(spark):
     full = [(f"192.168.{a}.{b}") for a in range(256) for b in range(1, 255) if (a * 255 + b) % 10]
     some = [f"10.0.{a}.7" for a in range(200)]
