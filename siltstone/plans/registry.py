@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import tables
@@ -318,7 +318,7 @@ _LEX_SET_SQL = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z
 def _alike(spark: SparkSession, d: str) -> DataFrame:
     """Each document with the next one of its language, by their terms."""
     docs = views.documents(spark, d)
-    pairs = docs.select("call_id", F.lead("call_id").over(Window.partitionBy("lang").orderBy("ordinal")).alias("other_id")).where("other_id is not null")
+    pairs = views.followers(docs, "lang", "call_id").select("call_id", F.col("next").alias("other_id")).where("other_id is not null")
     terms = docs.select("call_id", tx.lexical_terms("text").alias("terms"))
     both = pairs.join(terms, "call_id").join(terms.select(F.col("call_id").alias("other_id"), F.col("terms").alias("other")), "other_id")
     return both.select("call_id", "other_id", F.round(tx.jaccard(F.col("terms"), F.col("other")), 9).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import ENGLISH_STOPWORDS
@@ -64,6 +64,19 @@ STOP_SQL = "(" + ", ".join(f"'{w}'" for w in ENGLISH_STOPWORDS) + ")"
 TOKENS_SQL = f"list_filter(list_transform(regexp_extract_all(replace(lower({{0}}), '_', ' '), '[a-z0-9]+(?:''[a-z]+)?'), lambda t: regexp_replace(t, '''s$', '')), lambda t: length(t) >= 2 AND t NOT IN {STOP_SQL})"
 
 
+def followers(rows: DataFrame, group: str, value: str, order: str = "ordinal", block: int = 10_000) -> DataFrame:
+    """(group, value, order, next): ``value`` of the next row of the group by the whole number ``order`` (distinct within a group), null for its last.
+
+    A group is sorted in blocks of the order's range, so a task holds at most ``block`` rows of it however large it is; what is
+    sorted as one is a row for each block. A null group is a group."""
+    ids = rows.select(group, value, order, F.floor(F.col(order) / block).alias("_block"))
+    firsts = ids.groupBy(group, "_block").agg(F.min_by(value, order).alias("_first"))
+    after = firsts.select(F.col(group).alias("_group"), F.col("_block").alias("_at"), F.lead("_first").over(Window.partitionBy(group).orderBy("_block")).alias("_after"))
+    within = ids.withColumn("next", F.lead(value).over(Window.partitionBy(group, "_block").orderBy(order)))
+    found = within.join(after, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_at")), "left")
+    return found.select(group, value, order, F.coalesce("next", "_after").alias("next"))
+
+
 def tokens_sql(column: str) -> str:
     return TOKENS_SQL.replace("{0}", column)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as tx
 from siltstone.operators import aggregates, chunking, feedback, filters, inference, retrieval
 from siltstone.operators import silver as sv
+from siltstone.plans import views
 from siltstone.schemas import Catalog, FieldSpec, validate_specs
 from siltstone.sources import calls as src
 
@@ -156,3 +157,15 @@ def test_specs_and_inference(spark):
     assert [r["label"] for r in inference.top_labels(chunks, 2).collect()] == ["salesforce", "export"]
     assert {r["label"]: r["score"] for r in inference.system_mentions(chunks).collect()}["salesforce"] == 6
     assert any(s.name == "need" for s in inference.infer(chunks))
+
+
+def test_followers_across_blocks(spark):
+    """A group of most rows, gaps of whole blocks, a null group and a lone row, against a sort."""
+    rows = [(g, k, f"v{k}") for k in range(0, 3000, 7) for g in ("a",)] + [("b", k, f"b{k}") for k in (5, 9_000, 9_001, 70_000)] + [(None, k, f"n{k}") for k in (1, 250)] + [("c", 3, "lone")]
+    got = {(r["lang"], r["ordinal"]): r["next"] for r in views.followers(spark.createDataFrame(rows, "lang string, ordinal long, id string"), "lang", "id", block=100).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((k, v) for x, k, v in rows if x == g)
+        want |= {(g, k): n for (k, _), n in zip(own, [*(v for _, v in own[1:]), None])}
+    assert got == want
+    assert views.followers(spark.createDataFrame([], "lang string, ordinal long, id string"), "lang", "id").collect() == []
