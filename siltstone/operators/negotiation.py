@@ -46,31 +46,61 @@ def candidate_details(spec: FieldSpec) -> dict[str, Any]:
     }
 
 
-#: A term is looked for by its first letters, so many at most.
-PIECE = 3
+#: Terms have so many letters at least, and are looked for by so many of their first letters at most.
+PIECE, KEY = 3, 6
+#: A run of a task's letters is read in stretches of so many letters, or of the longest term's, if that has more. At most so many ranges name the letters.
+STRETCH, RANGES = 64, 64
+#: Terms are hinted for broadcast up to so many rows and bytes.
+FEW_ROWS, FEW_BYTES = 200_000, 16 << 20
+
+
+def _letters_of(terms: DataFrame) -> str:
+    """A character class of all letters that ``terms`` are made of; of more than RANGES ranges the nearest are made one, which only adds letters."""
+    found = sorted(ord(r["c"]) for r in terms.select(F.explode(F.array_distinct(F.regexp_extract_all("term", F.lit("(?s)."), F.lit(0)))).alias("c")).distinct().collect())
+    ranges = [[c, c] for c in found or [0]]
+    gap = sorted(b[0] - a[1] for a, b in zip(ranges, ranges[1:]))
+    least = max(1, gap[-RANGES]) if len(gap) >= RANGES else 1
+    merged = ranges[:1]
+    for lo, hi in ranges[1:]:
+        if lo - merged[-1][1] <= least:
+            merged[-1][1] = hi
+        else:
+            merged.append([lo, hi])
+    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in merged) + "]"
+
+
+def _first(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Of each ``key`` the rows of its ``most`` least places; tasks leave out what can't be among them before rows move."""
+    return rows.withColumn("_k", F.dense_rank().over(Window.partitionBy(key).orderBy("ordinal"))).where(F.col("_k") <= most).select(key, "ordinal").distinct()
 
 
 def matching_tasks(wanted: DataFrame, tasks: DataFrame, most: int = 6) -> DataFrame:
     """wanted (field_name, terms) and tasks (ordinal, query) -> (field_name, tasks): the first ``most`` tasks whose query holds any of the terms as a
     substring.
 
-    A term's first three letters are looked for among the distinct three-letter pieces of a query, which stand beside the task's place alone. The terms that
-    meet there are gathered per task (candidates' terms are few, whatever the number of tasks), and the query is read once for all of them: no text is copied, cutting one up is linear
-    in its length, and no candidate meets every task. Terms of under three letters are left out; rows that repeat a place are one task."""
-    letters = F.col("letters")
-    # characters, not places: cutting a piece out of a long text walks to its place
-    shifted = lambda k: F.slice(letters, k + 1, F.greatest(F.size(letters) - (PIECE - 1), F.lit(0)))
-    both = lambda a, b: F.concat(a, b)
-    pieces = F.array_distinct(F.zip_with(F.zip_with(shifted(0), shifted(1), both), shifted(2), both))
+    A term lies within a run of letters that terms are made of, so queries are cut into such runs, long ones into stretches that overlap by the longest term.
+    The first tasks of a term are among the first tasks of each run that holds it: only those are kept of a run, and terms are looked for in distinct runs, by their first letters,
+    not in queries. Reading is linear in the queries' length, and what moves are at most ``most`` places a run and task. Terms of under three letters are left out; rows that repeat a
+    place are one task."""
     terms = wanted.select("field_name", F.explode("terms").alias("term")).where(F.length("term") >= PIECE).distinct()
+    own = terms.select("term").distinct()
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("held"), F.max(F.length("term")).alias("longest")).first()
+    longest = size["longest"] or PIECE
+    step = max(STRETCH, longest)
+    letter = _letters_of(own)
     low = tasks.where("ordinal is not null and query is not null").select("ordinal", F.lower("query").alias("low"))
-    cut = low.select("ordinal", F.regexp_extract_all("low", F.lit("(?s)."), F.lit(0)).alias("letters")).select("ordinal", F.explode(pieces).alias("piece"))
-    own = terms.select("term").distinct().withColumn("piece", F.substring("term", 1, PIECE))
-    met = cut.join(own, "piece").groupBy("ordinal").agg(F.collect_set("term").alias("may"))
-    said = low.join(met, "ordinal").select("ordinal", F.explode(F.filter("may", lambda t: F.contains("low", t))).alias("term"))
-    hits = said.join(terms, "term").select("field_name", "ordinal").distinct()
-    kept = hits.withColumn("_k", F.row_number().over(Window.partitionBy("field_name").orderBy("ordinal"))).where(F.col("_k") <= most)
-    return kept.groupBy("field_name").agg(F.array_sort(F.collect_list("ordinal")).alias("tasks"))
+    runs = F.regexp_extract_all("low", F.lit(f"(?=({letter}{{{PIECE},{step + longest - 1}}})){letter}{{1,{step}}}"), F.lit(1))
+    said = _first(low.select("ordinal", F.explode(F.array_distinct(runs)).alias("run")), "run", most)
+    by_run = said.groupBy("run").agg(F.collect_list("ordinal").alias("places"))
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.length("run") - (k - 1)), lambda at: F.substring("run", at, F.lit(k)))
+    pieces = F.array_distinct(F.concat(*[F.when(F.length("run") >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(PIECE, KEY + 1)]))
+    cut = by_run.select("run", "places", F.explode(pieces).alias("piece"))
+    begun = own.withColumn("piece", F.substring("term", 1, KEY))
+    few = size["n"] <= FEW_ROWS and (size["held"] or 0) <= FEW_BYTES
+    met = cut.join(F.broadcast(begun) if few else begun, "piece").where(F.contains("run", "term"))
+    of_term = _first(met.select("term", F.explode("places").alias("ordinal")), "term", most)
+    hits = _first(of_term.join(terms, "term"), "field_name", most)
+    return hits.groupBy("field_name").agg(F.array_sort(F.collect_list("ordinal")).alias("tasks"))
 
 
 def _tried(what: Any) -> tuple[int, str | None]:

@@ -358,3 +358,21 @@ def test_terms_are_found_in_very_long_tasks(spark):
     began = time.monotonic()
     got = {r["field_name"]: r["tasks"] for r in negotiation.matching_tasks(wanted, tasks, 6).collect()}
     assert got == {"a": [2, 3], "b": [0, 1, 2, 3, 9]} and time.monotonic() - began < 40
+
+
+def test_terms_are_not_looked_for_in_every_task(spark):
+    # 4,000 terms begin as these texts' words do: looked for in each text they weren't through after two minutes
+    tasks = spark.range(400).repartition(4).select(F.col("id").alias("ordinal"), F.concat(F.repeat(F.lit("abcdefgh ijk abc "), 4700), F.lit(" Term"), F.col("id").cast("string")).alias("query"))
+    words = spark.range(4000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("field_name"), F.array(F.concat(F.lit("abcx"), F.col("id").cast("string")), F.concat(F.lit("erm"), F.col("id").cast("string"))).alias("terms"))
+    began = time.monotonic()
+    got = {r["field_name"]: r["tasks"] for r in negotiation.matching_tasks(words, tasks, 3).collect()}
+    assert got == {f"f{i}": [k for k in range(400) if f"term{k}".find(f"erm{i}") >= 0][:3] for i in range(400)} and time.monotonic() - began < 60
+
+
+def test_terms_across_stretches_of_a_long_run(spark):
+    run = "".join(chr(97 + k * k % 23) for k in range(5000))
+    texts = {k: run[k:] for k in (0, 1, 63, 64, 65)} | {7: "É" + "ab c" * 9 + "ßé", 8: "ab"}
+    terms = [run[k : k + n] for k in (0, 55, 63, 64, 1000, 4990) for n in (3, 5, 6, 7, 64, 90)] + ["éab", "b ca", "cßé", "zzz", "a" * 200]
+    wanted = spark.createDataFrame([(t, [t]) for t in {*terms}], "field_name string, terms array<string>")
+    got = {r["field_name"]: r["tasks"] for r in negotiation.matching_tasks(wanted, spark.createDataFrame([*texts.items()], "ordinal long, query string"), 4).collect()}
+    assert got == {t: found for t in terms if (found := [k for k in sorted(texts) if t in texts[k].lower()][:4])}
