@@ -8,6 +8,8 @@ brings more than one window to a task. A block is what one term has in one windo
 posting of the block beats in both. Statistics change as segments come, and contributions with them; but a contribution grows with tf and falls with dl, so the
 highest of a block is always found on its front.
 
+A segment is written with one exchange: documents, counted in their rows, go to the task of their windows. Merging segments takes their blocks over where they are.
+
 A search reads the buckets of its terms only. Fronts bound what a window can score for each query; the few windows of the highest bounds are scored first, which
 gives a score that the last hit must reach, and all windows whose bound reaches it are scored then. Scores, order and rows are those of ``retrieval.bm25``.
 """
@@ -30,11 +32,16 @@ from siltstone.sources.shared import children, delete, exists
 
 #: Term buckets of a new index, and about how many documents of one length a window holds at most.
 BUCKETS, WINDOW = 64, 4096
+#: Groups that the buckets are dealt to, and windows of one length that a task writes of such a group.
+GROUPS, WRITTEN = 8, 16
 #: Windows per query that are scored first, and how many may be named in a filter that reaches the files.
 FIRST, NAMED = 4, 500
 #: What rounding to six places can add to a sum of contributions.
 SLACK = 1e-4
 
+#: Stands between the terms of a document where they move.
+BETWEEN = "\x00"
+
 _LEDGER = "n long, tokens long, buckets int, replaces array<string>"
 
 
@@ -101,20 +108,50 @@ class SearchIndex:
         row = self.spark.createDataFrame([(n, tokens, buckets, replaces)], _LEDGER)
         row.coalesce(1).write.mode("overwrite").json(f"{self.root}/ledger/segment={segment}")
 
-    def _write_blocks(self, postings: DataFrame, segment: str, buckets: int, windows: int) -> int:
-        """postings (term, id, tf, dl) -> the segment's files; how many tokens they stand for."""
-        band = F.floor(2 * F.log2(1 + F.col("dl")))
-        window = band * windows + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(windows))
+    def _block(self, grouped: Any, of: Column) -> DataFrame:
+        """Blocks of groups whose postings are ``of``, an array of (tf, short, id), where short is the length below zero."""
         # no pair of the front is beaten in both: of each tf the least dl, and of those only what is shorter than all with a higher tf
-        held = F.reverse(F.array_sort(F.collect_list(F.struct("tf", (-F.col("dl")).alias("short"), "id"))))
         best = F.aggregate(F.col("held"), F.array().cast("array<struct<tf:long,dl:long>>"), lambda acc, x: F.when((F.size(acc) == 0) | (-x["short"] < F.element_at(acc, -1)["dl"]), F.concat(acc, F.array(F.struct(x["tf"].alias("tf"), (-x["short"]).alias("dl"))))).otherwise(acc))
-        grouped = postings.withColumn("window", window).groupBy("term", "window").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("said"), held.alias("held"))
-        block = grouped.select("term", "window", "n", "said", best.alias("front"), F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["tf"].alias("tf"), (-x["short"]).alias("dl"))).alias("postings"), F.pmod(F.crc32("term"), F.lit(buckets)).cast("int").alias("bucket"))
+        held = grouped.agg(F.reverse(F.array_sort(of)).alias("held"))
+        said = F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + x["tf"])
+        return held.select("bucket", "term", "window", F.size("held").cast("long").alias("n"), said.alias("said"), best.alias("front"), F.transform("held", lambda x: F.struct(x["id"].alias("id"), x["tf"].alias("tf"), (-x["short"]).alias("dl"))).alias("postings"))
+
+    def _write_blocks(self, block: DataFrame, segment: str) -> int:
+        """Blocks -> the segment's files; how many tokens they stand for."""
         at = f"{self.root}/postings/segment={segment}"
-        # a range of (bucket, term, window) a task: a frequent term's blocks may fill several, and files can be skipped by their least and greatest term
-        block.repartitionByRange("bucket", "term", "window").sortWithinPartitions("bucket", "term", "window").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        # sorted, so pages of a file can be skipped by their least and greatest term
+        block.sortWithinPartitions("bucket", "term", "window").write.mode("overwrite").partitionBy("bucket").parquet(at)
         return self.spark.read.parquet(at).agg(F.sum("said")).first()[0] or 0 if any(c.startswith("bucket=") for c in children(self.spark, at)) else 0
 
+    def _blocks_of(self, src: DataFrame, tokens: Callable[[Column], Column], buckets: int, windows: int) -> DataFrame:
+        """src (id, text) -> the blocks of its terms. A document is counted in its row and moves once, as its terms in one text a group of buckets, to the task
+        that has its windows: no posting is a row before it is where its block is made."""
+        groups, slots = min(GROUPS, buckets), -(-windows // WRITTEN)
+        said = src.select("id", F.array_sort(tokens(F.col("text"))).alias("said"))
+        last = F.size("said") - 1
+        # places where another term begins
+        begun = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("said", i) != F.get("said", i - 1))))
+        told = said.select("id", "said", F.size("said").alias("dl"), begun.alias("begun"))
+        bucket = lambda t: F.pmod(F.crc32(t), F.lit(buckets)).cast("int")
+        until = F.concat(F.slice("begun", 2, F.greatest(F.size("begun"), F.lit(1))), F.array("dl"))
+        counted = F.zip_with("begun", until, lambda i, k: F.struct(F.get("said", i).alias("term"), (k - i).alias("tf"), F.pmod(bucket(F.get("said", i)), F.lit(groups)).alias("group")))
+        band = F.floor(2 * F.log2(1 + F.col("dl")))
+        place = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(windows))
+        rows = told.select("id", "dl", (band * windows + place).alias("window"), F.pmod(place, F.lit(slots)).cast("int").alias("slot"), counted.alias("counted"))
+
+        def part(g: int) -> Column:
+            own = F.filter("counted", lambda x: x["group"] == g)
+            return F.struct(F.lit(g).alias("group"), F.array_join(F.transform(own, lambda x: x["term"]), BETWEEN).alias("terms"), F.transform(own, lambda x: x["tf"]).alias("tfs"))
+
+        parts = F.filter(F.array(*[part(g) for g in range(groups)]), lambda x: F.size(x["tfs"]) > 0)
+        moved = rows.select("id", "dl", "window", "slot", F.explode(parts).alias("x")).select((F.col("x.group") * slots + F.col("slot")).alias("task"), "id", "dl", "window", "x.terms", "x.tfs")
+        moved = moved.repartitionById(groups * slots, F.col("task"))
+        terms = F.split("terms", BETWEEN, -1)
+        whole = F.when(F.size(terms) == F.size("tfs"), terms).otherwise(F.raise_error(F.lit("a token holds the character of code 0")).cast("array<string>"))
+        each = moved.select("task", "id", "dl", "window", F.inline(F.zip_with(whole, F.col("tfs"), lambda t, k: F.struct(t.alias("term"), k.cast("long").alias("tf")))))
+        grouped = each.withColumn("bucket", bucket(F.col("term"))).groupBy("task", "bucket", "term", "window")
+        return self._block(grouped, F.collect_list(F.struct("tf", (-F.col("dl")).cast("long").alias("short"), "id")))
+
     def add(self, docs: DataFrame, segment: str | None = None, text: str = "bm25_text", tokens: Callable[[Column], Column] = english_tokens, buckets: int = BUCKETS) -> str:
         """Indexes ``docs`` (id, text) as one segment and commits it. A segment that is committed already stays as it is, whatever ``docs`` hold; one that was begun and
         not committed is written anew. Rows without an id are left out; ids must be distinct and new (``add_new`` sees to that). Texts are tokenised once."""
@@ -127,9 +164,7 @@ class SearchIndex:
         ids = f"{self.root}/documents/segment={name}"
         src.select("id").write.mode("overwrite").parquet(ids)
         n = self.spark.read.schema(f"id {self.id_type}").parquet(ids).count()
-        told = src.select("id", tokens(F.col("text")).alias("tokens")).select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-        postings = told.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        said = self._write_blocks(postings, name, buckets, max(1, -(-n // WINDOW)))
+        said = self._write_blocks(self._blocks_of(src, tokens, buckets, max(1, -(-n // WINDOW))), name)
         self._commit(name, n, said, buckets, [])
         return name
 
@@ -149,12 +184,31 @@ class SearchIndex:
             return None
         name = segment or uuid.uuid4().hex
         self._ids(live).select("id").write.mode("overwrite").parquet(f"{self.root}/documents/segment={name}")
-        postings = self.blocks(live).select("term", F.inline("postings"))
         n = sum(s.n for s in live)
-        said = self._write_blocks(postings, name, live[0].buckets, max(1, -(-n // WINDOW)))
+        said = self._write_blocks(self._merged(live), name)
         self._commit(name, n, said, live[0].buckets, [s.name for s in live])
         return name
 
+    def _merged(self, live: list[Segment]) -> DataFrame:
+        """Blocks of all these segments. Windows of a segment that has filled some are taken over block by block, and nothing moves; smaller segments are put together, as
+        many as fill a window, and their blocks of one length made one."""
+        pools: list[list[Segment]] = []
+        for s in sorted((s for s in live if s.n < WINDOW), key=lambda s: s.name):
+            if not pools or sum(x.n for x in pools[-1]) + s.n > WINDOW:
+                pools.append([])
+            pools[-1].append(s)
+        pooled = {s.name for p in pools if len(p) > 1 for s in p}
+        named = F.xxhash64("segment", "window")
+        kept = [s for s in live if s.name not in pooled]
+        out = self.blocks(kept).select("bucket", "term", named.alias("window"), "n", "said", "front", "postings")
+        if not pooled:
+            return out
+        pool = F.create_map(*[F.lit(x) for p in pools if len(p) > 1 for s in p for x in (s.name, p[0].name)])
+        small = self.blocks([s for s in live if s.name in pooled]).withColumn("window", F.xxhash64(pool[F.col("segment")], "window"))
+        lists = F.flatten(F.collect_list(F.transform("postings", lambda x: F.struct(x["tf"].alias("tf"), (-x["dl"]).alias("short"), x["id"].alias("id")))))
+        made = self._block(small.groupBy("bucket", "term", "window"), lists)
+        return made if not kept else out.unionByName(made)
+
     def sweep(self) -> list[str]:
         """Deletes files of segments that are replaced, and of such that were begun but never committed: for when no search or writer is under way."""
         live = {s.name for s in self.segments()}

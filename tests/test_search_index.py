@@ -158,3 +158,21 @@ def test_a_stream_of_calls_is_indexed_once(spark, tmp_path):
         assert index.statistics()[0] == 12
         q = spark.createDataFrame([(0, "needle"), (1, "number3")], "query_id int, query string")
         assert [(r["query_id"], r["chunk_id"]) for r in index.search(q).orderBy("query_id", "rank").collect()] == [(0, f"c{k}:chunk-001") for k in range(6)] + [(1, "c3:chunk-001")]
+
+
+def test_one_exchange_writes_a_segment(spark, tmp_path):
+    some = si.SearchIndex(spark, str(tmp_path))
+    src = spark.createDataFrame(texts(30), SCHEMA).select(F.col("chunk_id").alias("id"), F.col("bm25_text").alias("text"))
+    plan = some._blocks_of(src, retrieval.english_tokens, 8, 40)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("translate(lower(") == 1
+
+
+def test_filled_segments_are_merged_where_they_are(spark, docs, queries, tmp_path, monkeypatch):
+    monkeypatch.setattr(si, "WINDOW", 32)
+    grown = si.SearchIndex(spark, str(tmp_path))
+    for name, part in (("a", "chunk_id < 300"), ("b", "chunk_id between 300 and 309"), ("c", "chunk_id between 310 and 320"), ("d", "chunk_id > 320")):
+        grown.add_new(docs.where(part), name, buckets=8)
+    assert "Exchange" not in grown._merged([s for s in grown.segments() if s.n > 32])._jdf.queryExecution().executedPlan().toString()
+    grown.compact("merged")
+    assert grown.statistics()[0] == 600 and rows(grown.search(queries, 9)) == rows(retrieval.bm25(docs, queries, 9))
+    assert max(r["n"] for r in grown.blocks().collect()) <= 3 * 32
