@@ -34,6 +34,8 @@ from siltstone.sources.shared import children, delete, exists
 BUCKETS, WINDOW = 64, 4096
 #: Groups that the buckets are dealt to, and windows of one length that a task writes of such a group.
 GROUPS, WRITTEN = 8, 16
+#: Ids that are hinted for broadcast at most.
+KNOWN = 500_000
 #: Windows per query that are scored first, and how many may be named in a filter that reaches the files.
 FIRST, NAMED = 4, 500
 #: What rounding to six places can add to a sum of contributions.
@@ -170,11 +172,20 @@ class SearchIndex:
 
     def add_new(self, docs: DataFrame, segment: str, text: str = "bm25_text", **more: Any) -> str:
         """``add`` for deliveries that may repeat: of rows with one id that of the least text counts, and ids that a committed segment has are left out."""
-        once = docs.groupBy(self.id_col).agg(F.min(text).alias(text))
         live = self.segments()
-        if live:
-            known = self._ids(live).select(F.col("id").alias(self.id_col))
-            once = once.withColumn(self.id_col, F.col(self.id_col).cast(self.id_type)).join(known, self.id_col, "left_anti")
+        if segment in {s.name for s in live} or exists(self.spark, f"{self.root}/ledger/segment={segment}/_SUCCESS"):
+            return segment
+        own = docs.where(F.col(self.id_col).isNotNull()).select(F.col(self.id_col).cast(self.id_type).alias(self.id_col), text)
+        # only ids are compared; texts move where many of them repeat or are known
+        ids = own.groupBy(self.id_col).agg(F.count(F.lit(1)).alias("k"))
+        known = self._ids(live).select(F.col("id").alias(self.id_col), F.lit(True).alias("known"))
+        odd = ids.join(known, self.id_col, "left").where("k > 1 or known").select(self.id_col, F.coalesce("known", F.lit(False)).alias("known"))
+        told = odd.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("known")).alias("repeated")).first()
+        few = F.broadcast if told["n"] <= KNOWN else (lambda df: df)
+        once = own.join(few(odd.select(self.id_col)), self.id_col, "left_anti") if told["n"] else own
+        if told["repeated"]:
+            again = own.join(few(odd.where("not known").select(self.id_col)), self.id_col, "left_semi")
+            once = once.unionByName(again.groupBy(self.id_col).agg(F.min(text).alias(text)))
         return self.add(once, segment, text, **more)
 
     def compact(self, segment: str | None = None) -> str | None:
